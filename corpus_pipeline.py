@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import langid, minhash
-from voxelframe.llm.common import read_table, stage
-from voxelframe.llm.queries import held_out
+from voxelframe.llm import langid, minhash, packing, pii
+from voxelframe.llm.common import col, read_table, stage, tokenizer_file
+from voxelframe.llm.queries import PII_KEY, held_out
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.deduplicate(docs, percent=80)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, its entities replaced by surrogates; n_chars follows the text."""
+    out = pii.pseudonymize(docs, spark.conf.get(PII_KEY, "test key"), entities_col="__entities")
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, one row per piece with its ids."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ candidates; every link is confirmed on the full shingle sets.
 Documents with equal sets form one class and are never compared again. Candidates of a bucket
 are not paired with each other: each class is first held against one pivot of its buckets; after
 that only buckets that still hold several components go on, small ones pair by pair across
-components, large ones against a new pivot a round, and whatever is left after `rounds` in blocks
-inside tasks. A pivot has met all of its bucket, so no candidate is dropped.
+components, large ones in blocks of bounded size inside tasks, from which only links come out.
+No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col, components, shared_dir, small_batches, stage
+from voxelframe.llm.common import col, components, small_batches, stage
 
 #: Odd multipliers of the word positions inside a shingle, and the mixing constants of one hash round.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
@@ -121,9 +121,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links across components inside unresolved buckets: members in blocks, block against block inside a task.
 
-    members: (key, cls, root, n). Only links leave a task, never candidate pairs.
+    members: (key, cls, root, n, total): n members and total shingles in the bucket; a block has about
+    `block` members and 512 shingles for each of them at most. Only links leave a task.
     """
-    parts = F.ceil(F.col("n") / block).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / (512 * block))).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
     sent = dealt.select("key", "cls", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     sent = sent.select("key", "cls", "root", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets, "cls")
@@ -156,12 +157,12 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int)
     return sent.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
-def link_classes(sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, small: int, rounds: int, block: int) -> DataFrame:
+def link_classes(sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, small: int, block: int) -> DataFrame:
     """(cls, root) of the classes that are linked with another one; root is any class of the component."""
     spark = docs.sparkSession
     full = sketches.where(F.col("cls").isNotNull())
-    classes = full.groupBy("cls").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
-    keyed = classes.select("cls", F.explode("bands").alias("key"))
+    classes = full.groupBy("cls").agg(F.min("n_shingles").alias("size"), F.any_value("bands").alias("bands"))
+    keyed = classes.select("cls", "size", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("pivot")).where("n > 1")
     members = stage(keyed.join(buckets, "key"))
     empty = spark.createDataFrame([], "cls binary, root binary")
@@ -172,34 +173,17 @@ def link_classes(sketches: DataFrame, docs: DataFrame, id_col: str, text_col: st
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     sets = stage(_sets(reps.join(texts, reps["id"].eqNullSafe(texts["id"])).select(reps["cls"], texts["text"]), words).dropDuplicates(["cls"]))
 
-    pairs = members.groupBy("cls").agg(F.min("pivot").alias("a")).where("cls != a").select("a", F.col("cls").alias("b"))
-    tried, roots = None, empty
-    for turn in range(rounds + 2):
-        if turn:
-            open_ = members.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-            left = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot")).where("lo != hi")
-            members = stage(open_.join(left.select("key", "n", "pivot"), "key"))
-            if members.isEmpty():
-                break
-            if turn > rounds:
-                links = stage(_block_links(members, sets, percent, block))
-                roots = stage(_merge(roots, links))
-                break
-            few = members.where(F.col("n") <= small)
-            x, y = few.select("key", F.col("cls").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").where("a < b and ra != rb").select("a", "b")
-            many = members.where(F.col("n") > small)
-            head = many.where("cls = pivot").select("key", F.col("cls").alias("p"), F.col("root").alias("rp"))
-            spokes = many.join(head, "key").where("root != rp").select(F.least("p", "cls").alias("a"), F.greatest("p", "cls").alias("b"))
-            pairs = pairs.unionByName(spokes).distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            # a bucket's pivot has now met all its members; small buckets are done
-            members = many.where("cls != pivot").select("key", "cls", "n", "pivot")
-        pairs = stage(pairs.distinct())
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = stage(_confirm(pairs, sets, percent))
-        roots = stage(_merge(roots, links))
-    return roots
+    pairs = stage(members.groupBy("cls").agg(F.min("pivot").alias("a")).where("cls != a").select("a", F.col("cls").alias("b")))
+    roots = stage(_merge(empty, stage(_confirm(pairs, sets, percent))))
+
+    rooted = members.join(roots, "cls", "left").select("key", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).where("lo != hi")
+    left = stage(rooted.join(open_.select("key", "n", "total"), "key"))
+    few = left.where(F.col("n") <= small)
+    x, y = few.select("key", F.col("cls").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"))
+    rest = stage(x.join(y, "key").where("a < b and ra != rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = stage(_confirm(rest, sets, percent).unionByName(_block_links(left.where(F.col("n") > small), sets, percent, block)))
+    return stage(_merge(roots, links))
 
 
 def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -215,7 +199,7 @@ def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, permutations: int = 60,
-                    rows: int = 5, seed: int = 7, small: int = 16, rounds: int = 4, block: int = 64, detail: bool = False) -> DataFrame:
+                    rows: int = 5, seed: int = 7, small: int = 16, block: int = 512, detail: bool = False) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept (and cls, the digest of its set, with `detail`).
 
     Documents are linked when their shingle sets' Jaccard similarity is at least percent / 100;
@@ -229,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession, 500)
     sketches = stage(sketch(docs, id_col, text_col, words, permutations, rows, seed))
-    roots = link_classes(sketches, docs, id_col, text_col, words, percent, small, rounds, block)
+    roots = link_classes(sketches, docs, id_col, text_col, words, percent, small, block)
     by_class = sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("least"))
     grouped = by_class.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))

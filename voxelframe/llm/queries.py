@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import langid, minhash
-from voxelframe.llm.common import read_table
+from voxelframe.llm import langid, minhash, packing, pii, url_filter
+from voxelframe.llm.common import read_table, tokenizer_file
+
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Listed hosts; their subdomains count too.
+BLOCKED = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win") for top in ("com", "net", "org"))
+PII_KEY = "voxelframe.pii.key"
+
 
 def held_out() -> Column:
-    """Documents with this remainder are never learned from."""
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    """Documents with this remainder are never learned from; a null id counts as the empty string."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    blocked = spark.createDataFrame([(h,) for h in BLOCKED], "host string")
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), rules, blocked, keep=["page_id"])
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +35,47 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=[F.col("doc_id"), held_out().alias("held_out")])
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_dedup, op6_language_id)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep={"ids_crc32": F.crc32("ids")})
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key comes from the session setting voxelframe.pii.key; without one a fixed test key is used."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, spark.conf.get(PII_KEY, "test key"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_minhash_dedup, op6_language_id, op9_packing, op10_pii_surrogates)}
+
+_SUFFIX = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_url_filter": f"""
+WITH cut AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+fits AS (
+  SELECT page_id, host, path,
+         (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') AS a,
+         (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') AS b,
+         (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') AS c,
+         (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') AS d FROM cut)
+SELECT page_id, host, path,
+       CASE WHEN b THEN 'example.net/en/' WHEN c THEN 'example.com/de/' WHEN d THEN 'org/fr/' WHEN a THEN 'net/' END AS rule,
+       CASE WHEN b THEN 'allow' WHEN c THEN 'block' WHEN d THEN 'allow' WHEN a THEN 'block' WHEN {_SUFFIX} THEN 'block' ELSE 'allow' END AS verdict
+FROM fits""",
+    "op4_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
+both AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS doc_id, a AS other FROM both UNION SELECT r.doc_id, both.b FROM reach r JOIN both ON r.other = both.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (doc_id)""",
+}
