@@ -73,8 +73,8 @@ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
-both AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-reach AS (SELECT a AS doc_id, a AS other FROM both UNION SELECT r.doc_id, both.b FROM reach r JOIN both ON r.other = both.a),
+sides AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS doc_id, a AS other FROM sides UNION SELECT r.doc_id, sides.b FROM reach r JOIN sides ON r.other = sides.a),
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN c USING (doc_id)""",
