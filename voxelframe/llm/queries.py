@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import langid, minhash, packing, pii, url_filter
-from voxelframe.llm.common import read_table, tokenizer_file
+from voxelframe.llm import byte_bpe, chat, langid, minhash, packing, pii, token_files, topk, url_filter, vectors
+from voxelframe.llm.common import read_table, shared_dir, tokenizer_file
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Listed hosts; their subdomains count too.
@@ -25,16 +25,48 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), rules, blocked, keep=["page_id"])
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.windows(turns))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    token_files.write(read_table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
+    back = token_files.read(spark, folder)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out()), key=F.col("doc_id"))
     return langid.identify(docs, model, keep=[F.col("doc_id"), held_out().alias("held_out")])
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integer_vectors(read_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    back = byte_bpe.decode(ids, ranks)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), keep={"ids_crc32": F.crc32("ids")})
@@ -46,11 +78,27 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, spark.conf.get(PII_KEY, "test key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_minhash_dedup, op6_language_id, op9_packing, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_windows, op3_token_files, op4_minhash_dedup, op5_embedding_dedup, op6_language_id, op7_top_k, op8_byte_bpe, op9_packing, op10_pii_surrogates)}
 
 _SUFFIX = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)
 
 ORACLE: dict[str, str] = {
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT a AS vec_id, a AS other FROM l UNION SELECT r.vec_id, l.b FROM reach r JOIN l ON r.other = l.a),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, v.vec_id) AS component_id, coalesce(component_id, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op7_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, CAST(list_dot_product(q.e, b.e) AS BIGINT) AS score FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op1_url_filter": f"""
 WITH cut AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
