@@ -40,7 +40,7 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, records: int = 1000) -> None:
+def small_batches(spark: SparkSession, records: int = 1000, megabytes: int = 8) -> None:
     """Bound Arrow batches by rows and bytes, so that very long texts don't pile up in a Python worker.
 
     Local Python workers also learn where this package lies; on a cluster it is shipped with --py-files.
@@ -50,7 +50,7 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def tokenizer_file(name: str) -> str:

@@ -9,6 +9,7 @@ other use of spaces are encoded whole. Results equal those of encoding each text
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,6 @@ BLANK = r"\t\n\x{0B}\x{0C}\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 #: A space at an end of the text or next to other white space.
 ODD_SPACE = rf"^ | $|[{BLANK}] | [{BLANK}]"
 JOINED = 1 << 18
-ENDS = (".", ",")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +34,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.nd
 class Encoder:
     """Encodes batches of texts with one tokenizer; `leading` tells that a space belongs to the word after it."""
 
-    def __init__(self, tokenizer, leading: bool, kept: int = 250_000) -> None:
+    def __init__(self, tokenizer, leading: bool, kept: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.leading, self.kept = tokenizer, leading, kept
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -63,19 +63,28 @@ class Encoder:
             again = [p for p in new if p in before]  # the older half of what is kept
             known.update(zip(again, map(before.__getitem__, again)))
             new = [p for p in new if p not in known]
-            # a stop or comma after a letter is a token of its own: only the word before it is encoded
-            ended = [p for p in new if p[-1:] in ENDS and p[-2:-1].isalpha()]
-            stems = dict.fromkeys(p[:-1] for p in ended)
-            skip = set(ended)
-            self._encode_new([p for p in dict.fromkeys([*(p for p in new if p not in skip), *stems]) if p not in known])
-            if ended:
-                last = {c: self._whole([c])[0] for c in ENDS}
-                known.update((p, known[p[:-1]] + last[p[-1]]) for p in ended)
+            # signs after a letter are a token sequence of their own: only the word before them is encoded
+            stems = [p.rstrip(string.punctuation) for p in new]
+            cut = [(p, w) for p, w in zip(new, stems) if len(w) < len(p) and w[-1:].isalpha()]
+            tails = {p[len(w) :] for p, w in cut}
+            skip = {p for p, _ in cut}
+            self._encode_new([p for p in dict.fromkeys([*(p for p in new if p not in skip), *(w for _, w in cut)]) if p not in known])
+            if cut:
+                last = self._alone(tails)
+                known.update((p, known[w] + last[p[len(w) :]]) for p, w in cut)
             found = list(map(known.__getitem__, pieces))
         if len(self.known) > self.kept:
             self.before, self.known = self.known, {}
         return found
 
+    def _alone(self, texts) -> dict[str, bytes]:
+        """Ids of short texts that no space precedes, from a table of their own."""
+        if len(self.first) > self.kept // 4:
+            self.first = {}
+        new = [t for t in texts if t not in self.first]
+        self.first.update(zip(new, self._whole(new)))
+        return self.first
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -101,12 +110,9 @@ class Encoder:
                 ids[i] = b
             # the first word of a text has no space before it; such words are encoded one by one
             firsts = [words[i] for i in index[heads[filled]]]
-            unknown = [w for w in dict.fromkeys(firsts) if w not in self.first]
-            if len(self.first) > self.kept // 4:
-                self.first, unknown = {}, list(dict.fromkeys(firsts))
-            self.first.update(zip(unknown, self._whole(unknown)))
+            single = self._alone(dict.fromkeys(firsts))
             index[heads[filled]] = np.arange(len(words), len(words) + len(firsts))
-            ids += [self.first[w] for w in firsts]
+            ids += [single[w] for w in firsts]
         else:
             ids = self._lookup(words)
         whole = np.flatnonzero(odd)
@@ -117,10 +123,8 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         out, n = gather(flat, np.cumsum(sizes) - sizes, sizes, index)
-        counts = np.zeros(len(texts), np.int64)
-        if len(n):
-            np.add.at(counts, np.repeat(np.arange(len(texts)), per_doc), n)
-        return out, counts
+        sums = np.concatenate([[0], np.cumsum(n)])
+        return out, sums[heads + per_doc] - sums[heads]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
