@@ -188,10 +188,10 @@ def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
             .when((kind == "email") & (value == F.upper(value)), F.upper(surrogate)).otherwise(surrogate))
 
 
-def _matches(text: Column) -> Column:
-    """All matches in order, null where none of the signs that every entity has is there."""
-    maybe = text.contains("@") | text.rlike("[0-9]{2}") | text.rlike(rf"(?<![{WORD}]){TITLE}\.? \p{{Lu}}") | text.rlike(r"(?i:token|secret|pass|pwd|key)[\"']?\s{0,3}[=:]")
-    return F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+def _maybe(text: Column) -> Column:
+    """Whether a text has any of the signs that every entity has: cheap scans that begin with one rare character each."""
+    names = "[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=lambda t: (-len(t), t))) + r")\.? \p{Lu}"
+    return F.coalesce(text.contains("@") | text.rlike("[0-9][0-9.() -]{4}") | text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}") | text.rlike(r"[=:]\s{0,3}[\"']?[A-Za-z0-9_\-./+]{16}") | text.rlike(names), F.lit(False))
 
 
 def _resolve(entities: DataFrame, key: str, rounds: int) -> DataFrame:
@@ -222,20 +222,18 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", entities_col
     cols = [c for c in docs.columns if c != entities_col]
     base = docs.select(*map(col, cols))
     text = col(text_col)
-    judged = base.withColumn("__m", _matches(text))
-    values = judged.where(F.size("__m") > 0).select(text.alias("text"), "__m")
-    each = values.select(F.md5(F.encode("text", "UTF-8")).alias("__k"), F.explode(F.array_distinct("__m")).alias("value")).distinct()
-    found = stage(each.withColumn("kind", _kind(F.col("value"))).where(F.col("kind").isNotNull()).withColumn("canon", _canonical(F.col("kind"), F.col("value"))))
+    found = base.where(_maybe(text)).select(F.md5(F.encode(text, "UTF-8")).alias("__k"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("value")).distinct()
+    found = stage(found.withColumn("kind", _kind(F.col("value"))).where(F.col("kind").isNotNull()).withColumn("canon", _canonical(F.col("kind"), F.col("value"))))
     settled = _resolve(stage(found.select("kind", "canon").distinct()), key, rounds)
     spelt = found.join(settled, ["kind", "canon"]).select("__k", "value", "kind", _spelt(F.col("kind"), F.col("value"), F.col("surrogate")).alias("s"))
     maps = spelt.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("kind", "s")))).alias("__map"))
-    some = judged.where(F.size("__m") > 0).withColumn("__k", F.md5(F.encode(text, "UTF-8"))).join(maps, "__k", "left")
-    pieces = F.split(text, ANY, -1)
-    known = F.transform("__m", lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("__map"), v).alias("r")))
+    nothing = F.array().cast("array<struct<kind:string,surrogate:string>>")
+    some = base.where(_maybe(text)).withColumn("__k", F.md5(F.encode(text, "UTF-8"))).join(maps, "__k", "left")
+    known = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("__map"), v).alias("r")))
     filled = F.concat(F.transform("__known", lambda x: F.coalesce(x["r"]["s"], x["v"])), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(pieces, filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     listed = F.transform(F.filter("__known", lambda x: x["r"].isNotNull()), lambda x: F.struct(x["r"]["kind"].alias("kind"), x["r"]["s"].alias("surrogate")))
-    some = some.withColumn("__known", known)
-    some = some.select(*[(F.when(F.col("__map").isNotNull(), rebuilt).otherwise(text) if c == text_col else col(c)).alias(c) for c in cols], F.when(F.col("__map").isNotNull(), listed).otherwise(F.array().cast("array<struct<kind:string,surrogate:string>>")).alias(entities_col))
-    none = judged.where(F.coalesce(F.size("__m"), F.lit(-1)) <= 0).select(*map(col, cols), F.array().cast("array<struct<kind:string,surrogate:string>>").alias(entities_col))
+    some = some.withColumn("__known", F.when(F.col("__map").isNotNull(), known))
+    some = some.select(*[(F.when(F.col("__map").isNotNull(), rebuilt).otherwise(text) if c == text_col else col(c)).alias(c) for c in cols], F.when(F.col("__map").isNotNull(), listed).otherwise(nothing).alias(entities_col))
+    none = base.where(~_maybe(text)).select(*map(col, cols), nothing.alias(entities_col))
     return some.unionByName(none)
