@@ -119,10 +119,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links across components inside unresolved buckets: members in blocks, block against block inside a task.
+    """What links join across components inside unresolved buckets: members in blocks, block against block inside a task.
 
     members: (key, cls, root, n, total): n members and total shingles in the bucket; a block has about
-    `block` members and 512 shingles for each of them at most. Only links leave a task.
+    `block` members and 512 shingles for each of them at most. A task returns edges that span what its links join.
     """
     parts = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / (512 * block))).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("parts")).cast("int"))
@@ -149,10 +149,19 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int)
         links &= (root[:, None] != root[None, :]) & np.triu(np.ones((n, n), bool), 1)
         if i != j:
             links &= mine[:, None] != mine[None, :]
-        x, y = np.nonzero(links)
-        _, once = np.unique(np.minimum(root[x], root[y]) * np.int64(n) + np.maximum(root[x], root[y]), return_index=True)
+        # what the links join, one edge for each component that is joined: never more rows than members
+        near, seen, ends = links | links.T | (root[:, None] == root[None, :]), np.zeros(n, bool), []
+        for start in range(n):
+            front, mine_too = (np.zeros(0, int), []) if seen[start] else (np.array([start]), [start])
+            seen[start] = True
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & ~seen)
+                seen[front] = True
+                mine_too.extend(front.tolist())
+            _, once = np.unique(root[mine_too], return_index=True)
+            ends += [(start, mine_too[k]) for k in once if root[mine_too[k]] != root[start]]
         c = pdf["cls"].to_numpy()
-        return pd.DataFrame({"a": c[x[once]], "b": c[y[once]]})
+        return pd.DataFrame({"a": [c[p] for p, _ in ends], "b": [c[q] for _, q in ends]}, dtype=object)
 
     return sent.groupBy("key", "i", "j").applyInPandas(compare, "a binary, b binary")
 
