@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from voxelframe.llm.common import small_batches, stage
 
 
-def _pack(rows: DataFrame, by: str, vec: str, kind: str) -> DataFrame:
-    """Rows of a block as one: ids and vectors in one binary each."""
+def _pack(rows: DataFrame, by: str, kinds: dict[str, str]) -> DataFrame:
+    """Rows of a block as one: each column's numbers in one binary."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: [pdf[by].iat[0]], "ids": [pdf["cls"].to_numpy(np.int64).tobytes()], "dim": [len(pdf[vec].iat[0])], "data": [np.stack(pdf[vec].to_list()).astype(kind).tobytes()]})
+        return pd.DataFrame({by: [pdf[by].iat[0]]} | {c: [np.stack(pdf[c].to_list()).astype(k).tobytes()] for c, k in kinds.items()})
 
-    return rows.groupBy(by).applyInPandas(run, f"{by} long, ids binary, dim int, data binary")
+    return rows.groupBy(by).applyInPandas(run, ", ".join([f"{by} long", *(f"{c} binary" for c in kinds)]))
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 5, bits: int = 6, id_col: str = "vec_id", vec_col: str = "v", block: int = 4096, pack: int = 512) -> DataFrame:
@@ -37,8 +37,8 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, bits: int = 6, id_col: s
     rows: id (long) and an array<bigint> vector of one length; queries: condition on rows that picks
     the queries. Candidates are all rows but the query's own; ties go to the smaller id. Rows whose
     vector is null, empty, holds nulls or has another length than most, and rows without an id, take
-    no part. Rows that repeat an id count as candidates once each; a query row leaves out all rows of
-    its own id. Fewer than k candidates: all of them.
+    no part. Rows that repeat an id count once for each score; a repeated query id asks with the least of
+    its vectors, and all rows of a query's id are left out of its result. Fewer than k candidates: all.
     """
     spark = rows.sparkSession
     small_batches(spark, 64)
@@ -54,58 +54,58 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, bits: int = 6, id_col: s
 
     # classes of equal vectors with their k + 1 smallest ids, by partial sorted lists
     spread = good.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
-    least = F.slice(F.array_sort(F.collect_list("id")), 1, k + 1)
+    least = F.slice(F.array_sort(F.array_distinct(F.collect_list("id"))), 1, k + 1)
     part = spread.groupBy("v", "salt").agg(least.alias("ids"))
-    classes = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    classes = stage(classes.select(F.element_at("ids", 1).alias("cls"), "v", "ids"))
+    merged = part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    # two vectors with one hash only bring each other along as further candidates
+    classes = stage(merged.select(F.xxhash64("v").alias("cls"), "v", "ids"))
     n, n_queries = classes.count(), good.where("q").select("id").distinct().count()
     n_blocks, n_packs = max(1, -(-n // block)), max(1, -(-n_queries // pack))
     cell = F.transform(F.arrays_zip(F.col("v"), F.array(*map(F.lit, low.tolist())).alias("lo"), F.array(*map(F.lit, width.tolist())).alias("w")), lambda z: F.floor((z["v"] - z["lo"]) / z["w"]).cast("int"))
-    approx = classes.select("cls", cell.alias("cell"), F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).alias("block"))
-    asked = good.where("q").select(F.col("id").alias("cls"), "v", F.pmod(F.xxhash64("id"), F.lit(n_packs)).alias("pack")).dropDuplicates(["cls", "v"])
-    files = stage(_pack(approx, "block", "cell", "uint8" if bits <= 8 else "uint16"))
-    packs = stage(_pack(asked, "pack", "v", "int64")).withColumnsRenamed({"ids": "qids", "data": "qdata"}).drop("dim")
+    approx = classes.select("cls", cell.alias("cell"), F.element_at("ids", 1).alias("sole"), (F.size("ids") == 1).cast("int").alias("alone"), F.pmod(F.xxhash64("cls"), F.lit(n_blocks)).alias("block"))
+    asked = good.where("q").groupBy(F.col("id").alias("qid")).agg(F.min("v").alias("qv")).withColumn("pack", F.pmod(F.xxhash64("qid"), F.lit(n_packs)))
+    files = stage(_pack(approx, "block", {"cls": "int64", "sole": "int64", "alone": "uint8", "cell": "uint8" if bits <= 8 else "uint16"}))
+    packs = stage(_pack(asked, "pack", {"qid": "int64", "qv": "int64"}))
     dealt = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                c = np.frombuffer(r["data"], np.uint8 if bits <= 8 else np.uint16).reshape(len(ids), dim).astype(np.float64)
-                q = np.frombuffer(r["qdata"], np.int64).reshape(len(qids), dim).astype(np.float64)
+                ids, qids = np.frombuffer(r["cls"], np.int64), np.frombuffer(r["qid"], np.int64)
+                sole, alone = np.frombuffer(r["sole"], np.int64), np.frombuffer(r["alone"], np.uint8) == 1
+                c = np.frombuffer(r["cell"], np.uint8 if bits <= 8 else np.uint16).reshape(len(ids), dim).astype(np.float64)
+                q = np.frombuffer(r["qv"], np.int64).reshape(len(qids), dim).astype(np.float64)
                 lo = c * width + low
                 hi = np.minimum(lo + width - 1, high)
                 pos, neg = np.maximum(q, 0), np.minimum(q, 0)
                 for at in range(0, len(qids), 64):
                     p, m = pos[at : at + 64], neg[at : at + 64]
                     upper, under = p @ hi.T + m @ lo.T, p @ lo.T + m @ hi.T
-                    # the query's own class may hold nothing but the query: it gives no lower bound
-                    floor = under.copy()
-                    floor[qids[at : at + 64, None] == ids[None, :]] = -np.inf
+                    # a class that holds nothing but the query gives no lower bound
+                    floor = np.where((qids[at : at + 64, None] == sole[None, :]) & alone[None, :], -np.inf, under)
                     kth = np.partition(floor, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] if len(ids) >= k else np.full(len(p), -np.inf)
                     x, y = np.nonzero(upper >= kth[:, None])
                     yield pa.RecordBatch.from_arrays([pa.array(qids[at + x]), pa.array(ids[y]), pa.array(upper[x, y].astype(np.int64)), pa.array(np.maximum(floor[x, y], -9e18).astype(np.int64))], ["query_id", "cls", "upper", "lower"])
 
-    found = stage(dealt.join(files, "block").select("ids", "data", "qids", "qdata").repartition(max(1, min(n_blocks * n_packs, 4096))).mapInArrow(scan, "query_id long, cls long, upper long, lower long"))
-    # a query id may stand for several rows: each is a query of its own only in its vector, so ids decide
+    found = stage(dealt.join(files, "block").select("cls", "sole", "alone", "cell", "qid", "qv").repartition(max(1, min(n_blocks * n_packs, 4096))).mapInArrow(scan, "query_id long, cls long, upper long, lower long"))
     by_query = Window.partitionBy("query_id")
     kth = found.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("lower")))).where(F.col("r") == k).select("query_id", F.col("lower").alias("sure"))
     left = found.join(kth, "query_id", "left").where(F.col("upper") >= F.coalesce("sure", F.lit(-(1 << 62)))).select("query_id", "cls", "upper").distinct()
     left = stage(left.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("upper"), "cls"))))
-    vectors = asked.select(F.col("cls").alias("query_id"), F.col("v").alias("qv"))
+    vectors = asked.select(F.col("qid").alias("query_id"), "qv")
 
     def exact(part: DataFrame) -> DataFrame:
         """Scores of candidates, read from the exact vectors; a class's ids follow, but for the query's own."""
         both = part.join(classes, "cls").join(vectors, "query_id")
         score = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-        one = both.select("query_id", score.alias("score"), "ids").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id")
+        one = both.select("query_id", score.alias("score"), "ids").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id != query_id").distinct()
         return one.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
     ahead = stage(exact(left.where(F.col("place") <= 2 * k)))
     certain = ahead.where(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
     later = left.where(F.col("place") > 2 * k).join(certain, "query_id", "left").where(F.col("upper") >= F.coalesce("reach", F.lit(-(1 << 62)))).select("query_id", "cls")
     rest = exact(later).select("query_id", "score", "vec_id")
-    merged = ahead.select("query_id", "score", "vec_id").unionByName(rest).withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id")))
+    merged = ahead.select("query_id", "score", "vec_id").unionByName(rest).distinct().withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id")))
     return merged.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
 
 
