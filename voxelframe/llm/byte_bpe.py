@@ -16,14 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from voxelframe.llm.common import col, small_batches
-from voxelframe.llm.tokens import Encoder
-
-
-def byte_characters() -> list[str]:
-    """The character of each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+from voxelframe.llm.tokens import Encoder, byte_characters
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

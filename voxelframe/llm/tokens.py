@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import string
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,13 @@ ODD_SPACE = rf"^ | $|[{BLANK}] | [{BLANK}]"
 JOINED = 1 << 18
 
 
+def byte_characters() -> list[str]:
+    """The character of each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate the slices `which` of flat; also their sizes."""
     n = sizes[which]
@@ -34,16 +42,47 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.nd
 class Encoder:
     """Encodes batches of texts with one tokenizer; `leading` tells that a space belongs to the word after it."""
 
-    def __init__(self, tokenizer, leading: bool, kept: int = 400_000) -> None:
+    def __init__(self, tokenizer, leading: bool, kept: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.leading, self.kept = tokenizer, leading, kept
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.lower = tokenizer.normalizer is not None
+        self.characters = dict(enumerate(byte_characters()))
+        self.direct = True
+        words = ["the", "Straße", "Naïve", "ÉCOLE", "x", "Ljubljana", "supercalifragilistic"]
+        pieces = [" " * leading + w for w in words]
+        self.direct = all(self._letters(p) == self._whole_in_text(p) for p in pieces)
+
+    def _letters(self, piece: str) -> bytes | None:
+        """Ids of a word of Latin letters straight from the model, which is one pre-token; None for any other piece."""
+        word = piece[1:] if self.leading else piece
+        if not (self.direct and word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+            return None
+        if self.lower:
+            word = word.lower()
+            if not word.isalpha():
+                return None
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.tokenizer.model.tokenize(("\u0120" if self.leading else "") + word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole_in_text(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode_new(self, pieces: list[str]) -> None:
         """pieces as they stand in a text: with their leading space if that belongs to them."""
+        rest = []
+        for p in pieces:
+            ids = self._letters(p)
+            if ids is None:
+                rest.append(p)
+            else:
+                self.known[p] = ids
+        pieces = rest
         size = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + (not self.leading))
         at, done = 0, 0
         while at < len(pieces):
