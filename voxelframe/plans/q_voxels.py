@@ -168,7 +168,7 @@ QUERIES = {
     "m1_window_norm": lambda s, d: I.window_norm(_grid(s, d), "hu", 25, 31).select("series_id", "z", "y", "x", F.round("hu", 6).alias("hu")),
     "m2_window_minmax": lambda s, d: I.window_minmax(_grid(s, d), "hu", ["series_id"], 25, 40, 255.0).select("series_id", "z", "y", "x", F.round("hu", 6).alias("hu")),
     "m3_rescale_hu": lambda s, d: I.rescale_hu(T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.when(F.col("l_partkey") % 3 != 0, F.col("l_discount")).alias("slope"), F.col("l_tax").alias("icept")), "l_quantity", "slope", "icept").select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_quantity", 6).alias("v")),
-    "m4_range_clip_norm": lambda s, d: I.range_clip_norm(_grid(s, d), "hu", ["series_id"], "inst", lo=5.0, hi=40.0).select("series_id", "z", "y", "x", F.round("hu", 5).alias("hu")),
+    "m4_range_clip_norm": lambda s, d: I.range_clip_norm(_grid(s, d), "hu", ["series_id"], "inst", lo=5.0, hi=40.0).select("series_id", "z", "y", "x", F.round("hu", 7).alias("hu")),
     "m5_instance_norm": lambda s, d: _six(I.instance_norm(pixels(s, d), "value", ["series_id"]).select("series_id", "y", "x", "value")),
     "m6_dataset_norm": lambda s, d: _six(I.dataset_norm(pixels(s, d), "value", pixels(s, d).groupBy("label").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), ["label"]).select("series_id", "y", "x", "value")),
     "m6_roi_norm": lambda s, d: _six(I.roi_norm(pixels(s, d), "value", ["series_id"], 8, 8).select("series_id", "y", "x", "value")),
@@ -202,6 +202,23 @@ QUERIES = {
 }
 
 V4 = "series_id, z, y, x"
+
+
+def _start(tag, axis, size, extent):
+    """The seeded start of a box on an axis, as the operators draw it."""
+    return f"CAST(floor(('0x' || substr(md5(series_id || '|5{tag}{axis}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE * greatest({extent} - {size} + 1, 1)) AS INTEGER)"
+
+
+def _starts(tag):
+    return ", ".join(f"{_start(tag, a, n, e)} AS s{tag or 'b'}{a}" for a, n, e in (("z", 3, "depth"), ("y", 6, "height"), ("x", 6, "width")))
+
+
+def _in(tag):
+    return " AND ".join(f"{a} >= s{tag}{a} AND {a} < s{tag}{a} + {n}" for a, n in (("z", 3), ("y", 6), ("x", 6)))
+
+
+HU = f"(SELECT series_id, y, x, CAST(round_even(value * 600 - 60, 0) AS INTEGER) AS hu, CAST(x % 3 AS INTEGER) AS label FROM {PIXELS})"
+BLUR = "(WITH k AS (SELECT exp(-0.5::DOUBLE) / (1 + 2 * exp(-0.5::DOUBLE)) AS a, 1 / (1 + 2 * exp(-0.5::DOUBLE)) AS b) SELECT i, CASE WHEN i IN (0, 7) THEN a + b WHEN i IN (1, 6) THEN 3 * a + b ELSE 1 END AS w FROM k, range(0, 8) r(i))"
 ORACLE = {
     "a15_segmentation_areas": f"SELECT series_id, class, count(*) FILTER (gt = class AND pred = class) AS intersect, count(*) FILTER (gt = class OR pred = class) AS union, count(*) FILTER (pred = class) AS pred_area, count(*) FILTER (gt = class) AS label_area FROM {SEG}, (SELECT unnest([0, 1, 2]) AS class) GROUP BY ALL",
     "a16_segmentation_metrics": f"SELECT class, {RATIOS} FROM {AREAS}",
@@ -241,7 +258,7 @@ SELECT round(avg(l), 6) AS dice_loss, round(avg(c), 6) AS accuracy FROM l JOIN s
     "m1_window_norm": f"SELECT {V4}, round((greatest(least(hu, 40), 10) - 10) / 31, 6) AS hu FROM {GRID}",
     "m2_window_minmax": f"WITH c AS (SELECT {V4}, greatest(least(hu, 45), 5) AS h FROM {GRID}), g AS (SELECT *, min(h) OVER (PARTITION BY series_id) AS lo, max(h) OVER (PARTITION BY series_id) AS hi FROM c) SELECT {V4}, round(coalesce((h - lo) / nullif(hi - lo, 0), 0) * 255, 6) AS hu FROM g",
     "m3_rescale_hu": "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_partkey % 3 <> 0 THEN l_quantity * l_discount + l_tax ELSE l_quantity END, 6) AS v FROM lineitem",
-    "m4_range_clip_norm": f"WITH c AS (SELECT {V4}, greatest(least(hu, 40), 5)::DOUBLE AS h FROM {GRID}), g AS (SELECT *, avg(h) OVER (PARTITION BY series_id) AS m, stddev_pop(h) OVER (PARTITION BY series_id) AS s FROM c) SELECT {V4}, round(coalesce((h - m) / nullif(s, 0), 0), 5) AS hu FROM g",
+    "m4_range_clip_norm": f"WITH c AS (SELECT {V4}, greatest(least(hu, 40), 5)::DOUBLE AS h FROM {GRID}), g AS (SELECT *, avg(h) OVER (PARTITION BY series_id) AS m, stddev_pop(h) OVER (PARTITION BY series_id) AS s FROM c) SELECT {V4}, round(coalesce((h - m) / nullif(s, 0), 0), 7) AS hu FROM g",
     "m5_instance_norm": f"WITH g AS (SELECT *, min(value) OVER (PARTITION BY series_id) AS lo, stddev_pop(value) OVER (PARTITION BY series_id) AS s FROM {PIXELS}) SELECT series_id, y, x, round((value - lo) / (s + 1e-6), 6) AS value FROM g",
     "m6_dataset_norm": f"WITH g AS (SELECT *, avg(value) OVER (PARTITION BY label) AS m, stddev_pop(value) OVER (PARTITION BY label) AS s FROM {PIXELS}) SELECT series_id, y, x, round((value - m) / s, 6) AS value FROM g",
     "m6_roi_norm": f"WITH g AS (SELECT *, stddev_pop(CASE WHEN y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 THEN value END) OVER (PARTITION BY series_id) AS s FROM {PIXELS}) SELECT series_id, y, x, round(value / s, 6) AS value FROM g",
@@ -264,6 +281,18 @@ FROM g, range(0, 20) a(zi), range(0, 20) b(yi), range(0, 20) c(xi) WHERE zi < zn
     "m21_roll": f"SELECT series_id, z, y, (x + 3) % 16 AS x, CASE WHEN x + 3 >= 16 THEN -1.0 ELSE hu END AS hu FROM {GRID}",
     "m21_swap_axes": f"SELECT series_id, z, x AS y, y AS x, hu FROM {GRID}",
     "m22_erase_voxels": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY md5(concat_ws('|', series_id, z, y, x, '5')), z, y, x) <= floor(count(*) OVER (PARTITION BY series_id) * 0.4::DOUBLE) AS erase_mask FROM {GRID}) SELECT {V4}, CASE WHEN erase_mask THEN -9.0 ELSE hu END AS hu, erase_mask FROM r",
+    "m7_hist_equalize": f"""WITH p AS (SELECT *, pow(y - 3.5::DOUBLE, 2) + pow(x - 3.5::DOUBLE, 2) <= 9 AS inside FROM {PIXELS}),
+e AS (SELECT series_id, min(value) AS lo, (max(value) - min(value)) / 16 AS w, count(*) AS n FROM p WHERE inside GROUP BY 1),
+c AS (SELECT series_id, b, (SELECT count(*) FROM p WHERE p.series_id = e.series_id AND inside AND least(floor((value - lo) / w), 15) <= b) / n::DOUBLE AS c FROM e, range(0, 16) r(b)),
+q AS (SELECT p.series_id, y, x, greatest(0, least((value - lo) / w - 0.5::DOUBLE, 15)) AS place FROM p JOIN e USING (series_id))
+SELECT q.series_id, y, x, round(l.c + (h.c - l.c) * (place - floor(place)), 6) AS value FROM q JOIN c l ON l.series_id = q.series_id AND l.b = floor(place) JOIN c h ON h.series_id = q.series_id AND h.b = least(floor(place) + 1, 15)""",
+    "m22_erase_box": f"WITH b AS (SELECT series_id, {_starts('')} FROM {SHAPES}), v AS (SELECT g.*, {_in('b')} AS erase_mask FROM {GRID} g JOIN b USING (series_id)) SELECT {V4}, CASE WHEN erase_mask THEN -9.0 ELSE hu END AS hu, erase_mask FROM v",
+    "m22_swap_boxes": f"WITH b AS (SELECT series_id, {_starts('a')}, {_starts('b')} FROM {SHAPES}), v AS (SELECT g.*, b.* EXCLUDE series_id, abs(saz - sbz) >= 3 OR abs(say - sby) >= 6 OR abs(sax - sbx) >= 6 AS apart, {_in('a')} AS in_a, {_in('b')} AS in_b FROM {GRID} g JOIN b USING (series_id)) SELECT series_id, " + ", ".join(f"CASE WHEN apart AND in_a THEN {a} - sa{a} + sb{a} WHEN apart AND in_b THEN {a} - sb{a} + sa{a} ELSE {a} END AS {a}" for a in "zyx") + ", hu FROM v",
+    "m23_gaussian_blur": f"SELECT vec_id, round(2.0 * sum(embedding[CAST(r.i * 8 + c.i + 1 AS INTEGER)]::DOUBLE * r.w * c.w), 5) AS total FROM embeddings, {BLUR} r, {BLUR} c GROUP BY 1",
+    "m28_muscle_fat_split": f"""WITH h AS (SELECT series_id, label, hu::DOUBLE AS v, count(*)::DOUBLE AS n FROM {HU} WHERE label IN (1, 2) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(v * n) OVER w AS cs, sum(v * v * n) OVER w AS cq, sum(n) OVER p AS tn, sum(v * n) OVER p AS ts, sum(v * v * n) OVER p AS tq FROM h WINDOW w AS (PARTITION BY series_id, label ORDER BY v), p AS (PARTITION BY series_id, label)),
+k AS (SELECT series_id, label, arg_min(v, (cq - cs * cs / cn + tq - cq - (ts - cs) * (ts - cs) / (tn - cn), v)) AS cut FROM c WHERE cn < tn GROUP BY ALL)
+SELECT m.series_id, y, x, hu, CASE WHEN hu <= cut AND hu > -190 AND hu <= -30 THEN m.label + 4 ELSE m.label END AS label FROM {HU} m LEFT JOIN k USING (series_id, label)""",
     "m24_remove_scan_table": f"SELECT {V4}, CASE WHEN series_id % 2 = 0 AND pow(x - 8, 2) + pow((y - 7) * 2, 2) > 81 THEN -1024.0 ELSE hu END AS hu FROM {GRID}",
     "m29_split_to_slices": f"SELECT series_id, z, string_agg(hu::INTEGER, ',' ORDER BY y, x, hu) AS image, string_agg(label, ',' ORDER BY y, x, hu) AS label FROM {GRID} GROUP BY ALL",
     "m31_low_value_clip": f"WITH d AS (SELECT series_id, list_sort(list_distinct(list(hu::DOUBLE))) AS v FROM {GRID} GROUP BY 1), l AS (SELECT series_id, v[CAST(least(floor(len(v) * 0.25::DOUBLE), len(v) - 1) AS INTEGER) + 1] AS lo, v[len(v)] AS hi FROM d) SELECT {V4}, round(coalesce((greatest(hu, lo) - lo) / nullif(hi - lo, 0), 0) * 255, 6) AS hu FROM {GRID} JOIN l USING (series_id)",
