@@ -19,15 +19,16 @@ def global_rank(df: DataFrame, part: str, order: Sequence[str | Column]) -> Data
     return inside.join(F.broadcast(before), F.col(part) == F.col("__q")).withColumn("rank", (F.col("__r") + F.col("__b")).cast("long")).drop("__r", "__q", "__b")
 
 
+def _ends(df: DataFrame, key: str) -> list:
+    """Range borders: evenly spaced keys of a sample of 16 keys a range, chosen by hash."""
+    chosen = sorted(r[0] for r in df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(16 * RANGES).collect())
+    return sorted(set(chosen[16::16]))
+
+
 def ranked(df: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """rank of every row by `key` and n, the number of rows; keys should be distinct. Parts are equal ranges of sampled quantiles."""
+    """rank of every row by `key` and n, the number of rows; keys should be distinct (nulls come first)."""
     n = df.count()
-    if df.schema[key].dataType.simpleString() == "string":  # hashes and paths: ranges by the first characters
-        part = F.substring(F.coalesce(key, F.lit("")), 1, 2)
-    else:
-        ends = df.stat.approxQuantile(key, [i / RANGES for i in range(1, RANGES)], 0.001) if n > 1_000_000 else []
-        part = F.lit(0)
-        for e in sorted(set(ends)):
-            part = part + F.when(F.col(key) >= e, 1).otherwise(0)
-    out = global_rank(df.withColumn("__part", part), "__part", [key]).drop("__part").withColumn("n", F.lit(n).cast("long"))
+    ends = _ends(df, key) if n > 16 * RANGES else []
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(key))) if ends else F.lit(0)
+    out = global_rank(df.withColumn("__part", F.coalesce(part, F.lit(0))), "__part", [key]).drop("__part").withColumn("n", F.lit(n).cast("long"))
     return out.withColumn("rank", F.col("n") + 1 - F.col("rank")) if descending else out

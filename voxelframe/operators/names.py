@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.columns import round_even
+from voxelframe.functions.ranks import ranked
 
 
 def file_name(path: Column) -> Column:
@@ -108,9 +109,6 @@ def bin_point(x: Column, width: int = 8, last: int = 63) -> Column:
 
 
 def assign_ids(paths: DataFrame, path_col: str = "path", start: int = 0) -> DataFrame:
-    """Consecutive ids in path order, numbered in two steps: places inside range partitions, then their offsets."""
-    n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = paths.repartitionByRange(n, path_col).withColumn("__p", F.spark_partition_id())
-    from voxelframe.functions.ranks import global_rank
-
-    return global_rank(ordered, "__p", [path_col]).select(*paths.columns, (F.col("rank") - 1 + start).alias("id"))
+    """Consecutive ids in path order, numbered in two steps: places inside key ranges, then their offsets."""
+    rows = paths.select(F.struct(*paths.columns).alias("row"), F.col(path_col).alias("key"))
+    return ranked(rows, "key").select("row.*", (F.col("rank") - 1 + start).alias("id"))

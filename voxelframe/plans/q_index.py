@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.functions.columns import map_of
 from voxelframe.operators import names as N
 from voxelframe.operators import pairing as P
 from voxelframe.operators import sampling as M
@@ -15,7 +14,6 @@ from voxelframe.plans.views import PHASES, VOXELS, phases, table, voxels
 from voxelframe.sources import files as S
 
 T = table
-TAGS = {"k": "00271050"}
 
 
 def _docs(s, d):

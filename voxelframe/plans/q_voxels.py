@@ -85,7 +85,7 @@ PATCH_SCORES = f"(SELECT series_id, 0 AS z, y, x + x0 AS x, x % 3 AS class, valu
 def _class_map(s, d):
     p = T(s, d, "part")
     brand = F.substring_index("p_brand", "#", -1).cast("int")
-    name = F.when(brand % 4 == 0, F.concat(F.lit("union_"), F.substring_index("p_type", " ", 1), F.lit("_"), F.substring_index("p_type", " ", -1))).otherwise(F.substring_index("p_type", " ", 1 if False else -1))
+    name = F.when(brand % 4 == 0, F.concat(F.lit("union_"), F.substring_index("p_type", " ", 1), F.lit("_"), F.substring_index("p_type", " ", -1))).otherwise(F.substring_index("p_type", " ", -1))
     return p.select((F.col("p_size") % 5).alias("dataset"), name.alias("class_name"), brand.alias("class_id")).groupBy("dataset", "class_name").agg(F.min("class_id").alias("class_id"))
 
 
@@ -128,10 +128,6 @@ def _hu(s, d):
     return pixels(s, d).select("series_id", "y", "x", F.bround(F.col("value") * 600 - 60, 0).cast("int").alias("hu"), (F.col("x") % 3).cast("int").alias("label"))
 
 
-def _key(df):
-    return _six(df)
-
-
 QUERIES = {
     "a15_segmentation_areas": lambda s, d: _areas(s, d, ["series_id"]),
     "a16_segmentation_metrics": lambda s, d: _six(E.segmentation_metrics(_areas(s, d))),
