@@ -68,7 +68,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
 
     Whole texts, no special tokens; a null or empty text has no ids. Columns named like the new ones are replaced.
     """
-    small_batches(docs.sparkSession, 3000, 12)
+    small_batches(docs.sparkSession, 2000, 8)
     new = [ids_col, *(["starts", "ends"] if offsets else [])]
     names = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text_col]) if c not in new]
     base = docs.select(*map(col, names), col(text_col).cast("string").alias("__text"))
