@@ -9,6 +9,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelframe.functions.workers import share_package
+
+#: Temporary folders of applications whose session names none.
+_OWN: dict[str, str] = {}
+
 
 def col(name: str) -> Column:
     """The column of exactly this name, dots and spaces included."""
@@ -24,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session does not name one (local tests) a temporary folder is set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
+        base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
         spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/voxelframe/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # the default file system's scheme, if base has none
+    if whole.startswith("file:/") and not whole.startswith("file://"):
+        whole = "file://" + whole.removeprefix("file:")
+    return f"{whole.rstrip('/')}/voxelframe/{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -41,14 +49,8 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, records: int = 1000, megabytes: int = 8) -> None:
-    """Bound Arrow batches by rows and bytes, so that very long texts don't pile up in a Python worker.
-
-    Local Python workers also learn where this package lies; on a cluster it is shipped with --py-files.
-    """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    """Bound Arrow batches by rows and bytes, so that very long texts don't pile up in a Python worker."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
