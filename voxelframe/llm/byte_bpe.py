@@ -68,7 +68,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
 
     Whole texts, no special tokens; a null or empty text has no ids. Columns named like the new ones are replaced.
     """
-    small_batches(docs.sparkSession, 2000, 8)
+    small_batches(docs.sparkSession, 1000, 4)
     new = [ids_col, *(["starts", "ends"] if offsets else [])]
     names = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text_col]) if c not in new]
     base = docs.select(*map(col, names), col(text_col).cast("string").alias("__text"))
@@ -94,7 +94,7 @@ def decode(docs: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "de
     Bytes, not text: a list of ids may begin or end inside a character. text_of() makes text of
     them. Null ids give null, ids outside the table and null elements the replacement character.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000, 4)
     names = [c for c in (keep if keep is not None else docs.columns) if c != out_col]
     base = docs.select(*map(col, names), col(ids_col).alias("__ids"))
 

@@ -71,7 +71,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: Column |
     (default: the text), whole texts each. share: an n-gram belongs to every language in which its
     rate is at least this share of its highest rate. At most 63 languages.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250, 2)
     key = F.xxhash64(col(text)) if key is None else F.xxhash64(key)
     labelled = docs.where(col(lang).isNotNull()).select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.pmod(key, F.lit(1 << 20)).alias("at"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     known gets the most frequent language and score 0. Repeated rows are judged alike. Columns of
     docs named like the two new ones are replaced. Only the text is looked at, and the whole of it.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250, 2)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 ** bits masks
     kept = docs.select(*(keep or [col(c) for c in docs.columns if c not in (lang_col, score_col)]))
     base = kept.withColumn("__text", F.when(col(text).rlike(r"\p{L}"), col(text))) if text in kept.columns else \

@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     empty table gives no rows. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2500, 10)
+    small_batches(spark, 1200, 5)
     pieces = stage(encode_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, leading))
     made = keep or {"ids": F.col("ids")}
     narrow = pieces.select("id", "start", "length", "doc_tokens", *[c.alias(f"__{k}") for k, c in made.items()], F.pmod(F.xxhash64("id", "start"), F.lit(spread)).cast("int").alias("b"))

@@ -107,7 +107,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
     A null text is empty and has its end id only; rows with equal ids stay side by side.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2500, 10)
+    small_batches(spark, 1200, 5)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     ordered = base.repartitionByRange(n, "id").sortWithinPartitions("id", "text")

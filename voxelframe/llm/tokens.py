@@ -42,7 +42,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.nd
 class Encoder:
     """Encodes batches of texts with one tokenizer; `leading` tells that a space belongs to the word after it."""
 
-    def __init__(self, tokenizer, leading: bool, kept: int = 150_000) -> None:
+    def __init__(self, tokenizer, leading: bool, kept: int = 100_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.leading, self.kept = tokenizer, leading, kept
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -163,6 +163,7 @@ class Encoder:
         flat = np.frombuffer(b"".join(ids), "<u4")
         out, n = gather(flat, np.cumsum(sizes) - sizes, sizes, index)
         sums = np.concatenate([[0], np.cumsum(n)])
+        pa.default_memory_pool().release_unused()
         return out, sums[heads + per_doc] - sums[heads]
 
 
