@@ -125,6 +125,21 @@ def test_packing_patterns_use_every_piece():
     assert got == spots
 
 
+def test_packing_of_a_dominating_length():
+    r = np.random.default_rng(1)
+    mixed = {int(k): int(v) for k, v in zip(*np.unique(r.integers(20, 2001, 10000), return_counts=True))}
+    for hist, spare in (({300: 10000}, 1.15), (mixed | {150: mixed.get(150, 0) + 5000}, 1.01), (mixed | {150: mixed.get(150, 0) + 60000}, 1.04), ({1: 5000}, 1.25), ({2048: 7, 1024: 5}, 1.06)):
+        found = packing.patterns(hist, 2048)
+        used = {}
+        for pattern, n in found:
+            assert n > 0 and sum(pattern) <= 2048
+            for k in pattern:
+                used[k] = used.get(k, 0) + n
+        assert used == hist and len(found) <= 3 * len(hist)
+        assert 2048 * sum(n for _, n in found) < spare * sum(k * v for k, v in hist.items())
+    assert sorted(packing.patterns({300: 10000}, 2048)) == [((300,) * 4, 1), ((300,) * 6, 1666)]
+
+
 def test_minhash_against_brute_force(spark):
     r = np.random.default_rng(5)
     texts = []

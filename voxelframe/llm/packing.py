@@ -2,7 +2,8 @@
 
 Documents are encoded, cut into full pieces of `capacity` ids and one rest, and written once. Only
 the histogram of piece lengths (at most `capacity` rows) reaches the driver, where lengths are
-placed longest first into the pack with the most room; packs of equal contents are one pattern
+placed longest first into the pack with the most room, and a pack is opened when none takes the
+piece; packs of equal contents are one pattern
 with a count, so the work depends on the number of lengths and not on the number of documents.
 Pieces then meet their place by rank within their length.
 """
@@ -28,8 +29,11 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         left = histogram[length]
         while left:
             room = max(open_, default=0)
-            if room < length:  # not even the shortest pack takes it
-                open_.setdefault(capacity - length, {})[(length,)] = left
+            if room < length:  # not even the shortest pack takes it: new packs, each filled before the next
+                each = capacity // length
+                for pieces, packs in ((each, left // each), (left % each, 1)):
+                    if pieces and packs:
+                        open_.setdefault(capacity - pieces * length, {})[(length,) * pieces] = packs
                 break
             group = open_[room]
             pattern, count = next(iter(group.items()))
@@ -106,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     narrow = pieces.select("id", "start", "length", "doc_tokens", *[c.alias(f"__{k}") for k, c in made.items()], F.pmod(F.xxhash64("id", "start"), F.lit(spread)).cast("int").alias("b"))
     sizes = stage(narrow.groupBy("length", "b").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(slots(patterns(histogram, capacity)))  # at most two patterns a length
+    places = spark.sparkContext.broadcast(slots(patterns(histogram, capacity)))  # at most three patterns a length
     before = sizes.select("length", "b", (F.sum("n").over(Window.partitionBy("length").orderBy("b")) - F.col("n")).alias("before"))
     # at most capacity * spread rows
     ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("id", "start"))).join(F.broadcast(before), ["length", "b"])
