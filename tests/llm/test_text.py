@@ -233,6 +233,21 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(out)) == 80 and not set(out) & {r["text"] for r in df.collect()}
 
 
+def test_cards_beside_other_numbers(spark):
+    one, two, ip, ssn = "4845168114407329", "4111 1111 1111 1111", "169.122.221.182", "123-45-6789"
+    assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(one)))) % 10 == 0
+    cases = {f"{one} {ip}": ["card", "ip"], f"{one} {ssn}": ["card", "ssn"], f"{two} 123": ["card"], f"{two} 4012 8888 8888 1881": ["card", "card"], f"{two} {ip}": ["card", "ip"], f"{two}-{ssn}": ["card"],
+             f"{two} {ssn}": ["card", "ssn"], f"{one} {one}": ["card", "card"], f"3782 822463 10005 {two} 12": ["card", "card"], f"4111111111111112 {ip}": ["ip"], f"4111 1111 1111 1112 {ssn}": ["ssn"],
+             "4111-1111 1111-1111": ["card"], "4000 1234 4111 1111 1111 1111": ["card"], "4111111111111111222": [], f"12/26 {two}, {one}.": ["card", "card"]}
+    got = {r["case"]: r for r in pii.pseudonymize(spark.createDataFrame([(c, c) for c in cases], "case string, text string"), "key").collect()}
+    for case, kinds in cases.items():
+        assert [e["kind"] for e in got[case]["entities"]] == kinds, case
+        assert len(got[case]["text"]) == len(case) or "ip" in kinds
+        for value in (one, two, "8888 1881", ip) + (() if "-1" in case[:21] else (ssn,)):
+            assert value not in got[case]["text"], case
+    assert got[f"{two} 123"]["text"].endswith(" 123") and got["4111111111111111222"]["text"] == "4111111111111111222"
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", said), (1, 2, "assistant", said + " <\\|x \\"), (1, 3, "us\\er\nq", None), (1, 4, "assistant", "b" * 900), (1, 5, "user", "c " * 60), (1, 6, "assistant", "d " * 60), (1, 7, "user", "e"), (1, 8, "assistant", "é" * 200),

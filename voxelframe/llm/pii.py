@@ -39,10 +39,12 @@ PATTERNS = {
     "ip": r"(?<![\p{L}\p{N}.\-])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "card": r"(?<![\p{L}\p{N}.\-])[2-6][0-9]{3}(?:[ \-]?[0-9]{2,4}){2,5}[0-9](?![\p{L}\p{N}])",
     "name": rf"(?<![{WORD}]){TITLE}\.? \p{{Lu}}[\p{{L}}'’\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,40}}){{0,2}}",
 }
+#: All entities but cards, whose end only the check digit tells: _cards() finds those of a text first.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+CARD = r"[2-6][0-9]{3}(?:[ \-]?[0-9]{2,4}){2,5}[0-9]"
+BEFORE_CARD, AFTER_CARD = r"(?<![\p{L}\p{N}.\-])", r"(?![\p{L}\p{N}])"
 #: Digits of a card by issuer (Visa, Mastercard, American Express, Discover, Diners, JCB, UnionPay).
 ISSUERS = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720)\d{12}|3[47]\d{13}|6(?:011|5\d{2}|4[4-9]\d)\d{12}|3(?:0[0-5]|[68]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}|62\d{14,17})$"
 
@@ -61,6 +63,30 @@ def luhn_sum(s: Column, shift: int = 0) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), F.lit(0), add)
 
 
+def _is_card(value: Column) -> Column:
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return value.rlike(f"^{CARD}$") & digits.rlike(ISSUERS) & (luhn_sum(digits) % 10 == 0)
+
+
+def _cards(text: Column) -> Column:
+    """The cards of a text: at every start the longest run of digits, single blanks and hyphens that is one, whatever number comes next."""
+    runs = F.regexp_extract_all(text, F.lit(BEFORE_CARD + r"(?=([2-6][0-9]{3}(?:[ \-]?[0-9]){9,15}(?s:.{0,2})))"), F.lit(1))
+
+    def longest(run: Column) -> Column:
+        # an end inside a number with dots or hyphens (an address, an SSN) counts only if there is no other, the first one then
+        ends = [(n, AFTER_CARD + r"(?![.\-][0-9])") for n in range(19, 12, -1)] + [(n, AFTER_CARD) for n in range(13, 20)]
+        heads = F.array(*[F.regexp_extract(run, rf"^([0-9](?:[ \-]?[0-9]){{{n - 1}}}){end}", 1) for n, end in ends])
+        return F.try_element_at(F.filter(heads, _is_card), F.lit(1))
+
+    return F.filter(F.array_distinct(F.transform(runs, longest)), lambda c: c.isNotNull())
+
+
+def _any(cards: Column) -> Column:
+    """ANY and these cards, longer ones first."""
+    ordered = F.transform(F.reverse(F.array_sort(F.transform(cards, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))), lambda x: x["c"])
+    return F.when(F.size(cards) > 0, F.concat(F.lit(f"{ANY}|{BEFORE_CARD}(?:"), F.array_join(ordered, "|"), F.lit(f"){AFTER_CARD}"))).otherwise(F.lit(ANY))
+
+
 def iban_rest(s: Column) -> Column:
     """Remainder modulo 97 of an IBAN without blanks; 1 if it is valid."""
     turned = F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))
@@ -83,7 +109,7 @@ def _kind(value: Column) -> Column:
             .when(full("ip"), "ip")
             .when(value.rlike(r"^[+(]"), F.when(F.length(digits).between(7, 15), "phone"))
             .when(full("ssn"), "ssn")
-            .when(value.rlike(r"^[2-6][0-9]{3}[0-9 \-]+$") & F.length(digits).between(13, 19), F.when(digits.rlike(ISSUERS) & (luhn_sum(digits) % 10 == 0), "card"))
+            .when(_is_card(value), "card")
             .when(value.rlike(r"^[A-Za-z0-9_\-./+]{16,200}={0,2}$"), "secret"))
 
 
@@ -222,16 +248,18 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", entities_col
     cols = [c for c in docs.columns if c != entities_col]
     base = docs.select(*map(col, cols))
     text = col(text_col)
-    found = base.where(_maybe(text)).select(F.md5(F.encode(text, "UTF-8")).alias("__k"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))).alias("value")).distinct()
+    found = base.where(_maybe(text)).select(text.alias("text"), _any(_cards(text)).alias("any"))
+    found = found.select(F.md5(F.encode("text", "UTF-8")).alias("__k"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.col("any"), F.lit(0)))).alias("value")).distinct()
     found = stage(found.withColumn("kind", _kind(F.col("value"))).where(F.col("kind").isNotNull()).withColumn("canon", _canonical(F.col("kind"), F.col("value"))))
     settled = _resolve(stage(found.select("kind", "canon").distinct()), key, rounds)
     spelt = found.join(settled, ["kind", "canon"]).select("__k", "value", "kind", _spelt(F.col("kind"), F.col("value"), F.col("surrogate")).alias("s"))
     maps = spelt.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("kind", "s")))).alias("__map"))
     nothing = F.array().cast("array<struct<kind:string,surrogate:string>>")
     some = base.where(_maybe(text)).withColumn("__k", F.md5(F.encode(text, "UTF-8"))).join(maps, "__k", "left")
-    known = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("__map"), v).alias("r")))
+    some = some.withColumn("__any", _any(F.map_keys(F.map_filter("__map", lambda _, r: r["kind"] == "card"))))
+    known = F.transform(F.regexp_extract_all(text, F.col("__any"), F.lit(0)), lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("__map"), v).alias("r")))
     filled = F.concat(F.transform("__known", lambda x: F.coalesce(x["r"]["s"], x["v"])), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(F.split(text, F.col("__any"), -1), filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
     listed = F.transform(F.filter("__known", lambda x: x["r"].isNotNull()), lambda x: F.struct(x["r"]["kind"].alias("kind"), x["r"]["s"].alias("surrogate")))
     some = some.withColumn("__known", F.when(F.col("__map").isNotNull(), known))
     some = some.select(*[(F.when(F.col("__map").isNotNull(), rebuilt).otherwise(text) if c == text_col else col(c)).alias(c) for c in cols], F.when(F.col("__map").isNotNull(), listed).otherwise(nothing).alias(entities_col))
