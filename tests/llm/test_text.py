@@ -248,6 +248,22 @@ def test_cards_beside_other_numbers(spark):
     assert got[f"{two} 123"]["text"].endswith(" 123") and got["4111111111111111222"]["text"] == "4111111111111111222"
 
 
+def test_secrets_of_any_length(spark):
+    long, jwt, huge = "Ab3dE6gh" * 30, "a1B2" * 9 + "." + "c3D4" * 50 + "." + "e5F6" * 10 + "xyz", "Zx9" * 20000
+    cases = {f'token = "{long}"': long, f"token={jwt} end": jwt, f"api_key: {huge}": huge, "password = hunter2abc": "hunter2abc", 'pwd: "p@ss!w0rd#x"': "p@ss!w0rd#x", "{'passwd': 'q@w.e!r'}": "q@w.e!r",
+             "my password: hunter2abc, then": "hunter2abc", "password=4111111111111112": "4111111111111112", "PASSWORD = +12ab(cd": "+12ab(cd", "password: ********": "********", "pwd=пароль1": "пароль1"}
+    same = ["password: abc", "token = abcdef", "no password at all", "pwd: x y z"]
+    got = {r["case"]: r for r in pii.pseudonymize(spark.createDataFrame([(c, c) for c in [*cases, *same]], "case string, text string"), "key").collect()}
+    for case, value in cases.items():
+        before, after = case.split(value)
+        text = got[case]["text"]
+        assert [e["kind"] for e in got[case]["entities"]] == ["secret"] and text.startswith(before) and text.endswith(after) and len(text) == len(case), case[:60]
+        new = text[len(before) : len(text) - len(after)]
+        assert new != value and new[-8:] != value[-8:] and new[:8] != value[:8], case[:60]
+    assert all(got[c]["text"] == c and got[c]["entities"] == [] for c in same)
+    assert len({got[c]["entities"][0]["surrogate"] for c in ("password = hunter2abc", "my password: hunter2abc, then")}) == 1
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", said), (1, 2, "assistant", said + " <\\|x \\"), (1, 3, "us\\er\nq", None), (1, 4, "assistant", "b" * 900), (1, 5, "user", "c " * 60), (1, 6, "assistant", "d " * 60), (1, 7, "user", "e"), (1, 8, "assistant", "é" * 200),

@@ -6,6 +6,9 @@ replacement of the same type: digits stay digits, letters stay letters of their
 cards keep issuer and a valid check digit, IBANs their country and check digits, IPv4 addresses
 stay public or private, names follow the title's gender and the name's script.
 
+An assigned secret is found from 16 characters on (letters, digits and _-./+), an assigned password
+from 6 on (any run without blanks and quotes, less the punctuation at its end), whatever its length.
+
 The same entity gets the same surrogate in the whole corpus, however it is written (case, digit
 separators). Candidates are checked against each other and against every entity found in the
 corpus; those that clash are drawn again until all are distinct. Only entities are shuffled for
@@ -32,9 +35,11 @@ GIVEN = {"latin": {"m": "Adam Bruno Carl David Emil Felix Hugo Ivan Jonas Leo Ma
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve", "cyrillic": "ба бе бо да де до фа фе га ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве"}
 
 TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
+PASSWORD, ASSIGNED = "(?i:password|passwd|pwd)", r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
+    "password": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<={PASSWORD}{ASSIGNED})[^\s\p{{Z}}\"']{{5,}}[^\s\p{{Z}}\"'.,;:)\]}}>]",
     "email": rf"(?<![{WORD}._%+\-])[{WORD}._%+\-]{{1,64}}@[{WORD}\-]{{1,63}}(?:\.[{WORD}\-]{{1,63}}){{1,8}}(?![{WORD}])",
-    "secret": r"(?<=(?i:token|secret|password|passwd|pwd|api[_\-]?key|access[_\-]?key|auth[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-./+]{16,200}={0,2}(?![A-Za-z0-9_/+])",
+    "secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=(?i:token|secret|api[_\-]?key|access[_\-]?key|auth[_\-]?key){ASSIGNED})[A-Za-z0-9_\-./+]{{16,}}+={{0,2}}(?![A-Za-z0-9_/+])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.\-])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
@@ -102,15 +107,15 @@ def iban_rest(s: Column) -> Column:
 def _kind(value: Column) -> Column:
     """Type of a match, null if it is none after all (check digits, issuer)."""
     digits, bare = F.regexp_replace(value, "[^0-9]", ""), F.regexp_replace(value, " ", "")
-    full = lambda k: value.rlike(f"^(?:{PATTERNS[k].split('|')[0] if k == 'phone' else PATTERNS[k]})$")
-    return (F.when(value.contains("@"), "email")
+    full = lambda k: value.rlike(f"^(?:{PATTERNS[k]})$")
+    return (F.when(full("email"), "email")
             .when(value.rlike(rf"^{TITLE}\.? "), "name")
             .when(value.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), F.when((iban_rest(bare) == 1) & F.length(bare).between(15, 34), "iban").when(~value.contains(" "), "secret"))
             .when(full("ip"), "ip")
-            .when(value.rlike(r"^[+(]"), F.when(F.length(digits).between(7, 15), "phone"))
+            .when(full("phone"), F.when(F.length(digits).between(7, 15), "phone"))
             .when(full("ssn"), "ssn")
             .when(_is_card(value), "card")
-            .when(value.rlike(r"^[A-Za-z0-9_\-./+]{16,200}={0,2}$"), "secret"))
+            .when(~value.rlike(r"\s"), "secret"))
 
 
 def _canonical(kind: Column, value: Column) -> Column:
@@ -135,15 +140,16 @@ def _pick(pool: str, n: Column) -> Column:
 
 def _alike(s: Column, digest: Column) -> Column:
     """Every character replaced by one of its class: digit, case and script stay, other signs too."""
-    def one(i: Column) -> Column:
-        c, n = F.substr(s, i, F.lit(1)), _byte(digest, i)
+    def one(c: Column, i: Column, d: Column) -> Column:
+        n = _byte(d, i + 1)
         return (F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
                 .when(c.rlike("[ß-öø-ÿ]"), _pick("àâäéèêëîïôöùûüçñ", n)).when(c.rlike("[À-ÖØ-Þ]"), _pick("ÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑ", n))
                 .when(c.rlike("[а-яё]"), _pick("абвгдежзиклмнопрстуфхцчшэюя", n)).when(c.rlike("[А-ЯЁ]"), _pick("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", n))
                 .when(c.rlike("[α-ω]"), _pick("αβγδεζηθικλμνξοπρστυφχψω", n)).when(c.rlike("[Α-Ω]"), _pick("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", n))
                 .when(c.rlike(r"\p{IsHan}"), _pick("天地人山水火木金土日月星春夏秋冬", n)).otherwise(c))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), one), "")
+    # the digest is bound once, not drawn for every character
+    return F.element_at(F.transform(F.array(digest), lambda d: F.array_join(F.transform(F.split(s, ""), lambda c, i: one(c, i, d)), "")), 1)
 
 
 def _choose(words: str, n: Column) -> Column:
@@ -194,9 +200,11 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     account = F.substr(alike, F.lit(5))
     country = F.substr(canon, F.lit(1), F.lit(2))
     iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+    # few letters and digits, other scripts, or a crowded format: every sign becomes a letter
+    narrow = (F.length(F.regexp_replace(canon, "[^A-Za-z0-9]", "")) < 6) | canon.rlike(r"[^\x00-\x7F]") | (attempt >= 4)
     is_hex = canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     hexed = F.substr(digest, F.lit(1), F.length(canon))
-    secret = F.when(is_hex & (F.length(canon) <= 256), F.when(canon.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)).otherwise(alike)
+    secret = F.when(is_hex & F.length(canon).between(6, 256) & (attempt < 4), F.when(canon.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)).when(narrow, _alike(F.regexp_replace(canon, r".", "a"), digest)).otherwise(alike)
     return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip)
             .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", _name(canon, digest, key, attempt)).otherwise(alike))
 
@@ -217,7 +225,7 @@ def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
 def _maybe(text: Column) -> Column:
     """Whether a text has any of the signs that every entity has: cheap scans that begin with one rare character each."""
     names = "[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=lambda t: (-len(t), t))) + r")\.? \p{Lu}"
-    return F.coalesce(text.contains("@") | text.rlike("[0-9][0-9.() -]{4}") | text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}") | text.rlike(r"[=:]\s{0,3}[\"']?[A-Za-z0-9_\-./+]{16}") | text.rlike(names), F.lit(False))
+    return F.coalesce(text.contains("@") | text.rlike("[0-9][0-9.() -]{4}") | text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}") | text.rlike(r"[=:]\s{0,3}[\"']?[A-Za-z0-9_\-./+]{16}") | text.rlike(rf"[=:](?<={PASSWORD}[\"']?\s{{0,3}}.)\s{{0,3}}[\"']?[^\s\"']{{6}}") | text.rlike(names), F.lit(False))
 
 
 def _resolve(entities: DataFrame, key: str, rounds: int) -> DataFrame:
