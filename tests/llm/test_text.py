@@ -264,6 +264,13 @@ def test_secrets_of_any_length(spark):
     assert len({got[c]["entities"][0]["surrogate"] for c in ("password = hunter2abc", "my password: hunter2abc, then")}) == 1
 
 
+def test_crowded_private_addresses_settle(spark):
+    """Every 192.168 address that a surrogate could be is itself in the corpus."""
+    canon = F.concat(F.lit("192.168."), F.floor(F.col("id") / 254).cast("string"), F.lit("."), (F.col("id") % 254 + 1).cast("string"))
+    out = pii._resolve(spark.range(255 * 254).select(F.lit("ip").alias("kind"), canon.alias("canon")), "key", 9).toPandas()
+    assert len(out) == 255 * 254 == out["surrogate"].nunique() and out["surrogate"].str.startswith("10.").all()
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", said), (1, 2, "assistant", said + " <\\|x \\"), (1, 3, "us\\er\nq", None), (1, 4, "assistant", "b" * 900), (1, 5, "user", "c " * 60), (1, 6, "assistant", "d " * 60), (1, 7, "user", "e"), (1, 8, "assistant", "é" * 200),

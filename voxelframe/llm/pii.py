@@ -4,7 +4,7 @@ Detected entities (e-mail and IPv4 addresses, payment cards, phone numbers, soci
 numbers, IBANs, secrets that are assigned to a key word, names after a title) get a keyed
 replacement of the same type: digits stay digits, letters stay letters of their script and case,
 cards keep issuer and a valid check digit, IBANs their country and check digits, IPv4 addresses
-stay public or private, names follow the title's gender and the name's script.
+stay public or private (192.168 moves to 10 where it is crowded), names follow the title's gender and the name's script.
 
 An assigned secret is found from 16 characters on (letters, digits and _-./+), an assigned password
 from 6 on (any run without blanks and quotes, less the punctuation at its end), whatever its length.
@@ -196,7 +196,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     parts = F.split(canon, r"\.")
     first, second = F.element_at(parts, 1), F.element_at(parts, 2)
     inside = (first == "10") | ((first == "192") & (second == "168")) | (first == "127")
-    ip = F.concat_ws(".", F.when(inside, first).otherwise((11 + F.pmod(n(1), F.lit(112))).cast("string")), F.when((first == "192") & inside, second).otherwise(F.pmod(n(2), F.lit(255)).cast("string")), F.pmod(n(3), F.lit(255)).cast("string"), (1 + F.pmod(n(4), F.lit(254))).cast("string"))
+    crowded = (first == "192") & inside & (attempt >= 4)  # 192.168 has 64,770 surrogates; 10.0.0.0/8 is private too
+    ip = F.concat_ws(".", F.when(crowded, "10").when(inside, first).otherwise((11 + F.pmod(n(1), F.lit(112))).cast("string")), F.when((first == "192") & inside & ~crowded, second).otherwise(F.pmod(n(2), F.lit(255)).cast("string")), F.pmod(n(3), F.lit(255)).cast("string"), (1 + F.pmod(n(4), F.lit(254))).cast("string"))
     account = F.substr(alike, F.lit(5))
     country = F.substr(canon, F.lit(1), F.lit(2))
     iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
