@@ -15,8 +15,13 @@ from voxelframe.llm.queries import PII_KEY, held_out
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a text or a letter in it go (`und`), and those without evidence for any language (score 0)."""
+    """Documents without a text or a letter in it go (`und`), and those without evidence for any language (score 0).
+
+    If no document to learn from has a language, nothing can be told of any, and only those without a letter go.
+    """
     model = langid.train(docs.where(~held_out()), key=F.col("doc_id"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     judged = langid.identify(docs, model, lang_col="__lang", score_col="__score")
     return judged.where((F.col("__lang") != "und") & (F.col("__score") > 0)).drop("__lang", "__score")
 

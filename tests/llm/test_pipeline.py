@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from voxelframe.llm.common import stage
 
 
@@ -23,6 +25,14 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in packed.collect()} == set(rows[2])
 
 
+def test_language_id_without_any_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    odd = spark.createDataFrame([(10**6, None, None, "s", 0), (10**6 + 1, "123 456", None, "s", 7), (10**6 + 2, "", None, None, None)], docs.schema)
+    bare = docs.unionByName(odd).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, bare, sf)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns)
