@@ -21,6 +21,12 @@ def test_query(spark, sf, con, name):
         assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_split_and_expansion_grow_with_the_input(spark, sf):
+    orders, lines = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    assert QUERIES["w4_holdout_split_orders"](spark, sf).count() == 2 * orders - 1
+    assert QUERIES["m30_expand_samples_lineitem"](spark, sf).count() == 3 * lines
+
+
 def test_entry_imports():
     import __spark_entry__
 

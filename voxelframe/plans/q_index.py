@@ -125,6 +125,7 @@ QUERIES = {
     "w2_cumulative_split": lambda s, d: W.cumulative_split(T(s, d, "orders"), "o_orderkey"),
     "w3_kfold": lambda s, d: W.kfold(T(s, d, "orders"), "o_orderkey", 5),
     "w4_holdout_split": lambda s, d: W.holdout_split(T(s, d, "nation"), "n_nationkey", 3),
+    "w4_holdout_split_orders": lambda s, d: W.holdout_split(T(s, d, "orders"), "o_orderkey", 3),
     "w5_top_n": lambda s, d: W.top_n(T(s, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 32),
     "w6_positive_negative_slices": lambda s, d: M.positive_negative_slices(phases(s, d), 3, 2, 1, 5),
     "w7_serial_window": lambda s, d: M.serial_window(phases(s, d), 3, 1).withColumn("idx_list", F.array_join(F.col("idx_list").cast("array<string>"), ",")),
@@ -141,6 +142,7 @@ QUERIES = {
     "w18_foreground_span": lambda s, d: L.foreground_span(voxels(s, d), "series_id", "z", "label", 2),
     "w20_assign_ids": lambda s, d: N.assign_ids(T(s, d, "part").groupBy(F.col("p_name").alias("path")).agg(F.count(F.lit(1)).alias("n"))),
     "m30_expand_samples": lambda s, d: W.expand_samples(T(s, d, "nation").select("n_nationkey"), 3),
+    "m30_expand_samples_lineitem": lambda s, d: W.expand_samples(T(s, d, "lineitem").select("l_orderkey", "l_linenumber"), 3),
 }
 
 
@@ -220,6 +222,7 @@ SELECT exp, n_datasets, CAST(sum(files) AS BIGINT) AS n_files, CASE WHEN n_datas
     "w2_cumulative_split": "SELECT o_orderkey, CASE WHEN pos < floor(n * 0.7::DOUBLE) - 1 THEN 'train' WHEN pos < floor(n * 0.75::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM " + ORDERED.format("o_orderkey"),
     "w3_kfold": "SELECT o_orderkey, CAST(((pos + 1) * 5 - 1) // n + 1 AS INTEGER) AS fold FROM " + ORDERED.format("o_orderkey"),
     "w4_holdout_split": "SELECT n_nationkey, unnest(CASE WHEN n_nationkey = 3 THEN ['test'] ELSE ['train', 'val'] END) AS split FROM nation",
+    "w4_holdout_split_orders": "SELECT o_orderkey, unnest(CASE WHEN o_orderkey = 3 THEN ['test'] ELSE ['train', 'val'] END) AS split FROM (SELECT DISTINCT o_orderkey FROM orders)",
     "w5_top_n": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 32",
     "w6_positive_negative_slices": f"""WITH s AS (SELECT * FROM {SLICES} WHERE status = 'normal' AND label_index IS NOT NULL)
 SELECT patient, phase, idx, true AS is_positive FROM s WHERE dist <= 1 UNION ALL SELECT patient, phase, idx, false FROM (SELECT * FROM s WHERE dist > 1 QUALIFY row_number() OVER (PARTITION BY patient, phase ORDER BY md5(concat_ws('|', patient, phase, idx, '5')), idx) <= 2)""",
@@ -237,4 +240,5 @@ SELECT patient, phase, idx, true AS is_positive FROM s WHERE dist <= 1 UNION ALL
     "w18_foreground_span": f"WITH g AS (SELECT series_id, min(z) FILTER (label > 0) AS first, max(z) FILTER (label > 0) AS last, max(z) + 1 AS depth FROM {VOXELS} GROUP BY 1) SELECT series_id, first, last, CASE WHEN first IS NOT NULL THEN greatest(0, first - 1) END AS start_min, CASE WHEN first IS NOT NULL THEN greatest(0, least(CASE WHEN last > first THEN last - 1 ELSE first END, depth - 2)) END AS start_max FROM g",
     "w20_assign_ids": "SELECT p_name AS path, count(*) AS n, row_number() OVER (ORDER BY p_name) - 1 AS id FROM part GROUP BY p_name",
     "m30_expand_samples": "SELECT n_nationkey, unnest([0, 1, 2]) AS copy_no FROM nation",
+    "m30_expand_samples_lineitem": "SELECT l_orderkey, l_linenumber, unnest([0, 1, 2]) AS copy_no FROM lineitem",
 }
