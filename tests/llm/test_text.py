@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxelframe.llm import byte_bpe, chat, langid, minhash, packing, pii, token_files, url_filter
+from voxelframe.llm import byte_bpe, chat, langid, minhash, packing, pii, token_files, tokens, url_filter
 from voxelframe.llm.common import shared_dir, tokenizer_file
 
 TEXTS = ["Hello  world, it's 12.5 <|endoftext|>!", None, "", " lead and trail ", "a\n b \n c　d\x85e", "ça va déjà 中文 😀 ￼", "x" * 3000 + " " + "word, " * 900, "Hello  world, it's 12.5 <|endoftext|>!", "tab\tand\r\nline"]
@@ -49,11 +49,11 @@ def test_byte_bpe(spark, docs):
 def test_token_files(spark, docs):
     path = tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     folder = shared_dir(spark)
-    manifest = token_files.write(docs, folder, path, frame_ids=64, partitions=3)
+    manifest = token_files.write(docs, folder, path, frame_ids=64, partitions=3, file_docs=2)
+    assert manifest.count() > 3 and manifest.agg(F.max("n_docs")).first()[0] == 2
     want, start = [], 0
-    for i, x in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, x in sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0)):  # equal ids in the order of the input
         ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [0], "<u4").tobytes()
         want.append((i if i is not None else -1, start, zlib.crc32(ids)))
         start += len(ids) // 4
@@ -72,6 +72,46 @@ def test_token_files(spark, docs):
     with pytest.raises(ValueError):
         r.frame(0)
     assert token_files.read(spark, _empty(spark, docs, path)).count() == 0
+    frames = by_specification(bytes(data))
+    assert b"".join(frames) == b"".join(ids for _, _, ids in token_files.Reader(io.BytesIO(bytes(data)), len(data)).documents())
+    assert by_specification(bytes(data), only=0) == frames[:1]
+
+
+def by_specification(data, only=None):
+    """The data frames of a file in the public seekable format, read by nothing but its description."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    n, descriptor, magic = struct.unpack("<IBI", data[-9:])
+    assert magic == 0x8F92EAB1 and descriptor & 0x7C == 0
+    entry = 12 if descriptor & 0x80 else 8
+    head, size = struct.unpack("<II", data[len(data) - 9 - entry * n - 8 :][:8])
+    assert head == 0x184D2A5E and size == entry * n + 9
+    at, out = 0, []
+    for i in range(n):
+        packed, raw, check = struct.unpack("<III", data[len(data) - 9 - entry * (n - i) :][:12])
+        if raw and only in (None, i):
+            out.append(zstandard.ZstdDecompressor().decompress(data[at : at + packed]))
+            assert len(out[-1]) == raw and xxhash.xxh64(out[-1]).intdigest() & 0xFFFFFFFF == check
+        at += packed
+    assert at == len(data) - 9 - entry * n - 8
+    return out
+
+
+def test_documents_over_several_frames(monkeypatch):
+    import io
+
+    monkeypatch.setattr(token_files, "BIG_FRAME", 10)
+    made, out = {k: np.arange(k, 2 * k, dtype="<u4").tobytes() for k in (3, 35, 20, 1)}, io.BytesIO()
+    w = token_files.Writer(out, 8)
+    for k, ids in made.items():
+        w.add(k, ids)
+    w.close()
+    r = token_files.Reader(out, out.tell())
+    assert {k: ids for _, k, ids in r.documents()} == made and {k: ids for _, k, ids in r.documents({35, 1})} == {k: made[k] for k in (35, 1)}
+    assert b"".join(by_specification(out.getvalue())) == b"".join(made.values())
 
 
 def _empty(spark, docs, path):
@@ -83,8 +123,7 @@ def _empty(spark, docs, path):
 def test_packing(spark, docs):
     path = tokenizer_file("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    packed = packing.pack(docs, path, capacity=128, spread=3)
+    packed = packing.pack(docs, path, capacity=128, share=1)
     p = packed.toPandas()
     whole = {}
     for (i, start), ids in zip(zip(p["doc_id"], p["start"]), p["ids"]):
@@ -104,6 +143,51 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_of_a_frequent_length_over_several_tasks(spark):
+    """Repeated rows, null ids and one length for nearly all."""
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.lit(5)).alias("doc_id"), F.when(F.col("id") < 880, F.lit("one two three")).alias("text"))
+    p = packing.pack(df, tokenizer_file("word_bpe_49k.json"), capacity=16, share=50).toPandas()
+    assert len(p) == 900 and not p.duplicated(["sequence_id", "offset"]).any()
+    for _, g in p.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() == g["filled"].iat[0] <= 16
+    assert p["sequence_id"].nunique() <= 225
+
+
+PARTS = ["a", "the", "The", "s", "t", "re", "'", "'", " ", " ", "\n", "  ", "\t", "\r\n", "1", "23", "é", "É", "ß", "İ", "ı", "ñ", "×", "Σ", "ς", "ж", "Я", "中", "한", "😀", "\u0301", "\u0307", "\u030c", "J", "I", "\u00a0", "\u0085", "\u3000", "\u2028", "\x1c", "\x00",
+         "<|endoftext|>", "<|startoftext|>", "<|", "...", ",", "-", "$", "µ", "²", "ª", "ǅ", "ŉ", "Ⱥ", "Ə", "҂", "अ", "ा", "ไ", "it's", "BELEDİYESİ,", "’s", "“"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_encoder_against_the_library(name, as_text, monkeypatch):
+    """Random strings of letters, signs, white space and control strings, in batches cut at several sizes."""
+    import pyarrow as pa
+
+    path = tokenizer_file(name)
+    load = lambda: Tokenizer.from_file(path) if name.endswith("json") else byte_bpe.tokenizer_of(path, public_tokenizers.PATTERN)
+    r = np.random.default_rng(3)
+    texts = [None, "", "İ,", "a <|endoftext|> b"] + ["".join(r.choice(PARTS, r.integers(1, 20))) for _ in range(3000)] + ["".join(r.choice(["word", "İ", "é", " ", " ", "\n", ","], 4000)) for _ in range(2)]
+    plain, encoder = load(), tokens.Encoder(load(), as_text, kept=500)
+    plain.encode_special_tokens = as_text
+    want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encoder.style == ("word" if name.startswith("word") else "byte")
+    for stride in (4 << 20, 700):
+        monkeypatch.setattr(tokens, "STRIDE", stride)
+        ids, n = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_encoder_of_an_unknown_tokenizer():
+    import pyarrow as pa
+    from tokenizers import pre_tokenizers
+
+    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Whitespace(), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    want = t.encode("a b, c'd", add_special_tokens=False).ids
+    e = tokens.Encoder(t)
+    assert e.style is None and e.encode(pa.array(["a b, c'd"]))[0].tolist() == want
+
+
 def test_packing_patterns_use_every_piece():
     r = np.random.default_rng(0)
     hist = {int(k): int(v) for k, v in zip(*np.unique(np.minimum(2048, r.geometric(1 / 600, 5000)), return_counts=True))}
@@ -180,6 +264,16 @@ def test_minhash_against_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_id(spark):
+    """600 texts under one id and 300 copies of one of them under none: one row for each class, no pairs."""
+    text = F.concat(F.lit("w"), F.col("id"), F.lit(" x"), (F.col("id") * 7) % 601, F.lit(" a b c d e f g"))
+    df = spark.range(900).select(F.when(F.col("id") < 600, F.lit(4).cast("long")).alias("doc_id"), F.when(F.col("id") < 600, text).otherwise(F.lit("w1 x7 a b c d e f g")).alias("text"), F.lit("k").alias("Whole"))
+    got = minhash.near_duplicates(df)
+    assert got.count() == 900 and got.where("n_shingles = 5 and component_id = 4").count() == 900
+    one = minhash.deduplicate(df.withColumn("key", F.lit("c")))
+    assert one.columns == ["doc_id", "text", "Whole", "key"] and one.count() == 600
+
+
 def test_signature_estimates_similarity():
     a, b = minhash._permutations(200, 1)
     x, y = np.arange(1000, dtype=np.uint64) * np.uint64(7919), np.arange(200, 1200, dtype=np.uint64) * np.uint64(7919)
@@ -197,10 +291,54 @@ def test_language_id(spark, sf):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] in model.languages and got[5][0] == "en"
     assert langid.identify(odd.limit(0), model).count() == 0
+    clash = langid.identify(odd.toDF("doc_id", "text", "Lang_Pred").withColumn("judged", F.lit("j")), model)
+    assert clash.columns == ["doc_id", "text", "judged", "lang_pred", "score"] and clash.count() == 6
     none = langid.train(odd.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_id_against_counting(spark, sf):
+    """n-gram sets counted in plain Python, looked up exactly: the same languages, and scores as close as the filter's correction."""
+    from collections import Counter
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    rows, model = d.collect(), langid.train(d, key=F.col("doc_id"), max_docs=10**9)
+
+    def grams(text):
+        b = " " + re.sub(r"[\x00-@\[-`{-\x7f]", " ", text.lower()) + " "
+        b = b.encode()
+        return [b[i : i + 4] for i in range(len(b) - 3) if b"  " not in b[i : i + 4]]
+
+    counts = {}
+    for r in rows:
+        counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    rates = {k: {g: n / sum(c.values()) for g, n in c.items() if n / sum(c.values()) >= 2e-5} for k, c in counts.items() if k is not None}
+    top = Counter()
+    for c in rates.values():
+        top |= Counter(c)
+    sets = {k: {g for g, x in c.items() if x >= 0.3 * top[g]} for k, c in rates.items()}
+    assert model.languages == tuple(sorted(sets))
+    got = {r["doc_id"]: r for r in langid.identify(d, model).collect()}
+    differ = 0
+    for r in rows:
+        found = {k: sum(g in s for g in grams(r["text"])) for k, s in sets.items()}
+        total = sum(found.values())
+        if total < 20:
+            continue
+        differ += got[r["doc_id"]]["lang_pred"] != max(sorted(found), key=found.get)
+        assert abs(got[r["doc_id"]]["score"] - max(found.values()) / total) < 0.1
+    assert differ <= len(rows) // 200
+
+
+def test_language_id_beyond_64_languages(spark):
+    words = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in "qwerty uiop asdf".split())
+    df = spark.createDataFrame([(i, words(i) + " " + words(i), f"l{i:03d}") for i in range(150)], "doc_id int, text string, lang string")
+    model = langid.train(df)
+    assert model.slices.shape == (3, 1 << 19)
+    p = langid.identify(df, model).toPandas()
+    assert (p["lang"] == p["lang_pred"]).mean() > 0.95
+
+
 def test_surrogates(spark):
     text = "Mr. John Smith met Mrs. Jane Doe and Mr. John Smith. IBAN DE89 3704 0044 0532 0130 00, ssn 123-45-6789, card 4111 1111 1111 1111 or 4111-1111-1111-1111, 10.1.2.3 +44 20 7946 0958 (212) 555-1234 api_key: abcd1234efgh5678ijkl A.B@X.COM a.b@x.com"
     rows = [(1, text, "e"), (2, None, "e"), (3, "", "e"), (4, "nothing 1234567890123456 at all 12.30 2024-01-02 v1.2.3.4", "e"), (5, text, "e"), (6, "mail " + "w " * 50000 + "x@y.org", "e"), (7, "ask x@y.org", "e")]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from voxelframe.llm.common import col, small_batches
+from voxelframe.llm.common import bounded, col, share_package, unused, without
 from voxelframe.llm.tokens import Encoder, byte_characters
 
 
@@ -41,7 +41,7 @@ def tokenizer_of(path: str, pattern: str):
 
 @functools.lru_cache(maxsize=4)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(tokenizer_of(path, pattern), leading=True)
+    return Encoder(tokenizer_of(path, pattern))
 
 
 @functools.lru_cache(maxsize=4)
@@ -68,14 +68,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", id
 
     Whole texts, no special tokens; a null or empty text has no ids. Columns named like the new ones are replaced.
     """
-    small_batches(docs.sparkSession, 1000, 4)
+    share_package(docs.sparkSession)
     new = [ids_col, *(["starts", "ends"] if offsets else [])]
-    names = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text_col]) if c not in new]
-    base = docs.select(*map(col, names), col(text_col).cast("string").alias("__text"))
+    names = without(keep if keep is not None else without(docs.columns, text_col), *new)
+    base = docs.select(*map(col, names), col(text_col).cast("string").alias(*unused(names, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, table = _encoder(ranks, pattern), np.array([len(b) for b in _bytes_of(ranks)], np.int64)
-        for b in batches:
+        for b in bounded(batches):
             ids, n = enc.encode(b.column(len(names)))
             at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             made = [pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32)))]
@@ -94,14 +94,14 @@ def decode(docs: DataFrame, ranks: str, ids_col: str = "ids", out_col: str = "de
     Bytes, not text: a list of ids may begin or end inside a character. text_of() makes text of
     them. Null ids give null, ids outside the table and null elements the replacement character.
     """
-    small_batches(docs.sparkSession, 1000, 4)
-    names = [c for c in (keep if keep is not None else docs.columns) if c != out_col]
-    base = docs.select(*map(col, names), col(ids_col).alias("__ids"))
+    share_package(docs.sparkSession)
+    names = without(keep if keep is not None else docs.columns, out_col)
+    base = docs.select(*map(col, names), col(ids_col).alias(*unused(names, "ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(ranks)
         gap, last = "�".encode(), len(_bytes_of(ranks))
-        for b in batches:
+        for b in bounded(batches):
             lists = b.column(len(names))
             flat = lists.flatten()
             values = flat.fill_null(-1).to_numpy(zero_copy_only=False)

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.functions.workers import share_package
-
-#: Temporary folders of applications whose session names none.
-_OWN: dict[str, str] = {}
+from voxelframe.functions.workers import arrow_batches, remove_folder, share_package, shared_folder
 
 
 def col(name: str) -> Column:
@@ -20,39 +17,50 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def without(columns: Iterable[str], *names: str) -> list[str]:
+    """columns but those that Spark takes for one of names: it does not tell upper from lower case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """For each name one like it that is no column yet."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    return shared_folder(spark, "llm")
+
+
+def stage(df: DataFrame, path: str | None = None, records: int = 1000, megabytes: int = 8) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Only where the session does not name one (local tests) a temporary folder is set.
+    Arrow batches of its Python parts hold at most `records` rows and about `megabytes`.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
-    if not base:
-        base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="voxelframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()  # the default file system's scheme, if base has none
-    if whole.startswith("file:/") and not whole.startswith("file://"):
-        whole = "file://" + whole.removeprefix("file:")
-    return f"{whole.rstrip('/')}/voxelframe/{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    with arrow_batches(spark, records, megabytes):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, records: int = 1000, megabytes: int = 8) -> None:
-    """Bound Arrow batches by rows and bytes, so that very long texts don't pile up in a Python worker."""
-    share_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000, megabytes: int = 4) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and about `megabytes`, whatever the session's Arrow settings."""
+    for b in batches:
+        step = max(1, min(rows, int(b.num_rows * (megabytes << 20) / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def tokenizer_file(name: str) -> str:
@@ -74,7 +82,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     nor labels reach the driver, only a count and a checksum do. Null ends are ignored.
     """
     ends = edges.where(col(u).isNotNull() & col(v).isNotNull()).select(F.least(col(u), col(v)).alias("a"), F.greatest(col(u), col(v)).alias("b"))
-    e = stage(ends.where(F.col("a") < F.col("b")).distinct())
+    spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
+    e = stage(ends.where(F.col("a") < F.col("b")).distinct(), path)
     mark = _mark(e)
     while mark[0]:
         both = e.select(F.col("a").alias("n"), F.col("b").alias("x")).unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("x")))
@@ -83,8 +92,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(low, "b")
         small = joined.where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = stage(small.unionByName(low.select(F.col("m").alias("a"), "b")).distinct())
-        mark, before = _mark(e), mark
+        e = stage(small.unionByName(low.select(F.col("m").alias("a"), "b")).distinct(), done := shared_dir(spark))
+        remove_folder(spark, path)
+        path, mark, before = done, _mark(e), mark
         if mark == before:
             break
     roots = e.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxelframe.llm.common import col, small_batches
+from voxelframe.llm.common import bounded, col, share_package, stage, unused, without
 
 GRAM = 4
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -69,39 +70,41 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: Column |
 
     max_docs: documented bound of the sample per language: rows are taken by a hash of `key`
     (default: the text), whole texts each. share: an n-gram belongs to every language in which its
-    rate is at least this share of its highest rate. At most 63 languages.
+    rate is at least this share of its highest rate. The model grows by 2 ** bits masks of 64 bits
+    for every 64 languages.
     """
-    small_batches(docs.sparkSession, 250, 2)
+    spark = docs.sparkSession
     key = F.xxhash64(col(text)) if key is None else F.xxhash64(key)
-    labelled = docs.where(col(lang).isNotNull()).select(col(lang).cast("string").alias("lang"), col(text).alias("text"), F.pmod(key, F.lit(1 << 20)).alias("at"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    if len(counts) > 63:
-        raise ValueError("more than 63 languages")
+    labelled = docs.where(col(lang).isNotNull()).select(col(lang).cast("string").alias("lang"), col(text).cast("string").alias("text"), F.pmod(key, F.lit(1 << 20)).alias("at"))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not counts:
-        return LanguageModel((), np.zeros(1, np.uint64), np.zeros(0), 0)
+        return LanguageModel((), np.zeros((1, 1), np.uint64), np.zeros(0), 0)
     languages = tuple(sorted(counts))
+    place = {k: i for i, k in enumerate(languages)}
     cut = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, max_docs / counts[k]) * (1 << 20)) + 1)])
     chosen = labelled.where(F.col("at") < cut[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 250, 2):
             grams, n = _grams(b.column("text").to_pylist())
-            names = np.array([languages.index(x) for x in b.column("lang").to_pylist()], np.uint64)
+            names = np.array([place[x] for x in b.column("lang").to_pylist()], np.uint64)
             tagged, c = np.unique(np.repeat(names, n) << np.uint64(32) | grams.astype(np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array((tagged >> np.uint64(32)).astype(np.int32)), pa.array((tagged & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(c.astype(np.int64))], ["l", "gram", "n"])
 
-    grams = chosen.mapInArrow(count, "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n"))
+    # counted once: the totals and the rates read the written table
+    grams = stage(chosen.mapInArrow(count, "l int, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")), records=250, megabytes=2)
     totals = F.create_map(*[F.lit(x) for r in grams.groupBy("l").agg(F.sum("n").alias("t")).collect() for x in (r["l"], float(r["t"]))] or [F.lit(0), F.lit(1.0)])
     rated = grams.withColumn("rate", F.col("n") / totals[F.col("l")]).where(F.col("rate") >= min_rate)
     by_gram = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("l", "rate")).alias("each"))
-    mask = F.aggregate(F.filter("each", lambda e: e["rate"] >= share * F.col("top")), F.lit(0).cast("long"), lambda a, e: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e["l"])))
-    learned = by_gram.select("gram", mask.alias("mask")).toPandas()  # at most languages / min_rate rows
+    owners = F.explode(F.filter("each", lambda e: e["rate"] >= share * F.col("top")))
+    learned = by_gram.select("gram", owners.alias("o")).select("gram", "o.l").toPandas()  # at most languages / min_rate rows
+    owner, grams_ = learned["l"].to_numpy(np.int64), learned["gram"].to_numpy(np.uint64)
+    slices = np.zeros((-(-len(languages) // 64), 1 << bits), np.uint64)
+    for at in _positions(grams_, bits):
+        np.bitwise_or.at(slices, (owner // 64, at.astype(np.int64)), np.uint64(1) << (owner % 64).astype(np.uint64))
+    fill = np.array([np.mean(slices[i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(languages))])
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    slices = np.zeros(1 << bits, np.uint64)
-    for at in _positions(learned["gram"].to_numpy(np.uint64), bits):
-        np.bitwise_or.at(slices, at.astype(np.int64), learned["mask"].to_numpy(np.uint64))
-    fill = np.array([np.mean(slices >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))])
-    return LanguageModel(languages, slices.astype(kind), fill ** len(MULTIPLIERS), languages.index(max(counts, key=lambda k: (counts[k], k))))
+    return LanguageModel(languages, slices.astype(kind), fill ** len(MULTIPLIERS), place[max(counts, key=lambda k: (counts[k], k))])
 
 
 def predict_batch(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
@@ -110,15 +113,19 @@ def predict_batch(texts: list[str | None], model: LanguageModel) -> tuple[list[s
     if not n_lang:
         return ["und"] * len(texts), np.zeros(len(texts))
     grams, n = _grams(texts)
-    bits = int(len(model.slices)).bit_length() - 1
-    hit = None
-    for at in _positions(grams, bits):
-        found = model.slices[at]
-        hit = found if hit is None else hit & found
+    bits = int(model.slices.shape[1]).bit_length() - 1
+    places = _positions(grams, bits)
+    hits = []
+    for words in model.slices:
+        hit = words[places[0]]
+        for at in places[1:]:
+            hit &= words[at]
+        hits.append(hit)
     starts, full = np.cumsum(n) - n, n > 0
     counts = np.zeros((len(texts), n_lang))
     for i in range(n_lang):
-        ones = ((hit >> hit.dtype.type(i)) & hit.dtype.type(1)).astype(np.int64 if len(hit) > 1 << 31 else np.int32)
+        hit = hits[i // 64]
+        ones = ((hit >> hit.dtype.type(i % 64)) & hit.dtype.type(1)).astype(np.int32)
         if full.any():
             counts[full, i] = np.add.reduceat(ones, starts[full])
     corrected = np.maximum(0, (counts - n[:, None] * model.false_rate) / np.maximum(1e-9, 1 - model.false_rate))
@@ -136,22 +143,20 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     known gets the most frequent language and score 0. Repeated rows are judged alike. Columns of
     docs named like the two new ones are replaced. Only the text is looked at, and the whole of it.
     """
-    small_batches(docs.sparkSession, 250, 2)
+    share_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 ** bits masks
-    kept = docs.select(*(keep or [col(c) for c in docs.columns if c not in (lang_col, score_col)]))
-    base = kept.withColumn("__text", F.when(col(text).rlike(r"\p{L}"), col(text))) if text in kept.columns else \
-        docs.select(*keep, F.when(col(text).rlike(r"\p{L}"), col(text)).alias("__text"))
-    names = [c for c in base.columns if c != "__text"]
+    judged = F.when(col(text).rlike(r"\p{L}"), col(text).cast("string"))
+    shown = docs.select(*(keep or [col(c) for c in without(docs.columns, lang_col, score_col)]))
+    names = shown.columns
+    base = docs.select(*(keep or [col(c) for c in names]), judged.alias(*unused(names, "judged")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 250, 2):
             texts = b.column(b.num_columns - 1).to_pylist()
             found, score = predict_batch(texts, shared.value)
             und = np.array([t is None for t in texts], bool)
             langs = ["und" if u else x for u, x in zip(und, found)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + [pa.array(langs, pa.string()), pa.array(np.where(und, 0.0, score))], [*names, lang_col, score_col])
 
-    from pyspark.sql import types as T
-
     out = T.StructType([*base.schema.fields[:-1], T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return base.mapInArrow(run, out)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col, components, small_batches, stage
+from voxelframe.llm.common import bounded, col, components, stage, unused
 
 #: Odd multipliers of the word positions inside a shingle, and the mixing constants of one hash round.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
@@ -66,15 +66,15 @@ def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, permutations: int, rows: int, seed: int) -> DataFrame:
-    """(id, n_shingles, cls, bands): cls is a 128-bit digest of the shingle set, null for an empty one."""
+    """(id, whole, n_shingles, cls, bands): whole hashes the text; cls is a 128-bit digest of the shingle set, null for an empty one."""
     a, b = _permutations(permutations, seed)
     n_bands = 2 * permutations // rows
     salt = _mix(np.arange(1, n_bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 500):
             n, cls, bands = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 g = shingles(t.as_py(), words)
                 n.append(len(g))
                 if not len(g):
@@ -87,17 +87,23 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, permutations
                 for i in range(rows):
                     acc = _mix(acc + part[:, i])
                 bands.append(acc.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n_shingles", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "whole", "n_shingles", "cls", "bands"])
 
-    base = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, n_shingles long, cls binary, bands array<long>")
+    base = keyed_texts(docs, id_col, text_col)
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, whole long, n_shingles long, cls binary, bands array<long>")
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, whole, text): the hash of the whole text tells rows of one id apart."""
+    text = col(text_col).cast("string")
+    return docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("whole"), text.alias("text"))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, grams) of rows (cls, text); rows whose text is of another class (a repeated id) go."""
+    """(cls, grams) of rows (cls, text); rows whose text is of another class (equal id and hash) go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 500):
             cls, grams = [], []
             for c, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 g = shingles(t.as_py(), words)
@@ -178,9 +184,10 @@ def link_classes(sketches: DataFrame, docs: DataFrame, id_col: str, text_col: st
     if members.isEmpty():
         return empty
     met = members.select("cls").distinct()
-    reps = full.join(met, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    sets = stage(_sets(reps.join(texts, reps["id"].eqNullSafe(texts["id"])).select(reps["cls"], texts["text"]), words).dropDuplicates(["cls"]))
+    # one row stands for each class: by id and text hash, so that rows which share an id do not meet each other
+    reps = full.join(met, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "whole")).alias("r")).select("cls", "r.*")
+    texts = keyed_texts(docs, id_col, text_col)
+    sets = stage(_sets(reps.join(texts, reps["id"].eqNullSafe(texts["id"]) & (reps["whole"] == texts["whole"])).select(reps["cls"], texts["text"]), words).dropDuplicates(["cls"]), records=500)
 
     pairs = stage(members.groupBy("cls").agg(F.min("pivot").alias("a")).where("cls != a").select("a", F.col("cls").alias("b")))
     roots = stage(_merge(empty, stage(_confirm(pairs, sets, percent))))
@@ -209,7 +216,7 @@ def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, permutations: int = 60,
                     rows: int = 5, seed: int = 7, small: int = 16, block: int = 512, detail: bool = False) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept (and cls, the digest of its set, with `detail`).
+    """One row per document: id, n_shingles, component_id, kept (with `detail` also cls, the digest of its set, and whole, the hash of its text).
 
     Documents are linked when their shingle sets' Jaccard similarity is at least percent / 100;
     component_id is the smallest id reachable by links. Whole texts are read. With 60 permutations
@@ -220,17 +227,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest while another exists; a component of null ids alone has a null component_id and
     keeps its rows. Other columns of docs are not looked at, whatever their names.
     """
-    small_batches(docs.sparkSession, 500)
-    sketches = stage(sketch(docs, id_col, text_col, words, permutations, rows, seed))
+    sketches = stage(sketch(docs, id_col, text_col, words, permutations, rows, seed), records=500)
     roots = link_classes(sketches, docs, id_col, text_col, words, percent, small, block)
     by_class = sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("least"))
     grouped = by_class.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     label = grouped.join(lowest, "root").select("cls", "component_id", F.lit(True).alias("known"))
-    out = sketches.select("id", "n_shingles", "cls").join(label, "cls", "left")
+    out = sketches.select("id", "whole", "n_shingles", "cls").join(label, "cls", "left")
     comp = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"), "cls")
-    return out if detail else out.drop("cls")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"), "cls", "whole")
+    return out if detail else out.drop("cls", "whole")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -238,19 +244,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows equal in id and shingle set count as copies too, so one of them stays; wordless rows all stay.
     """
-    small_batches(docs.sparkSession, 500)
     judged = near_duplicates(docs, id_col, text_col, detail=True, **options)
-    keep = judged.where(F.col("kept") & F.col("cls").isNotNull()).select(F.col(id_col).alias("__id"), F.col("cls").alias("__cls")).distinct()
-    words = options.get("words", 5)
-
-    @F.pandas_udf("binary")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(g.tobytes()) if len(g := shingles(t, words)) else None for t in texts], dtype=object)
-
-    # only ids that stay are shuffled with their texts' digests
-    ids = keep.select("__id").distinct()
-    near = docs.join(ids, col(id_col).eqNullSafe(F.col("__id"))).drop("__id").withColumn("__cls", digest(col(text_col)))
-    keyed = near.where(F.col("__cls").isNotNull()).join(keep, col(id_col).eqNullSafe(F.col("__id")) & (near["__cls"] == keep["__cls"]), "left_semi")
-    one = keyed.dropDuplicates([id_col, "__cls"]).drop("__cls")
+    keep = judged.where(F.col("kept") & F.col("cls").isNotNull()).groupBy(F.col(id_col).alias("id"), "cls").agg(F.min("whole").alias("whole"))
+    key, text = unused(docs.columns, "key", "whole")
+    keep = keep.select(F.col("id").alias(key), F.col("whole").alias(text))
+    hashed = docs.withColumn(text, F.xxhash64(col(text_col).cast("string")))
+    one = hashed.join(keep, col(id_col).eqNullSafe(keep[key]) & (hashed[text] == keep[text]), "left_semi").dropDuplicates([id_col, text]).drop(text)
     blank = docs.where(~F.coalesce(col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return one.unionByName(blank)

@@ -1,11 +1,11 @@
 """Packing of token sequences by shortest-pack-first over the length histogram.
 
 Documents are encoded, cut into full pieces of `capacity` ids and one rest, and written once. Only
-the histogram of piece lengths (at most `capacity` rows) reaches the driver, where lengths are
-placed longest first into the pack with the most room, and a pack is opened when none takes the
-piece; packs of equal contents are one pattern
-with a count, so the work depends on the number of lengths and not on the number of documents.
-Pieces then meet their place by rank within their length.
+the histogram of the rests' lengths (fewer than `capacity` rows) reaches the driver, where lengths
+are placed longest first into the pack with the most room, and a pack is opened when none takes the
+piece; packs of equal contents are one pattern with a count, so the work depends on the number of
+lengths and not on the number of documents. Rests then meet their place by rank within their length;
+a full piece is a sequence of its own and is not shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelframe.llm.common import col, small_batches, stage
+from voxelframe.llm.common import bounded, col, stage
 from voxelframe.llm.tokens import encoder_of
 
 
@@ -66,13 +66,18 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, capacity: int, leading: bool) -> DataFrame:
-    """(id, start, length, doc_tokens, ids): ids is little-endian unsigned 32-bit, each document's end id included."""
+def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, capacity: int, as_text: bool) -> DataFrame:
+    """(id, row, start, length, doc_tokens, ids): ids is little-endian unsigned 32-bit, each document's end id included.
+
+    row numbers the pieces of the table, with gaps.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_of(tokenizer, leading)
-        for b in batches:
+        from pyspark import TaskContext
+
+        enc, row = encoder_of(tokenizer, as_text), TaskContext.get().partitionId() << 40
+        for b in bounded(batches, 1200, 5):
             ids, n = enc.encode(b.column(1))
             raw, ends = ids.tobytes(), np.cumsum(n)
             which, start, length, total, data = [], [], [], [], []
@@ -85,49 +90,65 @@ def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, e
                     length.append(len(part) // 4)
                     total.append(len(doc) // 4)
                     data.append(part)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(data, pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
+            rows = pa.array(np.arange(row, row + len(which), dtype=np.int64))
+            row += len(which)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), rows, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(data, pa.binary())], ["id", "row", "start", "length", "doc_tokens", "ids"])
 
     base = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, start long, length long, doc_tokens long, ids binary")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, row long, start long, length long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, leading: bool = False,
-         keep: dict[str, Column] | None = None, spread: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, as_text: bool = False,
+         keep: dict[str, Column] | None = None, share: int = 100_000) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset, filled, padded, and `keep`.
 
-    tokenizer: a file of the tokenizers library; leading: whether its words own the space before
-    them (byte-level BPE). keep: columns made from `ids` (default: ids itself). filled: ids in the
-    sequence; padded: its length with padding, the capacity or `filled` where that is a power of two.
-    offsets of a sequence are gapless from 0, and each id lies in exactly one piece.
+    tokenizer: a file of the tokenizers library; as_text: its control strings inside a text are
+    ordinary text, not special tokens. keep: columns made from `ids` (default: ids itself). filled:
+    ids in the sequence; padded: its length with padding, the capacity or `filled` where that is a
+    power of two. Offsets of a sequence are gapless from 0, and each id lies in exactly one piece;
+    the numbers of sequences that a full piece fills have gaps. share: rests of one length that a
+    task ranks, about; a more frequent length is dealt to more tasks.
 
     A null text counts as empty: one piece with the end id. Repeated ids are packed row by row. An
     empty table gives no rows. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1200, 5)
-    pieces = stage(encode_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, leading))
+    pieces = stage(encode_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, as_text), records=1200, megabytes=5)
     made = keep or {"ids": F.col("ids")}
-    narrow = pieces.select("id", "start", "length", "doc_tokens", *[c.alias(f"__{k}") for k, c in made.items()], F.pmod(F.xxhash64("id", "start"), F.lit(spread)).cast("int").alias("b"))
-    sizes = stage(narrow.groupBy("length", "b").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(slots(patterns(histogram, capacity)))  # at most three patterns a length
-    before = sizes.select("length", "b", (F.sum("n").over(Window.partitionBy("length").orderBy("b")) - F.col("n")).alias("before"))
-    # at most capacity * spread rows
-    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("id", "start"))).join(F.broadcast(before), ["length", "b"])
-    ranked = ranked.select("id", "start", "length", "doc_tokens", *[F.col(f"__{k}") for k in made], (F.col("r") - 1 + F.col("before")).cast("long").alias("rank"))
+    shown = [F.col("id").alias(id_col), "start", "length", *[c.alias(f"__{k}") for k, c in made.items()], "doc_tokens"]
+    rests = pieces.where(F.col("length") < capacity)
+    histogram = {r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}  # fewer than `capacity` rows
+    found = patterns(histogram, capacity)
+    places = spark.sparkContext.broadcast(slots(found))  # at most three patterns a length
+    many = [(k, -(-n // share)) for k, n in histogram.items() if n > share]
+    narrow = rests.select(*shown, "row")
+    if many:
+        dealt = F.broadcast(spark.createDataFrame(many, "of long, parts long"))  # fewer than `capacity` rows
+        narrow = narrow.join(dealt, F.col("length") == F.col("of"), "left").withColumn("b", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))).drop("of", "parts")
+    else:
+        narrow = narrow.withColumn("b", F.lit(0).cast("long"))
+    ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("row")).cast("long"))
+    if many:  # one row for each part of a frequent length
+        sizes = stage(narrow.join(dealt, F.col("length") == F.col("of")).groupBy("length", "b").agg(F.count(F.lit(1)).alias("n")))
+        before = sizes.select(F.col("length").alias("of"), F.col("b").alias("part"), (F.sum("n").over(Window.partitionBy("length").orderBy("b")) - F.col("n")).alias("before"))
+        ranked = ranked.join(before, (F.col("length") == F.col("of")) & (F.col("b") == F.col("part")), "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0))).drop("of", "part", "before")
+    ranked = ranked.withColumn("rank", F.col("r") - 1).drop("row", "b", "r")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = places.value
         for b in batches:
-            rank = b.column("rank").to_numpy()
-            at = np.searchsorted(s["key"], b.column("length").to_numpy() << 44 | rank, "right") - 1
+            rank, length = b.column(b.num_columns - 1).to_numpy(), b.column(2).to_numpy()
+            at = np.searchsorted(s["key"], length << 44 | rank, "right") - 1
             filled = s["filled"][at]
             padded = np.where(filled & (filled - 1) == 0, filled, capacity)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(x) for x in (s["sequence"][at] + rank - s["rank"][at], s["offset"][at], filled, padded)], [*out.names[:-4], "sequence_id", "offset", "filled", "padded"])
-
-    out = T.StructType([*ranked.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in ("sequence_id", "offset", "filled", "padded")]])
-    placed = ranked.mapInArrow(place, out)
-    return placed.select(F.col("id").alias(id_col), "start", "length", *[F.col(f"__{k}").alias(k) for k in made], "doc_tokens", "sequence_id", "offset", "filled", "padded")
+            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(x) for x in (s["sequence"][at] + rank - s["rank"][at], s["offset"][at], filled, padded)], [*out.names])
+
+    new = ("sequence_id", "offset", "filled", "padded")
+    out = T.StructType([*ranked.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in new]])
+    first, size = sum(n for _, n in found), F.lit(capacity).cast("long")
+    full = pieces.where(F.col("length") == capacity).select(*shown, (F.col("row") + first).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), size.alias("filled"), size.alias("padded"))
+    placed = full.union(ranked.mapInArrow(place, out))
+    return placed.select(col(id_col), "start", "length", *[F.col(f"__{k}").alias(k) for k in made], "doc_tokens", *new)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col, components, small_batches, stage
+from voxelframe.llm.common import col, components, stage
 
 
 def usable(v):
@@ -117,7 +117,6 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     Vectors of different length never link. Null ids count as vectors; they are never the smallest
     id while another exists. Further columns are not looked at.
     """
-    small_batches(rows.sparkSession)
     label = F.lit(0) if label_col is None else col(label_col)
     base = rows.select(col(id_col).alias("id"), label.cast("string").alias("label"), col(vec_col).cast("array<double>").alias("v"))
     good = usable(F.col("v")) & F.col("label").isNotNull()
