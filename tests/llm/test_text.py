@@ -403,10 +403,64 @@ def test_secrets_of_any_length(spark):
 
 
 def test_crowded_private_addresses_settle(spark):
-    """Every 192.168 address that a surrogate could be is itself in the corpus."""
-    canon = F.concat(F.lit("192.168."), F.floor(F.col("id") / 254).cast("string"), F.lit("."), (F.col("id") % 254 + 1).cast("string"))
-    out = pii._resolve(spark.range(255 * 254).select(F.lit("ip").alias("kind"), canon.alias("canon")), "key", 9).toPandas()
-    assert len(out) == 255 * 254 == out["surrogate"].nunique() and out["surrogate"].str.startswith("10.").all()
+    """Every 192.168 address is itself in the corpus: each one's surrogate is then another of them."""
+    canon = F.concat(F.lit("192.168."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string"))
+    some = spark.createDataFrame([("ip", x) for x in ("172.16.5.9", "172.15.5.9", "169.254.1.1", "10.1.1.1", "8.8.8.8", "127.0.0.1", "192.167.1.1", "230.1.2.3", "0.0.0.0")], "kind string, canon string")
+    out = pii._resolve(spark.range(1 << 16).select(F.lit("ip").alias("kind"), canon.alias("canon")).unionByName(some), "key", 2).toPandas()
+    assert len(out) == (1 << 16) + 9 == out["surrogate"].nunique()
+    assert (out["canon"].str.startswith("192.168.") == out["surrogate"].str.startswith("192.168.")).all() and (out["canon"] != out["surrogate"]).mean() > 0.99
+    got = dict(zip(out["canon"], out["surrogate"]))
+    assert 16 <= int(got["172.16.5.9"].split(".")[1]) < 32 and got["172.16.5.9"].startswith("172.") and got["169.254.1.1"].startswith("169.254.") and got["10.1.1.1"].startswith("10.") and got["127.0.0.1"].startswith("127.") and got["230.1.2.3"].startswith("230.")
+    assert not any(re.match(r"(0|10|127|169\.254|172\.(1[6-9]|2\d|3[01])|192\.168|22[4-9]|2[345]\d)\.", got[x]) for x in ("172.15.5.9", "8.8.8.8", "192.167.1.1"))
+
+
+def feistel(numbers, seed, xxh):
+    """The permutation once more, in plain Python; xxh hashes a string and an int as Spark does."""
+    v = [list(x) for x in numbers]
+    for turn in range(4):
+        rest = ",".join(str(x[1]) for i, x in enumerate(v) if i % 2 != turn % 2)
+        digest = hashlib.sha256("\u0001".join([seed, str(turn), rest]).encode()).hexdigest()
+        v = [(n, (x + xxh(digest, i) % n) % n) if i % 2 == turn % 2 else (n, x) for i, (n, x) in enumerate(v)]
+    return [x for _, x in v]
+
+
+def test_permutation_against_plain_python(spark):
+    import xxhash
+
+    def spark_hash(text, number):  # 64-bit hash of the string seeds that of the int
+        seed = xxhash.xxh64(text.encode(), seed=42).intdigest()
+        return (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(int(number).to_bytes(4, "little", signed=True), seed=seed).intdigest())
+
+    numbers = [[(10, 3), (26, 25), (10, 0), (256, 17)], [(2, 1)], [(10, 9)] * 9]
+    df = spark.createDataFrame([([dict(n=n, v=v) for n, v in x],) for x in numbers], "x array<struct<n:int,v:int>>")
+    got = [[y["v"] for y in r[0]] for r in df.select(pii._permuted(F.col("x"), F.lit("seed"))).collect()]
+    assert got == [feistel(x, "seed", spark_hash) for x in numbers]
+    small = spark.range(1000).select(F.array(*[F.struct(F.lit(10).alias("n"), F.floor(F.col("id") / 10**k % 10).cast("int").alias("v")) for k in range(3)]).alias("x"))
+    assert small.select(pii._permuted(F.col("x"), F.lit("s")).alias("y")).distinct().count() == 1000  # a permutation
+
+
+def test_surrogates_of_other_scripts(spark):
+    cases = {"mail 사용자@예시.한국 now": r"mail [가-힣]{3}@[가-힣]{2}\.한국 now", "Dr Παπαδόπουλος": r"Dr \p{Greek}{12}", "Dr. 田中": r"Dr\. \p{Han}{2}", "an łąka@żółw.pl": r"an \p{Ll}{4}@\p{Ll}{4}\.pl", "מייל שלום@דוגמה.co": r"מייל \p{Hebrew}{4}@\p{Hebrew}{5}\.co",
+             "Herr Jan van der Berg sagt": r"Herr \p{Lu}\p{Ll}+ van der \p{Lu}\p{Ll}+ sagt", "г-жа Анна Иванова": r"г-жа \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+ова", "x მაია@თბილისი.ge": r"x \p{L}{4}@\p{L}{7}\.ge", "Mr. Ivan 😀": r"Mr\. \p{Lu}\p{Ll}+ 😀"}
+    df = spark.createDataFrame([(c, c, "mine", "old") for c in cases], "case string, text string, k string, Entities string")
+    out = pii.pseudonymize(df, "key")
+    assert out.columns == ["case", "text", "k", "entities"]
+    import regex
+
+    for r in out.collect():
+        assert r["k"] == "mine" and r["text"] != r["case"] and regex.fullmatch(cases[r["case"]], r["text"]) and len(r["entities"]) == 1, r
+
+
+def test_surrogates_of_hot_texts_and_entities(spark, monkeypatch):
+    """Copies of one text, and one entity in all texts, dealt to several tasks: the same rows as without."""
+    from voxelframe.llm import common
+
+    text = F.when(F.col("id") < 300, "call a.b@c.de now").otherwise(F.concat(F.lit("ask a.b@c.de or x"), F.col("id"), F.lit("@y.org")))
+    df = spark.range(600).select("id", text.alias("text"))
+    plain = {r["id"]: r["text"] for r in pii.pseudonymize(df, "key").collect()}
+    monkeypatch.setattr(common.hot_keys, "__defaults__", ("n", 1000, 50))
+    salted = {r["id"]: r["text"] for r in pii.pseudonymize(df, "key").collect()}
+    assert plain == salted and len(set(plain.values())) == 301 and len({t.split()[1] for t in plain.values()}) == 1
 
 
 def test_chat(spark):

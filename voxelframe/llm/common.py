@@ -63,6 +63,23 @@ def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000, megabytes: int
             yield b.slice(at, step)
 
 
+def hot_keys(counts: DataFrame, key: str, n: str = "n", most: int = 1000, least: int = 2000) -> dict:
+    """Parts for every key that has more than 1 / most of all rows (and more than `least`): fewer than `most` keys."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    limit = max(least, total // most)
+    return {r[0]: -(-r[1] // limit) for r in counts.where(col(n) > limit).select(key, n).collect()}
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: dict, how: str = "inner") -> DataFrame:
+    """Join on `key`; rows of left under a hot key are dealt to its parts, and right's rows are repeated for them."""
+    if not hot:
+        return left.join(right, key, how)
+    salt, = unused([*left.columns, *right.columns], "salt")
+    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), col(key)), F.lit(1))
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).withColumn(salt, col(salt).cast("long"))
+    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), parts)).join(many, [key, salt], how).drop(salt)
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public vocabulary file; callers may pass any other path to the operators."""
     import public_tokenizers

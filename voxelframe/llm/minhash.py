@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import bounded, col, components, stage, unused
+from voxelframe.llm.common import bounded, col, components, hot_keys, salted_join, stage, unused
 
 #: Odd multipliers of the word positions inside a shingle, and the mixing constants of one hash round.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
@@ -229,11 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = stage(sketch(docs, id_col, text_col, words, permutations, rows, seed), records=500)
     roots = link_classes(sketches, docs, id_col, text_col, words, percent, small, block)
-    by_class = sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("least"))
-    grouped = by_class.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    by_class = stage(sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    grouped = by_class.drop("n").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     label = grouped.join(lowest, "root").select("cls", "component_id", F.lit(True).alias("known"))
-    out = sketches.select("id", "whole", "n_shingles", "cls").join(label, "cls", "left")
+    out = salted_join(sketches.select("id", "whole", "n_shingles", "cls"), label, "cls", hot_keys(by_class, "cls"), "left")
     comp = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"), "cls", "whole")
     return out if detail else out.drop("cls", "whole")

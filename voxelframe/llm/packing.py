@@ -99,7 +99,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, e
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, as_text: bool = False,
-         keep: dict[str, Column] | None = None, share: int = 100_000) -> DataFrame:
+         keep: dict[str, Column] | None = None, share: int | None = None) -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, sequence_id, offset, filled, padded, and `keep`.
 
     tokenizer: a file of the tokenizers library; as_text: its control strings inside a text are
@@ -107,7 +107,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ids in the sequence; padded: its length with padding, the capacity or `filled` where that is a
     power of two. Offsets of a sequence are gapless from 0, and each id lies in exactly one piece;
     the numbers of sequences that a full piece fills have gaps. share: rests of one length that a
-    task ranks, about; a more frequent length is dealt to more tasks.
+    task ranks, about, by default 1/4000 of all and 1000 at least; a more frequent length is dealt
+    to more tasks.
 
     A null text counts as empty: one piece with the end id. Repeated ids are packed row by row. An
     empty table gives no rows. Other columns of docs are not looked at.
@@ -120,6 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     histogram = {r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}  # fewer than `capacity` rows
     found = patterns(histogram, capacity)
     places = spark.sparkContext.broadcast(slots(found))  # at most three patterns a length
+    share = share or max(1000, sum(histogram.values()) // 4000)
     many = [(k, -(-n // share)) for k, n in histogram.items() if n > share]
     narrow = rests.select(*shown, "row")
     if many:
@@ -128,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     else:
         narrow = narrow.withColumn("b", F.lit(0).cast("long"))
     ranked = narrow.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("row")).cast("long"))
-    if many:  # one row for each part of a frequent length
+    if many:  # one row for each part of a frequent length, `capacity` + 4000 at most
         sizes = stage(narrow.join(dealt, F.col("length") == F.col("of")).groupBy("length", "b").agg(F.count(F.lit(1)).alias("n")))
         before = sizes.select(F.col("length").alias("of"), F.col("b").alias("part"), (F.sum("n").over(Window.partitionBy("length").orderBy("b")) - F.col("n")).alias("before"))
         ranked = ranked.join(before, (F.col("length") == F.col("of")) & (F.col("b") == F.col("part")), "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0))).drop("of", "part", "before")

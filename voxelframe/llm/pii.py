@@ -4,15 +4,19 @@ Detected entities (e-mail and IPv4 addresses, payment cards, phone numbers, soci
 numbers, IBANs, secrets that are assigned to a key word, names after a title) get a keyed
 replacement of the same type: digits stay digits, letters stay letters of their script and case,
 cards keep issuer and a valid check digit, IBANs their country and check digits, IPv4 addresses
-stay public or private (192.168 moves to 10 where it is crowded), names follow the title's gender and the name's script.
+stay public or in their private range, names follow the title's gender and the name's script.
 
 An assigned secret is found from 16 characters on (letters, digits and _-./+), an assigned password
 from 6 on (any run without blanks and quotes, less the punctuation at its end), whatever its length.
 
-The same entity gets the same surrogate in the whole corpus, however it is written (case, digit
-separators). Candidates are checked against each other and against every entity found in the
-corpus; those that clash are drawn again until all are distinct. Only entities are shuffled for
-that, pre-aggregated; texts are shuffled only if they hold an entity.
+A surrogate is a keyed permutation of the entity's format (a Feistel network over its characters), so
+two entities of one format never share one; names are drawn from syllables, more of them at every
+attempt. The same entity gets the same surrogate in the whole corpus, however it is written (case,
+digit separators). Surrogates are checked against each other and against every entity found in the
+corpus; those that clash are drawn again. Where a format is so crowded that some still clash, all
+entities of that format keep their first permutation: distinct, but a surrogate may then be another
+real value. Only entities are shuffled for that, pre-aggregated; texts are shuffled only if they may
+hold an entity, and each distinct text is searched and rewritten once.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col, stage
+from voxelframe.llm.common import col, hot_keys, salted_join, stage, unused, without
 
 WORD = r"\p{L}\p{N}"
 #: Title -> gender; fixed values. Upper- and lower-case letters as written.
@@ -36,6 +40,9 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga ka ke ko la le lo ma me mo na
 
 TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
 PASSWORD, ASSIGNED = "(?i:password|passwd|pwd)", r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+#: A word of a name: a capital, or a letter of a script without case. Particles may stand between such words.
+NAMED = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’\-]{1,40}"
+PARTICLE = "(?:de|del|der|den|di|da|dos|la|le|van|von|zu|bin|al|el|y)"
 PATTERNS = {
     "password": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<={PASSWORD}{ASSIGNED})[^\s\p{{Z}}\"']{{5,}}[^\s\p{{Z}}\"'.,;:)\]}}>]",
     "email": rf"(?<![{WORD}._%+\-])[{WORD}._%+\-]{{1,64}}@[{WORD}\-]{{1,63}}(?:\.[{WORD}\-]{{1,63}}){{1,8}}(?![{WORD}])",
@@ -44,7 +51,7 @@ PATTERNS = {
     "ip": r"(?<![\p{L}\p{N}.\-])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    "name": rf"(?<![{WORD}]){TITLE}\.? \p{{Lu}}[\p{{L}}'’\-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’\-]{{1,40}}){{0,2}}",
+    "name": rf"(?<![{WORD}]){TITLE}\.? {NAMED}(?: (?:{PARTICLE} ){{0,2}}{NAMED}){{0,3}}",
 }
 #: All entities but cards, whose end only the check digit tells: _cards() finds those of a text first.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -134,80 +141,142 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substr(digest, F.pmod(i - 1, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _pick(pool: str, n: Column) -> Column:
-    return F.substr(F.lit(pool), F.pmod(n, F.lit(len(pool))) + 1, F.lit(1))
+#: Letters and digits that stay among themselves, as first and last code point: scripts by case.
+RANGES = [(0x30, 0x39), (0x61, 0x7A), (0x41, 0x5A), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x430, 0x45F), (0x400, 0x42F), (0x561, 0x586), (0x531, 0x556), (0x5D0, 0x5EA), (0x620, 0x63F),
+          (0x641, 0x64A), (0x904, 0x939), (0x985, 0x9B9), (0xE01, 0xE30), (0x10D0, 0x10FA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+#: Latin letters beyond ASCII by block and case; printable ASCII without quotes; hexadecimal digits.
+POOLS = ["".join(c for c in map(chr, range(lo, hi)) if getattr(c, case)()) for lo, hi in ((0xC0, 0x100), (0x100, 0x180), (0x180, 0x250)) for case in ("islower", "isupper")]
+POOLS += ["".join(chr(c) for c in range(33, 127) if chr(c) not in "\"'"), "0123456789abcdef", "0123456789ABCDEF"]
+PRINTABLE, HEX_LOW, HEX_UP = len(POOLS) - 2, len(POOLS) - 1, len(POOLS)
+ROUNDS, LONG = 4, 64
 
 
-def _alike(s: Column, digest: Column) -> Column:
-    """Every character replaced by one of its class: digit, case and script stay, other signs too."""
-    def one(c: Column, i: Column, d: Column) -> Column:
-        n = _byte(d, i + 1)
-        return (F.when(c.rlike("[0-9]"), _pick("0123456789", n)).when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", n)).when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
-                .when(c.rlike("[ß-öø-ÿ]"), _pick("àâäéèêëîïôöùûüçñ", n)).when(c.rlike("[À-ÖØ-Þ]"), _pick("ÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑ", n))
-                .when(c.rlike("[а-яё]"), _pick("абвгдежзиклмнопрстуфхцчшэюя", n)).when(c.rlike("[А-ЯЁ]"), _pick("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", n))
-                .when(c.rlike("[α-ω]"), _pick("αβγδεζηθικλμνξοπρστυφχψω", n)).when(c.rlike("[Α-Ω]"), _pick("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", n))
-                .when(c.rlike(r"\p{IsHan}"), _pick("天地人山水火木金土日月星春夏秋冬", n)).otherwise(c))
+def _bound(value: Column, body) -> Column:
+    """body(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    # the digest is bound once, not drawn for every character
-    return F.element_at(F.transform(F.array(digest), lambda d: F.array_join(F.transform(F.split(s, ""), lambda c, i: one(c, i, d)), "")), 1)
+
+def _classes(s: Column, mode: Column) -> Column:
+    """(base, n, v) of every character: the v-th of n that may stand in its place; base < 0 is a pool. mode: a pool for all that it holds, or 0."""
+    def one(c: Column, mode: Column) -> Column:
+        at = F.ascii(c)
+        named = lambda base, n, v: F.struct(base.cast("int").alias("base"), F.lit(n).cast("int").alias("n"), v.cast("int").alias("v"))
+        found = F.when(F.lit(False), named(at, 1, F.lit(0)))
+        for k in (len(POOLS) - 2, len(POOLS) - 1, len(POOLS)):
+            found = found.when((mode == k) & (F.instr(F.lit(POOLS[k - 1]), c) > 0), named(F.lit(-k), len(POOLS[k - 1]), F.instr(F.lit(POOLS[k - 1]), c) - 1))
+        for lo, hi in RANGES:
+            found = found.when(at.between(lo, hi), named(F.lit(lo), hi - lo + 1, at - lo))
+        for k, pool in enumerate(POOLS[:6], 1):
+            found = found.when((at > 191) & (at < 592) & (F.instr(F.lit(pool), c) > 0), named(F.lit(-k), len(pool), F.instr(F.lit(pool), c) - 1))
+        # any other script: its neighbours
+        return found.when(c.rlike(r"[\p{L}\p{N}]"), named(at - at % 16, 16, at % 16)).otherwise(named(at, 1, F.lit(0)))
+
+    return _bound(mode, lambda m: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: one(c, m)))
+
+
+def _character(base: Column, v: Column) -> Column:
+    other = F.decode(F.unhex(F.lpad(F.hex(base + v), 8, "0")), "UTF-32")
+    pools = F.array(*map(F.lit, POOLS))
+    return F.when(base < 0, F.substr(F.element_at(pools, F.greatest(-base, F.lit(1))), v + 1, F.lit(1))).otherwise(other)
+
+
+def _permuted(numbers: Column, seed: Column) -> Column:
+    """Keyed permutation of the numbers (n, v), 0 <= v < n: in turn every other one is shifted by what the rest and the seed hash to."""
+    def step(now: Column, turn: Column) -> Column:
+        rest = F.array_join(F.transform(F.filter(now, lambda x, i: i % 2 != turn % 2), lambda x: x["v"]), ",")
+        digest = F.sha2(F.concat_ws("\u0001", seed, turn.cast("string"), rest), 256)
+        shifted = lambda d: F.transform(now, lambda x, i: F.when(i % 2 == turn % 2, F.struct(x["n"].alias("n"), F.pmod(x["v"] + F.pmod(F.xxhash64(d, i), x["n"]), x["n"]).cast("int").alias("v"))).otherwise(x))
+        return _bound(digest, shifted)
+
+    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), numbers, step)
+
+
+def _alike(s: Column, seed: Column, mode: Column) -> Column:
+    """A keyed permutation of all strings whose characters are of the same kinds; other signs stay.
+
+    Strings beyond LONG characters are shifted by a hash of the whole instead.
+    """
+    def short(cls: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(cls)), lambda i: F.element_at(cls, i)["n"] > 1)
+        numbers = F.transform(places, lambda i: F.struct(F.element_at(cls, i)["n"].alias("n"), F.element_at(cls, i)["v"].alias("v")))
+        put = lambda new: F.transform(cls, lambda c, i: _character(c["base"], F.when(c["n"] > 1, F.try_element_at(new, F.array_position(places, i + 1).cast("int"))["v"]).otherwise(c["v"])))
+        return F.array_join(_bound(_permuted(numbers, seed), put), "")
+
+    def long(cls: Column) -> Column:
+        moved = lambda d: F.transform(cls, lambda c, i: _character(c["base"], F.pmod(c["v"] + F.pmod(F.xxhash64(d, i), c["n"]), c["n"]).cast("int")))
+        return F.array_join(_bound(F.sha2(F.concat_ws("\u0001", seed, s), 256), moved), "")
+
+    return F.when(s == "", s).otherwise(_bound(_classes(s, mode), lambda cls: F.when(F.size(cls) <= LONG, short(cls)).otherwise(long(cls))))
+
+
+def _address(canon: Column, seed: Column) -> Column:
+    """IPv4 addresses: public ones among themselves, each private, local or special range in itself."""
+    parts = F.transform(F.split(canon, r"\."), lambda x: x.cast("int"))
+    a, b = F.element_at(parts, 1), F.element_at(parts, 2)
+    octet, first = "sequence(0, 255)", "array_except(sequence(1, 223), array(10, 127, 169, 172, 192))"
+    # second parts that are no public addresses
+    mixed = {169: "array(254)", 172: "sequence(16, 31)", 192: "array(168)"}
+    second = F.when(F.lit(False), F.expr(octet))
+    for n, inner in mixed.items():
+        second = second.when((a == n) & F.array_contains(F.expr(inner), b), F.expr(inner)).when(a == n, F.expr(f"array_except({octet}, {inner})"))
+    doms = F.array(F.when(F.array_contains(F.expr(first), a), F.expr(first)).otherwise(F.array(a)), second.otherwise(F.expr(octet)), F.expr(octet), F.expr(octet))
+    numbers = lambda ds: F.zip_with(ds, parts, lambda d, x: F.struct(F.size(d).alias("n"), (F.array_position(d, x) - 1).cast("int").alias("v")))
+    return _bound(doms, lambda ds: F.array_join(F.zip_with(ds, _permuted(numbers(ds), seed), lambda d, x: F.element_at(d, x["v"] + 1)), "."))
 
 
 def _choose(words: str, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words.split())), F.pmod(n, F.lit(len(words.split()))) + 1)
 
 
-def _name(canon: Column, digest: Column, key: str, attempt: Column) -> Column:
-    """gender:words -> surrogate words; the last word is the family name, those before it given names."""
-    gender, words = F.substring_index(canon, ":", 1), F.split(F.substr(canon, F.lit(3)), " ")
-    script = F.when(F.element_at(words, -1).rlike("[А-яЁё]"), "cyrillic").otherwise("latin")
-    part = lambda w: F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("part"), w, attempt.cast("string")), 256)
+def _name(words: Column, gender: Column, script: Column, key: str, attempt: int) -> Column:
+    """Surrogate words; the last word is the family name, those before it given names and particles."""
+    part = lambda w: F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("part"), w, F.lit(str(attempt))), 256)
 
     def given(w: Column) -> Column:
-        n = _byte(part(w), F.lit(1))
-        out = F.lit(None).cast("string")
+        out = F.when(w.rlike(r"^\p{Ll}"), w)  # particles stay
         for s, by in GIVEN.items():
             for g, names in by.items():
-                out = F.when((script == s) & (gender == g), _choose(names, n)).otherwise(out)
+                out = out.when((script == s) & (gender == g), _choose(names, _byte(part(w), F.lit(1))))
         return out
 
-    def family(w: Column) -> Column:
-        d = part(F.regexp_replace(w, "(ова|ева|ина)$", ""))
-        out = F.lit(None).cast("string")
+    def family(d: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
         for s, syl in SYLLABLES.items():
             end = F.when(gender == "f", "ова").otherwise("ов") if s == "cyrillic" else F.lit("rn")
-            out = F.when(script == s, F.initcap(F.concat(*[_choose(syl, _byte(d, F.lit(i))) for i in (2, 3, 4, 5)], end))).otherwise(out)
+            out = out.when(script == s, F.initcap(F.concat(*[_choose(syl, _byte(d, F.lit(i))) for i in range(2, 6 + min(attempt, 8))], end)))
         return out
 
-    return F.concat_ws(" ", F.transform(F.slice(words, 1, F.size(words) - 1), given), family(F.element_at(words, -1)))
-
-
-def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    base = F.concat_ws("\u0001", F.lit(key), kind, canon, attempt.cast("string"))
-    digest = F.concat(*[F.sha2(F.concat(base, F.lit(f"\u0001{i}")), 256) for i in range(4)])
-    n = lambda i: _byte(digest, F.lit(i))
-    alike = _alike(canon, digest)
-    tail = F.substring_index(canon, ".", -1)
-    email = F.concat(F.substr(alike, F.lit(1), F.length(alike) - F.length(tail)), tail)
-    stem = F.when(canon.startswith("4"), 1).otherwise(4)
-    body = F.concat(F.substr(canon, F.lit(1), stem), F.substr(alike, stem + 1, F.length(canon) - stem - 1))
-    card = F.concat(body, F.pmod(10 - luhn_sum(body, 1) % 10, F.lit(10)).cast("string"))
-    # the country code of an international number is told by its first digit only; that stays
-    phone = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(alike, F.lit(2)))
-    parts = F.split(canon, r"\.")
-    first, second = F.element_at(parts, 1), F.element_at(parts, 2)
-    inside = (first == "10") | ((first == "192") & (second == "168")) | (first == "127")
-    crowded = (first == "192") & inside & (attempt >= 4)  # 192.168 has 64,770 surrogates; 10.0.0.0/8 is private too
-    ip = F.concat_ws(".", F.when(crowded, "10").when(inside, first).otherwise((11 + F.pmod(n(1), F.lit(112))).cast("string")), F.when((first == "192") & inside & ~crowded, second).otherwise(F.pmod(n(2), F.lit(255)).cast("string")), F.pmod(n(3), F.lit(255)).cast("string"), (1 + F.pmod(n(4), F.lit(254))).cast("string"))
-    account = F.substr(alike, F.lit(5))
-    country = F.substr(canon, F.lit(1), F.lit(2))
-    iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
-    # few letters and digits, other scripts, or a crowded format: every sign becomes a letter
-    narrow = (F.length(F.regexp_replace(canon, "[^A-Za-z0-9]", "")) < 6) | canon.rlike(r"[^\x00-\x7F]") | (attempt >= 4)
-    is_hex = canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    hexed = F.substr(digest, F.lit(1), F.length(canon))
-    secret = F.when(is_hex & F.length(canon).between(6, 256) & (attempt < 4), F.when(canon.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed)).when(narrow, _alike(F.regexp_replace(canon, r".", "a"), digest)).otherwise(alike)
-    return (F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", ip)
-            .when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "name", _name(canon, digest, key, attempt)).otherwise(alike))
+    return F.concat_ws(" ", F.transform(F.slice(words, 1, F.size(words) - 1), given), _bound(part(F.regexp_replace(F.element_at(words, -1), "(ова|ева|ина)$", "")), family))
+
+
+def _drawn(entities: DataFrame, attempt: int, key: str) -> DataFrame:
+    """(kind, canon, surrogate) at an attempt; but for names a permutation of the entity's format."""
+    kind, canon, head, moved = F.col("kind"), F.col("canon"), F.col("head"), F.col("moved")
+    seed = F.concat_ws("\u0001", F.lit(key), kind, F.lit(str(attempt)))
+    first = lambda n: F.substr(canon, F.lit(1), n if isinstance(n, Column) else F.lit(n))
+    dot = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
+    # what stays at the front: an issuer, the first digit that tells a phone's country, a name's gender
+    front = F.when(kind == "card", F.when(canon.startswith("4"), 1).otherwise(4)).when(kind == "phone", 1).when(kind == "iban", 4).when(kind == "name", 2).otherwise(0)
+    stop = F.when(kind == "email", dot).when(kind == "card", F.length(canon) - 1).otherwise(F.length(canon))
+    # few letters and digits, or a crowded format: any printable signs
+    few = (F.length(F.regexp_replace(canon, "[^A-Za-z0-9]", "")) < 6) | F.lit(attempt >= 3)
+    mode = F.when(kind != "secret", 0).when(few, PRINTABLE).when(canon.rlike("^[0-9a-f]{6,}$"), HEX_LOW).when(canon.rlike("^[0-9A-F]{6,}$"), HEX_UP).otherwise(0)
+    cut = entities.select("kind", "canon", first(front).alias("head"), F.substr(canon, front + 1, stop - front).alias("middle"), F.substr(canon, stop + 1).alias("tail"), mode.alias("mode"))
+    cut = cut.withColumn("moved", F.when(kind != "ip", _alike(F.col("middle"), F.concat_ws("\u0001", seed, F.when(~kind.isin("iban", "name"), head)), F.col("mode"))))
+    check = _bound(F.concat(head, moved), lambda x: F.concat(x, F.pmod(10 - luhn_sum(x, 1) % 10, F.lit(10)).cast("string")))
+    country = F.substr(head, F.lit(1), F.lit(2))
+    iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), moved))).cast("string"), 2, "0"), moved)
+    last = F.substring_index("middle", " ", -1)
+    script = F.when(last.rlike("[А-яЁё]"), "cyrillic").when(last.rlike(r"\p{IsLatin}"), "latin")
+    name = F.when(script.isNull(), moved).otherwise(_name(F.split("middle", " "), F.substr(head, F.lit(1), F.lit(1)), script, key, attempt))
+    made = F.when(kind == "card", check).when(kind == "iban", iban).when(kind == "name", name).when(kind == "ip", _address(canon, seed)).otherwise(F.concat(head, moved, "tail"))
+    return cut.select("kind", "canon", made.alias("surrogate"))
+
+
+def _format(kind: Column, canon: Column) -> Column:
+    """What the first permutation of an entity leaves as it is: entities of one format are permuted among themselves."""
+    shape = F.array_join(F.transform(_classes(canon, F.lit(0)), lambda c: F.concat_ws(":", c["base"].cast("string"), c["n"].cast("string"))), ",")
+    return F.when(kind.isin("ip", "name"), kind).otherwise(shape)
 
 
 def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
@@ -225,52 +294,64 @@ def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
 
 def _maybe(text: Column) -> Column:
     """Whether a text has any of the signs that every entity has: cheap scans that begin with one rare character each."""
-    names = "[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=lambda t: (-len(t), t))) + r")\.? \p{Lu}"
+    names = "[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=lambda t: (-len(t), t))) + r")\.? [\p{Lu}\p{Lo}]"
     return F.coalesce(text.contains("@") | text.rlike("[0-9][0-9.() -]{4}") | text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}") | text.rlike(r"[=:]\s{0,3}[\"']?[A-Za-z0-9_\-./+]{16}") | text.rlike(rf"[=:](?<={PASSWORD}[\"']?\s{{0,3}}.)\s{{0,3}}[\"']?[^\s\"']{{6}}") | text.rlike(names), F.lit(False))
 
 
 def _resolve(entities: DataFrame, key: str, rounds: int) -> DataFrame:
-    """(kind, canon, surrogate): no two entities of a kind share a surrogate, and none is itself an entity."""
-    pending, settled = entities.withColumn("attempt", F.lit(0)), None
-    for _ in range(rounds):
-        drawn = stage(pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)))
-        real = entities.select("kind", F.when(F.col("kind") == "name", F.substr(F.col("canon"), F.lit(3))).otherwise(F.col("canon")).alias("surrogate"))
+    """(kind, canon, surrogate): no two entities of a kind share a surrogate, and none is itself an entity unless its format is full."""
+    spark, kept = entities.sparkSession, ["kind", "canon", "surrogate"]
+    parts = max(1, min(-(-entities.count() // 1000), 4 * max(50, spark.sparkContext.defaultParallelism)))
+    real = entities.select("kind", F.when(F.col("kind") == "name", F.substr(F.col("canon"), F.lit(3))).otherwise(F.col("canon")).alias("surrogate"))
+    pending, settled = entities, None
+    for attempt in range(rounds):
+        drawn = stage(_drawn(pending.repartition(parts, "kind", "canon"), attempt, key))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if settled is not None:
             free = free.join(settled, ["kind", "surrogate"], "left_anti")
-        won = free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        now = won.select("kind", "canon", "surrogate")
+        now = free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select(*kept)
         settled = stage(now if settled is None else settled.unionByName(now))
-        pending = stage(drawn.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
+        pending = stage(drawn.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon"))
         if pending.isEmpty():
             return settled
-    raise RuntimeError("surrogates still clash; the key space of an entity's format is too small for this corpus")
+    # formats without room
+    named = entities.withColumn("format", _format(F.col("kind"), F.col("canon")))
+    full = stage(named.join(pending.withColumn("format", _format(F.col("kind"), F.col("canon"))).select("kind", "format").distinct(), ["kind", "format"], "left_semi").select("kind", "canon"))
+    spread = full.repartition(parts, "kind", "canon")
+    first = _drawn(spread.where("kind != 'name'"), 0, key).unionByName(_drawn(spread.where("kind = 'name'"), rounds, key))
+    return stage(settled.join(full, ["kind", "canon"], "left_anti").select(*kept).unionByName(first))
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", entities_col: str = "entities", rounds: int = 40) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", entities_col: str = "entities", rounds: int = 6) -> DataFrame:
     """docs with every entity in text_col replaced, and entities_col: (kind, surrogate) in text order.
 
     key: the secret that the surrogates depend on. Null and empty texts, and texts without an
     entity, stay as they are with an empty list. Whole texts are searched. Repeated rows and copies
     get the same text. All columns of docs stay; a column named like entities_col is replaced.
+    rounds: attempts to find surrogates that are no real values. Copies of a text that are a large
+    part of all are dealt to several tasks.
     """
-    cols = [c for c in docs.columns if c != entities_col]
-    base = docs.select(*map(col, cols))
-    text = col(text_col)
-    found = base.where(_maybe(text)).select(text.alias("text"), _any(_cards(text)).alias("any"))
-    found = found.select(F.md5(F.encode("text", "UTF-8")).alias("__k"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.col("any"), F.lit(0)))).alias("value")).distinct()
+    cols = without(docs.columns, entities_col)
+    base, text = docs.select(*map(col, cols)), col(text_col)
+    k, new = unused([*cols, entities_col], "k", "new")
+    some = base.where(_maybe(text)).withColumn(k, F.md5(F.encode(text, "UTF-8")))
+    whole = stage(some.groupBy(F.col(k).alias("k")).agg(F.any_value(text).alias("text"), F.count(F.lit(1)).alias("n")))
+    found = whole.select("k", "text", _any(_cards(F.col("text"))).alias("any"))
+    found = found.select("k", F.explode(F.array_distinct(F.regexp_extract_all("text", F.col("any"), F.lit(0)))).alias("value"))
     found = stage(found.withColumn("kind", _kind(F.col("value"))).where(F.col("kind").isNotNull()).withColumn("canon", _canonical(F.col("kind"), F.col("value"))))
-    settled = _resolve(stage(found.select("kind", "canon").distinct()), key, rounds)
-    spelt = found.join(settled, ["kind", "canon"]).select("__k", "value", "kind", _spelt(F.col("kind"), F.col("value"), F.col("surrogate")).alias("s"))
-    maps = spelt.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("kind", "s")))).alias("__map"))
+    # an entity that many texts hold is spelt once, and its rows are dealt to several tasks
+    values = stage(found.groupBy("value", "kind", "canon").agg(F.count(F.lit(1)).alias("n")))
+    settled = _resolve(stage(values.select("kind", "canon").distinct()), key, rounds)
+    spelt = stage(values.join(settled, ["kind", "canon"]).select("value", F.struct("kind", _spelt(F.col("kind"), F.col("value"), F.col("surrogate")).alias("s")).alias("r")))
+    maps = salted_join(found.select("k", "value"), spelt, "value", hot_keys(values, "value")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("value", "r"))).alias("map"))
+    held = whole.drop("n").join(maps, "k").withColumn("any", _any(F.map_keys(F.map_filter("map", lambda _, r: r["kind"] == "card"))))
+    held = held.withColumn("known", F.transform(F.regexp_extract_all("text", F.col("any"), F.lit(0)), lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("map"), v).alias("r"))))
+    filled = F.concat(F.transform("known", lambda x: F.coalesce(x["r"]["s"], x["v"])), F.array(F.lit("")))
+    rebuilt = F.array_join(F.zip_with(F.split("text", F.col("any"), -1), filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    listed = F.transform(F.filter("known", lambda x: x["r"].isNotNull()), lambda x: F.struct(x["r"]["kind"].alias("kind"), x["r"]["s"].alias("surrogate")))
+    done = stage(held.select(F.col("k").alias(k), F.struct(rebuilt.alias("text"), listed.alias("list")).alias(new)))
     nothing = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    some = base.where(_maybe(text)).withColumn("__k", F.md5(F.encode(text, "UTF-8"))).join(maps, "__k", "left")
-    some = some.withColumn("__any", _any(F.map_keys(F.map_filter("__map", lambda _, r: r["kind"] == "card"))))
-    known = F.transform(F.regexp_extract_all(text, F.col("__any"), F.lit(0)), lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("__map"), v).alias("r")))
-    filled = F.concat(F.transform("__known", lambda x: F.coalesce(x["r"]["s"], x["v"])), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(F.split(text, F.col("__any"), -1), filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    listed = F.transform(F.filter("__known", lambda x: x["r"].isNotNull()), lambda x: F.struct(x["r"]["kind"].alias("kind"), x["r"]["s"].alias("surrogate")))
-    some = some.withColumn("__known", F.when(F.col("__map").isNotNull(), known))
-    some = some.select(*[(F.when(F.col("__map").isNotNull(), rebuilt).otherwise(text) if c == text_col else col(c)).alias(c) for c in cols], F.when(F.col("__map").isNotNull(), listed).otherwise(nothing).alias(entities_col))
-    none = base.where(~_maybe(text)).select(*map(col, cols), nothing.alias(entities_col))
-    return some.unionByName(none)
+    out = salted_join(some, done, k, hot_keys(whole, "k"), "left")
+    changed = col(new).isNotNull()
+    out = out.select(*[(F.when(changed, col(new)["text"]).otherwise(text) if c == text_col else col(c)).alias(c) for c in cols], F.when(changed, col(new)["list"]).otherwise(nothing).alias(entities_col))
+    return out.unionByName(base.where(~_maybe(text)).select(*map(col, cols), nothing.alias(entities_col)))
