@@ -483,15 +483,34 @@ def test_chat(spark):
     assert chat.windows(own, budget=150, history=40, tokens="k").where("conv_id = 1").count() == 9
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """Long system turns and long turns: over the budget only where one turn and the system turn are."""
+    r = np.random.default_rng(8)
+    rows = [(c, t, "system" if t == 0 and c % 4 else "user" if t % 2 else "assistant", int(k)) for c in range(60) for t, k in enumerate([r.choice([5, 60, 120, 170, 190, 230]), *r.choice([3, 10, 40, 90, 150, 210], 14)])]
+    df = spark.createDataFrame([(c, t, role, f"{c} {t}", k) for c, t, role, k in rows], "conv_id int, turn int, role string, text string, k int")
+    size = {(c, t): k for c, t, _, k in rows}
+    repeated = 0
+    for w in chat.windows(df, budget=200, history=50, tokens="k").withColumn("turns", chat.read_turns(F.col("text"))).collect():
+        turns = [tuple(map(int, t["text"].split())) for t in w["turns"]]
+        head = size[w["conv_id"], 0] if w["conv_id"] % 4 else 0
+        assert w["n_tokens"] == sum(size[t] for t in turns) and len(turns) == len(set(turns)) == w["n_turns"]
+        new = [t for t in turns[w["n_repeated"] :] if t[1] or not head]
+        assert w["n_tokens"] <= 200 or len(new) <= 1 and (size[new[0]] if new else 0) + head > 200 and w["n_repeated"] <= 1
+        repeated += w["n_repeated"] > (head > 0)
+    assert repeated  # the case is not vacuous
+
+
 def test_url_filter(spark):
-    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("tie.org", "/", "allow"), ("tie.org", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("tie.org", "/", "allow"), ("tie.org", "/", "block"), (None, "/", "block"), ("z.tie.com", "/", "allow"), ("tie.com", "/ab", "block")], "host string, path string, verdict string")
     blocked = spark.createDataFrame([("spam.com",), (None,)], "host string")
-    urls = ["http://a.example.net/en/1?q", "https://NET/x", "http://x.net", "http://example.com/de/", "http://notexample.com/de/", "http://a.org/fr/x#y", "http://m.spam.com", "http://ok.com/", None, "no scheme", "", "http://tie.org/a", "://net/", "http://" + "a." * 3000 + "net/", "http://x.net/"]
+    urls = ["http://a.example.net/en/1?q", "https://NET/x", "http://x.net", "http://example.com/de/", "http://notexample.com/de/", "http://a.org/fr/x#y", "http://m.spam.com", "http://ok.com/", None, "no scheme", "", "http://tie.org/a", "://net/", "http://" + "a." * 3000 + "net/", "http://x.net/", "http://z.tie.com/ab"]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)] + [(0, urls[0], "old")], "page_id int, url string, verdict string")
     out = url_filter.judge(pages, rules, blocked, keep=["page_id"])
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in out.collect()}
     assert out.count() == len(urls) + 1
-    assert got == {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 2: (None, "allow"), 3: ("example.com/de/", "block"), 4: (None, "allow"), 5: ("org/fr/", "allow"), 6: (None, "block"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"), 11: ("tie.org/", "block"), 12: ("net/", "block"), 13: ("net/", "block"), 14: ("net/", "block")}
+    assert got == {0: ("example.net/en/", "allow"), 1: ("net/", "block"), 2: (None, "allow"), 3: ("example.com/de/", "block"), 4: (None, "allow"), 5: ("org/fr/", "allow"), 6: (None, "block"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"), 11: ("tie.org/", "block"), 12: ("net/", "block"), 13: ("net/", "block"), 14: ("net/", "block"), 15: ("tie.com/ab", "block")}
+    clash = url_filter.judge(pages.toDF("page_id", "url", "Host").withColumn("keys", F.lit("k")), rules, blocked)
+    assert clash.columns == ["page_id", "url", "keys", "host", "path", "rule", "verdict"] and {r["keys"] for r in clash.collect()} == {"k"}
     assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0), None).collect()} == {"allow"} and url_filter.judge(pages.limit(0), rules, blocked).count() == 0
 
 

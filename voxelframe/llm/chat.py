@@ -52,9 +52,10 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 512, conv: str
 
     loss: (start, length) in code points of `text` for each new target text, escaped as it stands
     there; the first n_repeated turns of a window are repeats. Tokens come from a column `tokens`
-    or from token_estimate(). A span has at most budget - history - system tokens (at least a
-    quarter of the budget), so a window keeps the budget unless a single turn or the system turn is
-    longer than that; such a turn has a span of its own, whole.
+    or from token_estimate(). A span has at most budget - history - system tokens, or a quarter of the
+    budget if that is more and fits beside the system turn; a longer turn has a span of its own, whole.
+    History gives way to the span, so every window keeps the budget unless a single turn and the
+    system turn together are longer than that.
 
     Rows are ordered by turn, role, text (nulls first), so ties and repeated rows have a place. A
     null text or role counts as empty; rows of a null conv form one conversation. The system turn is
@@ -64,36 +65,36 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 512, conv: str
     body, speaker = F.coalesce(col(text), F.lit("")), F.coalesce(col(role), F.lit(""))
     base = turns.select(col(conv).alias("c"), col(turn).alias("t"), speaker.alias("r"), body.alias("x"), (token_estimate(body) if tokens is None else F.greatest(F.coalesce(col(tokens), F.lit(0)), F.lit(1)).cast("long")).alias("k"))
     base = base.withColumn("b", F.floor(F.coalesce(F.col("t"), F.lit(-1)) / BLOCK))
-    inside = Window.partitionBy("c", "b").orderBy("t", "r", "x")
+    inside = Window.partitionBy("c", "b").orderBy("t", "r", "x", "k")
     local = base.withColumn("i", F.row_number().over(inside)).withColumn("s", F.sum("k").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
-    sums = base.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("bk"), F.min(F.struct("t", "r", "x")).alias("head"))
+    sums = base.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("bk"), F.min(F.struct("t", "r", "x", "k")).alias("head"))
     earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("c")
     first = F.min(F.struct("b", "head")).over(everything)["head"]
-    offsets = sums.select("c", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("bk").over(earlier), F.lit(0)).alias("s0"), F.sum("bk").over(everything).alias("all"), F.when(first["r"] == system, first["x"]).alias("sys"))
+    offsets = sums.select("c", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("bk").over(earlier), F.lit(0)).alias("s0"), F.when(first["r"] == system, first["x"]).alias("sys"), F.when(first["r"] == system, first["k"]).otherwise(0).alias("sk"))
     offsets = offsets.withColumnsRenamed({"c": "oc", "b": "ob"})
     at = local.join(offsets, F.col("c").eqNullSafe(F.col("oc")) & (F.col("b") == F.col("ob")))
-    at = at.select("c", "r", "x", "k", (F.col("i") + F.col("n0")).alias("pos"), (F.col("s") + F.col("s0")).alias("p"), "all", "sys")
-    # the system turn's tokens are those of the first row; from a column of the caller's they are its own
-    sys_tokens = F.when(F.col("sys").isNotNull(), token_estimate(F.col("sys"))).otherwise(0)
-    room = F.greatest(budget - history - sys_tokens, F.lit(max(1, budget // 4)))
+    at = at.select("c", "r", "x", "k", (F.col("i") + F.col("n0")).alias("pos"), (F.col("s") + F.col("s0")).alias("p"), "sys", "sk")
+    room = F.greatest(budget - history - F.col("sk"), F.least(F.lit(budget // 4), budget - F.col("sk")), F.lit(1))
     placed = at.withColumn("room", room).withColumn("stretch", F.floor(F.col("p") / (STRETCH * budget)))
 
     # spans of a stretch: the fold keeps only the starts of spans, at most 64 budgets' worth
-    each = placed.groupBy("c", "stretch").agg(F.array_sort(F.collect_list(F.struct("p", "k", "pos", "r", "x"))).alias("turns"), F.first("room").alias("room"), F.first("all").alias("all"), F.first("sys").alias("sys"))
+    each = placed.groupBy("c", "stretch").agg(F.array_sort(F.collect_list(F.struct("p", "k", "pos", "r", "x"))).alias("turns"), F.first("room").alias("room"), F.first("sys").alias("sys"), F.first("sk").alias("sk"))
     starts = F.aggregate("turns", F.array(F.element_at("turns", 1)["p"]), lambda a, u: F.when(u["p"] + u["k"] - F.element_at(a, -1) > F.col("room"), F.array_union(a, F.array(u["p"]))).otherwise(a))
     spans = each.withColumn("starts", starts)
-    spans = spans.select("c", "all", "sys", F.explode("turns").alias("u"), "starts")
+    spans = spans.select("c", "sys", "sk", F.explode("turns").alias("u"), "starts")
     own = F.array_max(F.filter("starts", lambda z: z <= F.col("u")["p"]))
-    spans = spans.select("c", "all", "sys", own.alias("w"), "u.*")
+    spans = spans.select("c", "sys", "sk", own.alias("w"), "u.*")
 
-    # a turn is repeated in the window after its own if it lies in the last `history` tokens before it
+    # a turn is repeated in the window after its own if it lies in the last `history` tokens before it, and as far as that window has room
     close = Window.partitionBy("c", "w")
     spans = spans.withColumn("end", F.max(F.col("p") + F.col("k")).over(close)).withColumn("is_sys", F.col("sys").isNotNull() & (F.col("pos") == 1))
     new = spans.select("c", "w", "pos", "r", "x", "k", F.lit(False).alias("again"))
-    old = spans.where(~F.col("is_sys") & (F.col("end") < F.col("all")) & (F.col("end") - F.col("p") <= history)).select("c", F.col("end").alias("w"), "pos", "r", "x", "k", F.lit(True).alias("again"))
-    heads = spans.where((F.col("w") > 0) & F.col("sys").isNotNull()).groupBy("c", "w").agg(F.first("sys").alias("x"))
-    heads = heads.select("c", "w", F.lit(1).alias("pos"), F.lit(system).alias("r"), "x", token_estimate(F.col("x")).alias("k"), F.lit(True).alias("again"))
+    after = spans.groupBy(F.col("c").alias("nc"), F.col("w").alias("nw")).agg((F.max("end") - F.col("nw")).alias("size"))
+    close = spans.where(~F.col("is_sys") & (F.col("end") - F.col("p") <= history)).join(after, F.col("c").eqNullSafe(F.col("nc")) & (F.col("end") == F.col("nw")))
+    old = close.where(F.col("end") - F.col("p") <= budget - F.col("sk") - F.col("size")).select("c", F.col("end").alias("w"), "pos", "r", "x", "k", F.lit(True).alias("again"))
+    heads = spans.where((F.col("w") > 0) & F.col("sys").isNotNull()).groupBy("c", "w").agg(F.first("sys").alias("x"), F.first("sk").alias("k"))
+    heads = heads.select("c", "w", F.lit(1).alias("pos"), F.lit(system).alias("r"), "x", "k", F.lit(True).alias("again"))
     lead = F.concat(F.lit(START), escape_role(F.col("r")), F.lit("\n"))
     rows = new.unionByName(old).unionByName(heads).select("c", "w", "pos", "k", "again", F.length(lead).alias("h"), F.concat(lead, escape(F.col("x")), F.lit(END)).alias("piece"), ((F.col("r") == target) & ~F.col("again")).alias("learn"))
     order = Window.partitionBy("c", "w").orderBy("pos")

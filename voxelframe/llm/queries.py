@@ -119,12 +119,13 @@ WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(tex
 t AS (SELECT *, row_number() OVER o AS pos, CAST(ceil(strlen(x) / 4) + 4 AS BIGINT) AS k, lead(turn) OVER o IS NULL AS final FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)),
 p AS (SELECT *, CAST(sum(k) OVER (PARTITION BY conv_id ORDER BY pos) AS BIGINT) - k AS p, CAST(sum(k) OVER (PARTITION BY conv_id) AS BIGINT) AS total, max(CASE WHEN pos = 1 AND r = 'system' THEN k END) OVER (PARTITION BY conv_id) AS sk FROM t),
 w AS (SELECT conv_id, pos, p AS start FROM p WHERE pos = 1
-  UNION ALL SELECT p.conv_id, p.pos, CASE WHEN p.p // 131072 <> q.p // 131072 OR p.p + p.k - start > greatest(2048 - 512 - coalesce(p.sk, 0), 512) THEN p.p ELSE start END
+  UNION ALL SELECT p.conv_id, p.pos, CASE WHEN p.p // 131072 <> q.p // 131072 OR p.p + p.k - start > greatest(2048 - 512 - coalesce(p.sk, 0), least(512, 2048 - coalesce(p.sk, 0)), 1) THEN p.p ELSE start END
   FROM w JOIN p ON p.conv_id = w.conv_id AND p.pos = w.pos + 1 JOIN p q ON q.conv_id = w.conv_id AND q.pos = w.pos),
 s AS (SELECT p.*, start, max(p.p + p.k) OVER (PARTITION BY p.conv_id, start) AS stop,
   24 + length(replace(replace(regexp_replace(r, '<(\\*)\|', '<\1\\|', 'g'), '\', '\s'), chr(10), '\n')) + length(regexp_replace(x, '<(\\*)\|', '<\1\\|', 'g')) AS size FROM p JOIN w USING (conv_id, pos)),
+n AS (SELECT DISTINCT conv_id, start AS after, stop - start AS long FROM s),
 f AS (SELECT conv_id, start, size FROM s
-  UNION ALL SELECT conv_id, stop, size FROM s WHERE NOT (pos = 1 AND sk IS NOT NULL) AND stop < total AND stop - p <= 512
+  UNION ALL SELECT s.conv_id, s.stop, s.size FROM s JOIN n ON n.conv_id = s.conv_id AND n.after = s.stop WHERE NOT (pos = 1 AND sk IS NOT NULL) AND s.stop - p <= least(512, 2048 - coalesce(sk, 0) - n.long)
   UNION ALL SELECT v.conv_id, v.start, h.size FROM (SELECT DISTINCT conv_id, start FROM s WHERE start > 0) v JOIN s h ON h.conv_id = v.conv_id AND h.pos = 1 AND h.sk IS NOT NULL),
 g AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars, count(DISTINCT start) AS n_windows FROM f GROUP BY 1)
 SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY pos)) AS turns_sha256, CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col, stage
+from voxelframe.llm.common import col, stage, unused, without
 
 #: Bits of a level: so many per key, MOST_BITS (2 MB) at most.
 BITS_PER_KEY, MOST_BITS = 10, 1 << 24
@@ -92,25 +92,23 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame | None = None,
 
     rules: (host, path, verdict), verdict allow or block. A rule fits its host and all subdomains
     if the URL's path starts with the rule's; the longest key host + path wins, of two verdicts for
-    one key block. blocked: one column `host`; a URL that no rule fits is blocked if its host or a
+    keys of one length block. blocked: one column `host`; a URL that no rule fits is blocked if its host or a
     parent domain is listed there, else allowed. Rows of rules and blocked with nulls do not count.
 
     A null URL and one without :// have empty host and path, no rule, and are allowed. Repeated rows
     are judged alike; an empty rule set allows all. Columns of pages named like the four new ones
-    are replaced. Rule lists and block lists are tables; only their longest host and their distinct path lengths (at
-    most 256) reach the driver.
+    are replaced. Rule lists and block lists are tables; only their longest host and the distinct lengths of the rules'
+    paths reach the driver.
     """
     spark = pages.sparkSession
     named = rules.where("host is not null and path is not null").select(F.concat(F.lower("host"), "path").alias("key"), F.col("verdict") == "block", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n")).toDF("key", "block", "labels", "n")
     listed = named if blocked is None else named.unionByName(blocked.where("host is not null").select(F.concat(F.lower("host"), F.lit("\u0001")).alias("key"), F.lit(None).cast("boolean").alias("block"), F.size(F.split("host", r"\.")).alias("labels"), F.lit(-1).alias("n")))
     listed = stage(listed)
     most = listed.agg(F.max("labels")).first()[0] or 0
-    lengths = sorted(r["n"] for r in listed.where("n >= 0").select("n").distinct().limit(257).collect())
-    if len(lengths) > 256:
-        raise ValueError("rules have more than 256 distinct path lengths")
+    lengths = sorted(r["n"] for r in listed.where("n >= 0").select("n").distinct().collect())  # no more than the longest path has characters
     labels, sizes = F.lit(most), F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
     url = col(url_col)
-    cols = [c for c in (keep or pages.columns) if c not in ("host", "path", "rule", "verdict")]
+    cols = without(keep or pages.columns, "host", "path", "rule", "verdict")
     cut = pages.select(*map(col, cols), host_of(url).alias("host"), path_of(url).alias("path"))
     keys = candidate_keys(F.col("host"), F.col("path"), labels, sizes)
     hosts = candidate_keys(F.col("host"), F.lit("\u0001"), labels, F.array(F.lit(1)))
@@ -118,9 +116,9 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame | None = None,
     block = Cascade(universe, listed.where("block").select("key"))
     allow = Cascade(universe, listed.where("not block").select("key").join(listed.where("block").select("key"), "key", "left_anti"))
     deny = Cascade(universe, listed.where("block is null").select("key"))
-    ruled = cut.withColumn("__keys", keys).withColumn("__block", F.filter("__keys", block.contains)).withColumn("__allow", F.filter("__keys", allow.contains))
+    all_keys, b, a = unused([*cols, "host", "path"], "keys", "b", "a")
     longest = lambda c: F.array_max(F.transform(c, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
-    best = ruled.withColumn("__b", longest("__block")).withColumn("__a", longest("__allow"))
-    wins = F.col("__a").isNull() | (F.col("__b") >= F.col("__a"))
-    verdict = F.when(F.col("__b").isNotNull() & wins, "block").when(F.col("__a").isNotNull(), "allow").when(F.exists(hosts, deny.contains), "block").otherwise("allow")
-    return best.select(*map(col, cols), "host", "path", F.when(F.col("__b").isNotNull() & wins, F.col("__b")["k"]).otherwise(F.col("__a")["k"]).alias("rule"), verdict.alias("verdict"))
+    best = cut.withColumn(all_keys, keys).withColumn(b, longest(F.filter(all_keys, block.contains))).withColumn(a, longest(F.filter(all_keys, allow.contains)))
+    blocks = F.coalesce(F.col(a).isNull() | (F.col(b)["n"] >= F.col(a)["n"]), F.lit(False)) & F.col(b).isNotNull()
+    verdict = F.when(blocks, "block").when(F.col(a).isNotNull(), "allow").when(F.exists(hosts, deny.contains), "block").otherwise("allow")
+    return best.select(*map(col, cols), "host", "path", F.when(blocks, F.col(b)["k"]).otherwise(F.col(a)["k"]).alias("rule"), verdict.alias("verdict"))
