@@ -86,7 +86,13 @@ def test_flip_twice_and_ranges_from_the_top(spark):
     twice = S.flip(S.flip(v, shapes, "z"), shapes, "z")
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, v.collect()))
     ranges = spark.createDataFrame([("s1", 0, 1)], "series_id string, start int, end int")
-    assert {r["z"] for r in S.slice_range_filter(v, ranges, "series_id", "z").collect()} == {3}
+    assert {r["z"] for r in S.slice_range_filter(v, ranges, "series_id", "z", dense=True).collect()} == {3}
+    # a sparse mask: foreground at z = 2, 3 of ten slices, six to seven from the top
+    mask = spark.createDataFrame([("s1", 2, 0, 0, 1), ("s1", 3, 0, 0, 1), ("s1", 8, 0, 0, 1)], "series_id string, z int, y int, x int, label int")
+    shapes, ranges = spark.createDataFrame([("s1", 10)], "series_id string, depth int"), spark.createDataFrame([("s1", 6, 8)], "series_id string, start int, end int")
+    assert {r["z"] for r in S.slice_range_filter(mask, ranges, "series_id", "z", shapes=shapes).collect()} == {2, 3}
+    with pytest.raises(ValueError):
+        S.slice_range_filter(mask, ranges, "series_id", "z")
 
 
 def test_names(spark):
@@ -146,6 +152,45 @@ def test_kernels(spark):
     assert {(x["i"], x["label"]) for x in K.muscle_fat_split(hu).collect()} == {(0, 5), (1, 5), (2, 1), (3, 1), (9, 2)}
 
 
+def test_large_means_do_not_cancel(spark):
+    df = spark.createDataFrame([(k, c, 1e9 * k + x) for k in (1, 2) for c, x in ((1, 0.0), (1, 1.0), (2, 2.0), (2, 3.0))], "series_id int, label int, v double")
+    stats = T.series_stats(df, ["series_id"], "v")
+    want = np.std([0, 1, 2, 3])
+    assert all(np.isclose(r["std"], want, rtol=1e-6) for r in stats.collect())
+    assert np.isclose(T.global_stats(stats.where("series_id = 2")).first()["std"], want, rtol=1e-6)
+    both = T.global_stats(stats).first()
+    assert np.isclose(both["std"], np.std([1e9 * k + x for k in (1, 2) for x in range(4)]))
+    assert {round(r["std"], 4) for r in T.class_stats(df, "series_id", "label", "v").where("class <> 'whole'").collect()} == {0.5}
+
+
+def test_global_ranks(spark):
+    from voxelframe.functions.ranks import ranked, ranked_within
+
+    df = spark.range(5000).select(F.when(F.col("id") != 17, F.col("id") * 7 % 5003).alias("k"), (F.col("id") % 3).alias("rank"))
+    got = ranked(df.repartition(7), "k").select("row.k", "rank", "n").toPandas().sort_values("rank")
+    assert got["rank"].tolist() == list(range(1, 5001)) and set(got["n"]) == {5000} and np.isnan(got["k"].iat[0]) and got["k"].iloc[1:].is_monotonic_increasing
+    within = ranked_within(df, ["rank"], "k").select("row.*", F.col("rank").alias("place"), "n").toPandas()
+    for g, part in within.sort_values("place").groupby("rank"):
+        assert part["place"].tolist() == list(range(1, len(part) + 1)) and set(part["n"]) == {len(part)}
+    assert ranked(df.limit(0), "k").count() == 0
+
+
+def test_random_crops_keep_their_rules(spark):
+    """The rules of a crop, checked on every crop against the volume itself."""
+    r = np.random.default_rng(6)
+    v, lab = r.normal(size=(6, 6, 6)), (r.random((6, 6, 6)) * 3).astype(int)
+    v[:3], lab[3:, 3:] = 0.0, 1
+    vol = spark.createDataFrame([("s", [6, 6, 6], v.ravel().tolist(), lab.ravel().tolist())], "series_id string, shape array<int>, voxels array<double>, labels array<int>")
+    crops = lambda **o: K.random_crops(vol, [2, 2, 2], 1.0, o.pop("cat_max", 1.0), o.pop("std_min", 0.0), seed=5, **o).collect()
+    every = crops()
+    assert len(every) == 27
+    cat = lambda c: max(np.bincount(c["label"])) / 8
+    assert sum(cat(c) > 0.5 for c in crops(cat_max=0.5)) < sum(cat(c) > 0.5 for c in every)
+    assert all(np.std(c["img"]) >= 0.3 for c in crops(std_min=0.3, tries=500)) and any(np.std(c["img"]) < 0.3 for c in every)
+    assert all(2 in c["label"] for c in crops(ensure=[2])) and not any(2 in c["label"] for c in crops(ensure=[2], invert=True))
+    assert len(crops(ensure=[2])) + len(crops(ensure=[2], invert=True)) == 27
+
+
 def test_metrics_and_empty_tables(spark):
     counts = spark.createDataFrame([(1, 3.0, 0.0), (2, 6.0, 9.0), (3, 13.0, 10.0), (4, 13.1, 10.0)], "patch int, pred double, gt double")
     r = E.count_metrics(counts).first()

@@ -7,28 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A table's rows are dealt to this many key ranges before they are numbered.
-RANGES = 256
-
-
-def global_rank(df: DataFrame, part: str, order: Sequence[str | Column]) -> DataFrame:
-    """Adds `rank` (from 1), given a column whose values order the rows coarsely (equal rows together)."""
-    inside = df.withColumn("__r", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))  # one row for each part
-    before = sizes.select(F.col(part).alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return inside.join(F.broadcast(before), F.col(part) == F.col("__q")).withColumn("rank", (F.col("__r") + F.col("__b")).cast("long")).drop("__r", "__q", "__b")
-
-
-def _ends(df: DataFrame, key: str) -> list:
-    """Range borders: evenly spaced keys of a sample of 16 keys a range, chosen by hash."""
-    chosen = sorted(r[0] for r in df.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(16 * RANGES).collect())
-    return sorted(set(chosen[16::16]))
-
-
-def ranked(df: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """rank of every row by `key` and n, the number of rows; keys should be distinct (nulls come first)."""
-    n = df.count()
-    ends = _ends(df, key) if n > 16 * RANGES else []
-    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col(key))) if ends else F.lit(0)
-    out = global_rank(df.withColumn("__part", F.coalesce(part, F.lit(0))), "__part", [key]).drop("__part").withColumn("n", F.lit(n).cast("long"))
-    return out.withColumn("rank", F.col("n") + 1 - F.col("rank")) if descending else out
+from voxelframe.functions.workers import written
+
+#: Bits of a row number that count inside a range; those above are the range.
+INSIDE = 33
+
+
+def ranked(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """(row, rank, n): every row of df as a struct, its place from 1 in the order of the keys (nulls first) and the number of rows.
+
+    The table is dealt to ranges of the keys once, sorted inside them and written; a row's number
+    inside its range and the sizes of the ranges, one row each, give its place. Ranges follow the size
+    of the table, as Spark coalesces them. Rows with equal keys come in any order.
+    """
+    order = [F.col(k) if isinstance(k, str) else k for k in keys]
+    named = df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *[k.alias(f"k{i}") for i, k in enumerate(order)])
+    names = [f"k{i}" for i in range(len(order))]
+    spread = named.repartitionByRange(*names).sortWithinPartitions(*names)
+    rows = written(spread.select("row", F.monotonically_increasing_id().alias("at")), "ranked")
+    part = F.shiftright("at", INSIDE)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    before = sizes.select("part", F.coalesce(F.sum("size").over(whole), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("n"))
+    return rows.join(before, part == F.col("part")).select("row", (F.col("at").bitwiseAND(F.lit((1 << INSIDE) - 1)) + F.col("before") + 1).alias("rank"), F.col("n"))
+
+
+def ranked_within(df: DataFrame, by: Sequence[str], *keys: str | Column) -> DataFrame:
+    """ranked(), but place and number of rows inside each group: for few groups of any size."""
+    r = ranked(df, *by, *keys)
+    groups = r.groupBy(*[F.col("row")[c].alias(f"g{i}") for i, c in enumerate(by)]).agg((F.min("rank") - 1).alias("skip"), F.count(F.lit(1)).alias("size"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col("row")[c].eqNullSafe(F.col(f"g{i}"))
+    return r.join(groups, same).select("row", (F.col("rank") - F.col("skip")).alias("rank"), F.col("size").alias("n"))

@@ -8,7 +8,7 @@ import re
 import tempfile
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Scratch folders of the applications of this process, and those whose session names none.
 _SCRATCH: dict[str, str] = {}
@@ -51,6 +51,13 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, records: int, megabytes: int) -> Iterator[None]:
     """Bound the Arrow batches of what runs inside the block; the session's own settings come back after it."""

@@ -58,15 +58,15 @@ def per_class_report(metrics: DataFrame, digits: int = 2) -> DataFrame:
     return rows.unionByName(mean).select("class", *[F.round(c, digits).alias(c) for c in cols])
 
 
-def dice_accuracy_in_range(voxels: DataFrame, ranges: DataFrame, series: str, z: str, gt: str, pred: str, classes: Sequence[int], eps: float = 1.0, full_label: int = 4) -> DataFrame:
+def dice_accuracy_in_range(voxels: DataFrame, ranges: DataFrame, series: str, z: str, gt: str, pred: str, classes: Sequence[int], eps: float = 1.0, full_label: int = 4, shapes: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """One row: mean (1 - dice) over cases, slices and classes inside each series' slice range, and accuracy correct / (n + 1).
 
-    ranges: (series, start, end) counted from the top slice, as slice_range_filter() takes it.
+    ranges: (series, start, end) counted from the top slice; shapes, dense: as slice_range_filter() takes them.
     Cases whose largest true label is not full_label are skipped.
     """
     from voxelframe.operators.spatial import slice_range_filter
 
-    inside = slice_range_filter(voxels, ranges, series, z, "drop").where(F.col(gt).isNotNull() & F.col(pred).isNotNull())
+    inside = slice_range_filter(voxels, ranges, series, z, "drop", shapes=shapes, dense=dense).where(F.col(gt).isNotNull() & F.col(pred).isNotNull())
     counted = inside.groupBy(series, z, F.col(gt).alias("g"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     full = counted.groupBy(series).agg(F.max("g").alias("m")).where(F.col("m") == full_label).select(series)
     counted = counted.join(full, series, "left_semi")

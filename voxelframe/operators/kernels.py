@@ -17,9 +17,8 @@ from voxelframe.functions.workers import share_package
 
 
 def _one_at_a_time(df: DataFrame) -> DataFrame:
-    """Small Arrow batches: a volume may have 10**8 voxels."""
+    """A volume may have 10**8 voxels: Spark ends an Arrow batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so large ones come alone."""
     share_package(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     return df
 
 

@@ -110,5 +110,4 @@ def bin_point(x: Column, width: int = 8, last: int = 63) -> Column:
 
 def assign_ids(paths: DataFrame, path_col: str = "path", start: int = 0) -> DataFrame:
     """Consecutive ids in path order, numbered in two steps: places inside key ranges, then their offsets."""
-    rows = paths.select(F.struct(*paths.columns).alias("row"), F.col(path_col).alias("key"))
-    return ranked(rows, "key").select("row.*", (F.col("rank") - 1 + start).alias("id"))
+    return ranked(paths, path_col).select("row.*", (F.col("rank") - 1 + start).alias("id"))

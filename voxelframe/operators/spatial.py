@@ -13,12 +13,16 @@ VOXEL = ("series_id", "z", "y", "x")
 AXES = ("z", "y", "x")
 
 
-def slice_range_filter(voxels: DataFrame, ranges: DataFrame, series: str, z: str, mode: str = "drop", value: str = "label") -> DataFrame:
+def slice_range_filter(voxels: DataFrame, ranges: DataFrame, series: str, z: str, mode: str = "drop", value: str = "label", shapes: DataFrame | None = None, dense: bool = False) -> DataFrame:
     """Voxels inside the interval start <= n - 1 - z < end, counted from the top of an n-slice series; others go (drop) or become 0 (zero).
 
+    n comes from shapes (series, depth), so masks may be sparse; a series without a shape has no
+    row. dense: there are no shapes, and the last slice that occurs is the last of its series.
     A null or missing range leaves the series untouched.
     """
-    depth = voxels.groupBy(series).agg((F.max(z) + 1).alias("__n"))
+    if shapes is None and not dense:
+        raise ValueError("slice_range_filter needs the depth of each series, or dense=True")
+    depth = voxels.groupBy(series).agg((F.max(z) + 1).alias("__n")) if shapes is None else shapes.select(series, F.col("depth").alias("__n"))
     r = depth.join(ranges.select(series, F.col("start").alias("__s"), F.col("end").alias("__e")), series, "left")
     top = F.col("__n") - 1 - F.col(z)
     inside = F.coalesce((top >= F.col("__s")) & (top < F.col("__e")), F.lit(True))

@@ -8,17 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions.columns import md5_order
-from voxelframe.functions.ranks import ranked
+from voxelframe.functions.ranks import ranked, ranked_within
 
 
 def _placed(ids: DataFrame, key: str, seed: int | None) -> DataFrame:
     """Distinct ids with pos (from 0) and n, in key order or in a seeded order."""
     once = ids.select(key).distinct()
-    if seed is None:
-        out = ranked(once, key)
-    else:
-        out = ranked(once.withColumn("__h", F.concat_ws("|", md5_order([key], seed), F.col(key).cast("string"))), "__h").drop("__h")
-    return out.withColumn("pos", F.col("rank") - 1).drop("rank")
+    out = ranked(once, *([] if seed is None else [md5_order([key], seed)]), key)
+    return out.select("row.*", (F.col("rank") - 1).alias("pos"), "n")
 
 
 def _cut(n: Column, ratio: float) -> Column:
@@ -63,17 +60,15 @@ def top_n(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
 
 def activate_case_ratio(cases: DataFrame, split: str, key: str, ratio: float, seed: int, by: Sequence[str] = ("split",)) -> DataFrame:
     """int(n ratio) cases of each split at least 1, seeded; the test split keeps all."""
-    w = Window.partitionBy(*by)
-    marked = cases.withColumn("__r", F.row_number().over(w.orderBy(md5_order([key], seed), key))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return marked.where((F.col(split) == "test") | (F.col("__r") <= F.greatest(F.floor(F.col("__n") * ratio), F.lit(1)))).drop("__r", "__n")
+    placed = ranked_within(cases, by, md5_order([key], seed), key)
+    return placed.where((F.col("row")[split] == "test") | (F.col("rank") <= F.greatest(F.floor(F.col("n") * ratio), F.lit(1)))).select("row.*")
 
 
 def ratio_sample(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     """max(int(n ratio), 1) rows without replacement, in a seeded order; an empty table is an error."""
-    n = df.count()
-    if n < 1:
+    if df.isEmpty():
         raise ValueError("nothing to sample from")
-    return df.orderBy(md5_order([key], seed), key).limit(max(int(n * ratio), 1))
+    return ranked(df, md5_order([key], seed), key).where(F.col("rank") <= F.greatest(F.floor(F.col("n") * ratio), F.lit(1))).select("row.*")
 
 
 def sample_per_case(centers: DataFrame, by: Sequence[str], order: str, k: int | float, seed: int | None = None, test: bool = False) -> DataFrame:

@@ -12,44 +12,40 @@ from voxelframe.functions.columns import md5_order
 QUANTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
-def _counted(voxels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Voxels as (keys, value, n): percentiles and moments then see each distinct value once, and hot groups combine before the shuffle."""
-    return voxels.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def _values(voxels: DataFrame, value: str) -> DataFrame:
+    """Voxels with a value `v`. A group's percentiles count its distinct values in each task, so a hot group is small when it is shuffled, once."""
+    return voxels.where(F.col(value).isNotNull()).withColumn("v", F.col(value).cast("double"))
 
 
 def _percentiles(named: dict[str, float]) -> Column:
-    return F.percentile("v", list(named.values()), F.col("n"))
+    return F.percentile("v", list(named.values()))
 
 
 def _moments() -> list[Column]:
-    n = F.sum("n")
-    mean = F.sum(F.col("v") * F.col("n")) / n
-    return [n.alias("n"), F.sum(F.col("v") * F.col("n")).alias("sum"), F.sum(F.col("v") * F.col("v") * F.col("n")).alias("sum_sq"), mean.alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")]
-
-
-def _std() -> Column:
-    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
-    return F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("v") * F.col("v") * F.col("n")) / F.sum("n") - mean * mean))
+    """n, mean and squared deviations are merged, so large means do not cancel."""
+    return [F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")]
 
 
 def series_stats(voxels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per series: min, max, mean, std (population), percentiles with linear interpolation, sum, n, sum_sq. Nulls do not count."""
-    counted = _counted(voxels, keys, value)
-    out = counted.groupBy(*keys).agg(*_moments(), _std().alias("std"), _percentiles(QUANTILES).alias("q"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sum_sq")]
+    out = _values(voxels, value).groupBy(*keys).agg(*_moments(), *sums, _percentiles(QUANTILES).alias("q"))
     return out.select(*keys, "min", "max", "mean", "std", *[F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)], "sum", "n", "sum_sq")
 
 
 def global_stats(stats: DataFrame) -> DataFrame:
-    """min, max, mean, std of everything, merged from series_stats() rows without another scan."""
-    mean = F.sum("sum") / F.sum("n")
-    return stats.agg(F.min("min").alias("min"), F.max("max").alias("max"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum("sum_sq") / F.sum("n") - mean * mean)).alias("std"))
+    """min, max, mean, std of everything, merged from series_stats() rows without another scan: deviations inside and between the series."""
+    whole = stats.agg((F.sum("sum") / F.sum("n")).alias("__m"))  # one row
+    apart = F.col("mean") - F.col("__m")
+    spread = F.sum(F.col("n") * (F.col("std") * F.col("std") + apart * apart)) / F.sum("n")
+    return stats.crossJoin(F.broadcast(whole)).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.max("__m").alias("mean"), F.sqrt(spread).alias("std"))
 
 
 def class_stats(voxels: DataFrame, series: str, label: str, value: str, whole: str = "whole") -> DataFrame:
     """Per series and present class, and for the whole series: mean, std, min, max, count, p5, p95, and the class's rank by mean."""
-    counted = _counted(voxels.where(F.col(label).isNotNull()), [series, label], value).select(series, F.col(label).cast("string").alias("class"), "v", "n")
-    each = counted.unionByName(counted.withColumn("class", F.lit(whole)))
-    out = each.groupBy(series, "class").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), _std().alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("n").alias("count"), _percentiles({"lower": 0.05, "upper": 0.95}).alias("q"))
+    labelled = _values(voxels.where(F.col(label).isNotNull()), value).select(series, F.col(label).cast("string").alias("class"), "v")
+    made = [*_moments(), F.count(F.lit(1)).alias("count"), _percentiles({"lower": 0.05, "upper": 0.95}).alias("q")]
+    out = labelled.groupBy(series, "class").agg(*made).unionByName(labelled.groupBy(series).agg(*made).withColumn("class", F.lit(whole)))
     rank = F.when(F.col("class") != whole, F.row_number().over(Window.partitionBy(series, F.col("class") == whole).orderBy("mean", "class")))
     return out.select(series, "class", "mean", "std", "min", "max", "count", F.col("q")[0].alias("lower_bound"), F.col("q")[1].alias("upper_bound"), rank.alias("mean_rank"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelframe.functions.workers import shared_folder
 from voxelframe.operators import names as N
 from voxelframe.operators import pairing as P
 from voxelframe.operators import sampling as M
@@ -24,6 +25,39 @@ def _labs(s, d):
     return T(s, d, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("/lab/"), F.col("doc_id").cast("string")).alias("label_path"))
 
 
+def _listed(s, d):
+    """orders written as one file for each status, then listed."""
+    root = shared_folder(s, "s1")
+    S.write_report(T(s, d, "orders").select("o_orderkey", "o_orderstatus").repartition("o_orderstatus"), root, "json", ["o_orderstatus"])
+    return S.list_files(s, root, [".JSON"]).groupBy("parent").agg(F.count(F.lit(1)).alias("n_files"), F.min(F.col("length") > 0).alias("filled"))
+
+
+def _metadata(s, d):
+    root = shared_folder(s, "s2")
+    S.write_report(T(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), root, "csv")
+    return S.read_metadata_csv(s, root, "o_orderkey long, o_orderpriority string, o_totalprice double", ["o_orderpriority", "o_orderkey"])
+
+
+def _report(s, d):
+    root = shared_folder(s, "s4")
+    S.write_report(T(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), root, "json", ["c_mktsegment"])
+    return s.read.schema("c_custkey long, c_acctbal double, c_mktsegment string").json(root)
+
+
+def _split_layout(s, d):
+    root = shared_folder(s, "s5")
+    split = F.when(F.col("o_orderkey") % 5 == 0, "test").otherwise("train")
+    S.write_split_layout(T(s, d, "orders").select(F.col("o_custkey").alias("series_id"), "o_orderkey", split.alias("split")), root)
+    return S.read_split_layout(s, root).select("series_id", "o_orderkey", F.col("split").cast("string").alias("split"))
+
+
+def _patch_files(s, d):
+    root = shared_folder(s, "s6")
+    S.write_patches(voxels(s, d).select("series_id", "z", "hu"), root)
+    back = s.read.parquet(root)
+    return back.groupBy("series_id").agg(F.countDistinct("series_bucket").alias("buckets"), F.count(F.lit(1)).alias("n"), F.round(F.sum("hu"), 4).alias("hu"))
+
+
 DOCS = "(SELECT doc_id AS id, '/img/' || source || '/Case_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '_0000.nii.gz' AS img_path FROM documents)"
 LABS = "(SELECT doc_id AS id, '/lab/' || doc_id AS label_path FROM labels)"
 
@@ -117,6 +151,11 @@ QUERIES = {
     "m27_encode_categories": lambda s, d: P.encode_categories(T(s, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], {"BUILDING": 0, "MACHINERY": 1, "AUTOMOBILE": 2}),
     "a34_label_group_members": lambda s, d: P.label_group_members(_lab_rows(s, d), {"g1": ["a", "b"], "g2": ["c"]}, "lab"),
     "a34_groups_of": lambda s, d: P.groups_of(P.label_group_members(_lab_rows(s, d), {"g1": ["a", "b"], "g2": ["c"]}, "lab")).withColumn("groups", F.array_join("groups", ",")),
+    "s1_list_files": _listed,
+    "s2_read_metadata_csv": _metadata,
+    "s4_write_report": _report,
+    "s5_write_split_layout": _split_layout,
+    "s6_write_patches": _patch_files,
     "s3_flatten_json_map": lambda s, d: S.flatten_json_map(T(s, d, "events").select("event_id", F.concat(F.lit('{"'), F.col("event_type"), F.lit('":'), F.col("props"), F.lit("}")).alias("j")), "j", 2),
     "s7_pending_tasks": lambda s, d: S.pending_tasks(T(s, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey"), T(s, d, "customer").where("c_acctbal < 5000").select(F.col("c_custkey").alias("id")), ["id"]),
     "s8_run_log_header": lambda s, d: S.run_log(T(s, d, "labels").withColumn("error", F.when(F.col("toxic") == 1, "toxic")), {"root": "x"}, date=F.lit("2020-01-01"))[1].drop("params"),
@@ -214,6 +253,11 @@ SELECT exp, n_datasets, CAST(sum(files) AS BIGINT) AS n_files, CASE WHEN n_datas
     "m27_encode_categories": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'AUTOMOBILE' THEN 2 END AS c_mktsegment FROM customer",
     "a34_label_group_members": f"SELECT * FROM {MEMBERS}",
     "a34_groups_of": f"SELECT lab_id, string_agg(\"group\", ',' ORDER BY \"group\") AS groups FROM {MEMBERS} GROUP BY 1",
+    "s1_list_files": "SELECT 'o_orderstatus=' || o_orderstatus AS parent, CAST(1 AS BIGINT) AS n_files, true AS filled FROM orders GROUP BY o_orderstatus",
+    "s2_read_metadata_csv": "SELECT o_orderpriority, o_orderkey FROM orders",
+    "s4_write_report": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
+    "s5_write_split_layout": "SELECT o_custkey AS series_id, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM orders",
+    "s6_write_patches": f"SELECT series_id, CAST(1 AS BIGINT) AS buckets, count(*) AS n, round(sum(hu), 4) AS hu FROM {VOXELS} GROUP BY series_id",
     "s3_flatten_json_map": "SELECT event_id, event_type AS level_1, 'k' AS level_2, json_extract_string(props, '$.k') AS value FROM events",
     "s7_pending_tasks": "SELECT o_custkey AS id, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 5000)",
     "s8_run_log_header": "SELECT '2020-01-01' AS date, count(*) FILTER (toxic = 0) AS n_ok, count(*) FILTER (toxic = 1) AS n_error FROM labels",

@@ -104,6 +104,11 @@ RANGED = f"""(SELECT v.*, coalesce(n - 1 - z >= o_orderkey % 4 AND n - 1 - z < C
   FROM (SELECT *, max(z) OVER (PARTITION BY series_id) + 1 AS n FROM {GRID}) v LEFT JOIN orders ON o_orderkey = series_id AND o_orderkey % 3 <> 0)"""
 
 
+#: Voxels with a label only; the depth of a series is that of its shape.
+RANGED_SPARSE = f"""(SELECT v.*, coalesce(depth - 1 - z >= o_orderkey % 4 AND depth - 1 - z < CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 + 3 END, true) AS ok
+  FROM {GRID} v JOIN {SHAPES} h USING (series_id) LEFT JOIN orders ON o_orderkey = series_id AND o_orderkey % 3 <> 0 WHERE label > 0)"""
+
+
 def _targets(s, d):
     return T(s, d, "orders").select(F.col("o_orderkey").alias("series_id"), (F.col("o_totalprice") % 50).alias("t"))
 
@@ -134,7 +139,8 @@ QUERIES = {
     "a16_mean_metrics": lambda s, d: E.mean_metrics(_areas(s, d)).select("aAcc", "mIoU", "mDice", "mPrecision", "mRecall"),
     "a17_valid_class_metrics": lambda s, d: _six(E.valid_class_metrics(_areas(s, d), [1, 2])),
     "a18_per_class_report": lambda s, d: _six(E.per_class_report(E.segmentation_metrics(_areas(s, d)), 4).select("class", "IoU", "Dice")),
-    "a19_dice_accuracy_in_range": lambda s, d: _six(E.dice_accuracy_in_range(_grid(s, d), _ranges(s, d), "series_id", "z", "label", "label2", [1, 2], 1.0, 2)),
+    "a19_dice_accuracy_in_range": lambda s, d: _six(E.dice_accuracy_in_range(_grid(s, d), _ranges(s, d), "series_id", "z", "label", "label2", [1, 2], 1.0, 2, dense=True)),
+    "a19_dice_accuracy_sparse": lambda s, d: _six(E.dice_accuracy_in_range(_grid(s, d).where("label > 0"), _ranges(s, d), "series_id", "z", "label", "label2", [1, 2], 1.0, 2, shapes=_shapes(s, d))),
     "a20_count_metrics": lambda s, d: _six(E.count_metrics(T(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").cast("double").alias("gt"), F.sum(F.col("l_quantity") / 8).alias("pred")))),
     "a21_relative_position_error": lambda s, d: _six(E.relative_position_error(T(s, d, "events").withColumn("g", F.get_json_object("props", "$.k").cast("double")), "value", "g", "l2")),
     "a22_round_average": lambda s, d: _six(E.round_average(_results(s, d), ["Dice", "Precision", "Recall"])),
@@ -154,8 +160,9 @@ QUERIES = {
     "a37_subgroup_accuracy": lambda s, d: _six(E.subgroup_accuracy(_seg(s, d).withColumn("g", F.col("series_id") % 7), "g", "gt", "pred")),
     "a37_position_accuracy": lambda s, d: _six(E.position_accuracy(_seg(s, d).withColumn("g", F.col("series_id") % 7), "g", "x", "gt", "pred")),
     "a38_reconstruction_error": lambda s, d: _six(E.reconstruction_error(voxels(s, d), "series_id", "hu", "label")),
-    "j8_slice_range_drop": lambda s, d: S.slice_range_filter(_grid(s, d), _ranges(s, d), "series_id", "z", "drop").select("series_id", "z", "y", "x", "label"),
-    "j8_slice_range_zero": lambda s, d: S.slice_range_filter(_grid(s, d), _ranges(s, d), "series_id", "z", "zero").select("series_id", "z", "y", "x", "label"),
+    "j8_slice_range_drop": lambda s, d: S.slice_range_filter(_grid(s, d), _ranges(s, d), "series_id", "z", "drop", dense=True).select("series_id", "z", "y", "x", "label"),
+    "j8_slice_range_zero": lambda s, d: S.slice_range_filter(_grid(s, d), _ranges(s, d), "series_id", "z", "zero", dense=True).select("series_id", "z", "y", "x", "label"),
+    "j8_slice_range_sparse": lambda s, d: S.slice_range_filter(_grid(s, d).where("label > 0"), _ranges(s, d), "series_id", "z", "drop", shapes=_shapes(s, d)).select("series_id", "z", "y", "x", "label"),
     "j9_nearest_within": lambda s, d: _six(S.nearest_within(_targets(s, d), voxels(s, d), ["series_id"], "t", "hu", "z", 3.0)),
     "j10_nearest_slice": lambda s, d: _six(S.nearest_slice(_targets(s, d), voxels(s, d), ["series_id"], "t", "hu", "z")),
     "j13_align_image_label": lambda s, d: S.align_image_label(_grid(s, d), _grid(s, d).where("label > 0")),
@@ -178,7 +185,7 @@ QUERIES = {
     "m13_one_hot": lambda s, d: M.one_hot(_grid(s, d), "label", 3, 0).select("series_id", "z", "y", "x", F.array_join(F.col("one_hot").cast("array<string>"), "").alias("one_hot")),
     "m14_resample_geometry": lambda s, d: S.resample_geometry(_geometry(s, d), new_spacing=[2.0, 1.0, 1.5]).select("p_partkey", F.array_join(F.col("new_size").cast("array<string>"), ",").alias("new_size")),
     "m15_resample_labels_nn": lambda s, d: S.resample_labels_nn(pixels(s, d).select("series_id", F.lit(0).alias("z"), "y", "x", (F.col("y") * 8 + F.col("x")).alias("label")), T(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.lit(1).alias("old_d"), F.lit(8).alias("old_h"), F.lit(8).alias("old_w"), F.lit(1).alias("new_d"), F.lit(5).alias("new_h"), F.lit(13).alias("new_w"))),
-    "m16_resample_image_linear": lambda s, d: K.resample_image_linear(_volumes(s, d), [0.5, 1.5, 1.0]).select("series_id", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.round(F.aggregate("voxels", F.lit(0.0), lambda a, x: a + x), 5).alias("total")),
+    "m16_resample_image_linear": lambda s, d: K.resample_image_linear(_volumes(s, d), [0.5, 1.5, 1.0]).select("series_id", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.posexplode("voxels").alias("pos", "value")).withColumn("value", F.round("value", 5)),
     "m17_pad_to_size": lambda s, d: _six(S.pad_to_size(pixels(s, d).select("series_id", F.lit(0).alias("z"), "y", "x", F.col("value").alias("hu")), T(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.lit(1).alias("depth"), F.lit(8).alias("height"), F.lit(8).alias("width")), [2, 11, 8], -1.0)[0]),
     "m17_center_crop": lambda s, d: S.center_crop(_grid(s, d), _shapes(s, d), [4, 8, 8])[0].select("series_id", "z", "y", "x", "hu"),
     "m17_cut_edge": lambda s, d: S.cut_edge(_grid(s, d), _shapes(s, d), 2)[0].select("series_id", "z", "y", "x", "hu"),
@@ -224,6 +231,10 @@ ORACLE = {
     "a19_dice_accuracy_in_range": f"""WITH v AS (SELECT * FROM {RANGED} WHERE ok), f AS (SELECT series_id FROM v GROUP BY 1 HAVING max(label) = 2), k AS (SELECT * FROM v SEMI JOIN f USING (series_id)),
 c AS (SELECT series_id, z, class, count(*) FILTER (label = class AND label2 = class) AS i, count(*) FILTER (label = class) AS a, count(*) FILTER (label2 = class) AS b FROM k, (SELECT unnest([1, 2]) AS class) GROUP BY ALL),
 l AS (SELECT series_id, avg(1 - (2 * i + 1.0::DOUBLE) / (a + b + 1)) AS l FROM c GROUP BY 1), s AS (SELECT series_id, count(*) FILTER (label = label2) / (count(*) + 1)::DOUBLE AS c FROM k GROUP BY 1)
+SELECT round(avg(l), 6) AS dice_loss, round(avg(c), 6) AS accuracy FROM l JOIN s USING (series_id)""",
+    "a19_dice_accuracy_sparse": f"""WITH v AS (SELECT * FROM {RANGED_SPARSE} WHERE ok), f AS (SELECT series_id FROM v GROUP BY 1 HAVING max(label) = 2), k AS (SELECT * FROM v SEMI JOIN f USING (series_id)),
+c AS (SELECT series_id, z, class, count(*) FILTER (label = class AND label2 = class) AS i, count(*) FILTER (label = class) AS a, count(*) FILTER (label2 = class) AS b FROM k, (SELECT unnest([1, 2]) AS class) GROUP BY ALL),
+l AS (SELECT series_id, avg(1 - (2 * i + 1.0::DOUBLE) / (a + b + 1)) AS l FROM c GROUP BY 1), s AS (SELECT series_id, count(*) FILTER (label = label2) / (count(*) + 1)::DOUBLE AS c FROM k GROUP BY 1)
 SELECT round(avg(l), 6) AS dice_loss, round(avg(c), 6) AS accuracy FROM l JOIN s USING (series_id)""",
     "a20_count_metrics": "WITH c AS (SELECT sum(l_linenumber)::DOUBLE AS gt, sum(l_quantity / 8) AS pred FROM lineitem GROUP BY l_orderkey) SELECT round(avg(abs(pred - gt)), 6) AS mae, round(100 * avg(abs(pred - gt) / gt), 6) AS mape, round(avg(CASE WHEN (CASE WHEN gt < 10 THEN abs(pred - gt) <= 3 ELSE abs(pred - gt) <= 0.3::DOUBLE * gt END) THEN 1.0 ELSE 0.0 END), 6) AS product_met FROM c",
     "a21_relative_position_error": "SELECT round(avg(pow(value - CAST(json_extract(props, '$.k') AS DOUBLE), 2)), 6) AS error FROM events",
@@ -245,6 +256,11 @@ SELECT round(avg(l), 6) AS dice_loss, round(avg(c), 6) AS accuracy FROM l JOIN s
     "a37_position_accuracy": f"SELECT series_id % 7 AS g, x, round(avg(CASE WHEN gt = pred THEN 1.0 ELSE 0.0 END), 6) AS class_acc FROM {SEG} GROUP BY 1, 2",
     "a38_reconstruction_error": f"SELECT round(avg(a), 6) AS mae, round(avg(p), 6) AS mape FROM (SELECT avg(abs(label - hu)) AS a, avg(abs(label - hu) / (hu + 1e-6)) AS p FROM {VOXELS} GROUP BY series_id)",
     "j8_slice_range_drop": f"SELECT {V4}, label FROM {RANGED} WHERE ok",
+    "j8_slice_range_sparse": f"SELECT {V4}, label FROM {RANGED_SPARSE} WHERE ok",
+    "m16_resample_image_linear": """WITH p AS (SELECT axis, i, least(i * t / o, 3) AS p FROM (VALUES ('z', 7, 0.5::DOUBLE, 1.0::DOUBLE), ('y', 4, 1.5, 2.0), ('x', 3, 1.0, 1.0)) a(axis, n, t, o), range(0, 7) r(i) WHERE i < n),
+w AS (SELECT axis, i, CAST(floor(p) AS INTEGER) AS c, 1 - (p - floor(p)) AS u FROM p UNION ALL SELECT axis, i, CAST(least(floor(p) + 1, 3) AS INTEGER), p - floor(p) FROM p),
+g AS (SELECT CAST(z.i * 12 + y.i * 3 + x.i AS INTEGER) AS pos, z.c * 16 + y.c * 4 + x.c + 1 AS spot, z.u * y.u * x.u AS u FROM w z, w y, w x WHERE z.axis = 'z' AND y.axis = 'y' AND x.axis = 'x')
+SELECT vec_id AS series_id, '7,4,3' AS shape, pos, round(sum(CAST(embedding[spot] AS DOUBLE) * u), 5) AS value FROM embeddings, g GROUP BY vec_id, pos""",
     "j8_slice_range_zero": f"SELECT {V4}, CASE WHEN ok THEN label ELSE 0 END AS label FROM {RANGED}",
     "j9_nearest_within": f"SELECT o_orderkey AS series_id, round(o_totalprice % 50, 6) AS t, arg_min(z, (abs(hu - o_totalprice % 50), z)) AS slice_idx, round(min(abs(hu - o_totalprice % 50)), 6) AS dy FROM orders JOIN {VOXELS} v ON v.series_id = o_orderkey WHERE abs(hu - o_totalprice % 50) < 3 GROUP BY o_orderkey, o_totalprice",
     "j10_nearest_slice": f"SELECT o_orderkey AS series_id, round(o_totalprice % 50, 6) AS t, CAST(arg_min(z, (abs(hu - o_totalprice % 50), z)) AS BIGINT) AS slice_idx FROM orders LEFT JOIN {VOXELS} v ON v.series_id = o_orderkey GROUP BY o_orderkey, o_totalprice",

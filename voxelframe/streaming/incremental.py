@@ -24,10 +24,15 @@ def new_slices(stream: DataFrame, sop: str, time: str, watermark: str) -> DataFr
 def streaming_ingest_slices(stream: DataFrame, done: Callable[[], DataFrame], sop: str, time: str, watermark: str, path: str, checkpoint: str, trigger_now: bool = True) -> StreamingQuery:
     """Appends slices that are neither repeated nor in done() (read anew for each batch) to a Parquet folder.
 
-    A batch writes to a folder of its own number, so one that is run again replaces itself.
+    A batch writes to a folder of its own number, so one that is run again replaces itself. Ids that
+    earlier batches wrote do not come again, however late they are repeated.
     """
     def put(batch: DataFrame, number: int) -> None:
-        batch.join(done().select(sop), sop, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = batch.join(done().select(sop), sop, "left_anti")
+        if number:
+            earlier = batch.sparkSession.read.schema(f"`{sop}` {batch.schema[sop].dataType.simpleString()}, batch long").parquet(path)
+            fresh = fresh.join(earlier.where(F.col("batch") < number).select(sop), sop, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = new_slices(stream, sop, time, watermark).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if trigger_now else writer).start()
