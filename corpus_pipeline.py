@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import langid, minhash, packing, pii
-from voxelframe.llm.common import col, read_table, stage, tokenizer_file
+from voxelframe.llm.common import col, read_table, stage, tokenizer_file, unused
 from voxelframe.llm.queries import PII_KEY, held_out
 
 
@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~held_out()), key=F.col("doc_id"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    judged = langid.identify(docs, model, lang_col="__lang", score_col="__score")
-    return judged.where((F.col("__lang") != "und") & (F.col("__score") > 0)).drop("__lang", "__score")
+    lang, score = unused(docs.columns, "lang_pred", "score")
+    judged = langid.identify(docs, model, lang_col=lang, score_col=score)
+    return judged.where((F.col(lang) != "und") & (F.col(score) > 0)).drop(lang, score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, its entities replaced by surrogates; n_chars follows the text."""
-    out = pii.pseudonymize(docs, spark.conf.get(PII_KEY, "test key"), entities_col="__entities")
+    entities, = unused(docs.columns, "entities")
+    out = pii.pseudonymize(docs, spark.conf.get(PII_KEY, "test key"), entities_col=entities)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else col(c) for c in docs.columns])
 
 
