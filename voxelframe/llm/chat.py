@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col
+from voxelframe.llm.common import col, stage
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns of a prefix-sum block; budgets of a stretch; tokens that the template adds to a turn.
@@ -88,7 +88,7 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 512, conv: str
 
     # a turn is repeated in the window after its own if it lies in the last `history` tokens before it, and as far as that window has room
     close = Window.partitionBy("c", "w")
-    spans = spans.withColumn("end", F.max(F.col("p") + F.col("k")).over(close)).withColumn("is_sys", F.col("sys").isNotNull() & (F.col("pos") == 1))
+    spans = stage(spans.withColumn("end", F.max(F.col("p") + F.col("k")).over(close)).withColumn("is_sys", F.col("sys").isNotNull() & (F.col("pos") == 1)))
     new = spans.select("c", "w", "pos", "r", "x", "k", F.lit(False).alias("again"))
     after = spans.groupBy(F.col("c").alias("nc"), F.col("w").alias("nw")).agg((F.max("end") - F.col("nw")).alias("size"))
     close = spans.where(~F.col("is_sys") & (F.col("end") - F.col("p") <= history)).join(after, F.col("c").eqNullSafe(F.col("nc")) & (F.col("end") == F.col("nw")))
