@@ -1,28 +1,143 @@
-"""Every stage of the pipeline on its own input, and the whole of it."""
+"""Every stage of the pipeline on its own input against plain Python, and the whole of it."""
 
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from voxelframe.llm.common import stage
+from voxelframe.llm.common import stage, tokenizer_file
 
+MAIL, ADDRESS, SOCIAL = r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+", r"(?<![\w.\-])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
+#: Whatever might begin an entity of any kind: a text without it must not change.
+SUSPECT = re.compile(r"@|\d[\d.() -]{4}|[=:]\s*[\"']?\S{6}|[A-Z]{2}\d{2}|\b(?:Mr|Mrs|Ms|Miss|Mister|Sir|Herr|Monsieur|Señor|Sr|Don|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Doña|Dr|Prof)\b")
 
-def test_stages(spark, sf):
+
+@pytest.fixture(scope="module")
+def folder(spark, sf, tmp_path_factory):
+    """documents with texts to reject, repeated rows and columns named like the stages' own."""
+    path = str(tmp_path_factory.mktemp("sf"))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "near_dedup", "personal_data", "packing"]
-    odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "123 456", "en", "s", 7), (10**6 + 2, "", None, None, None)], docs.schema)
-    seen, rows = stage(docs.unionByName(odd).unionByName(docs.limit(3))), []
-    for _, step in corpus_pipeline.STAGES[:-1]:
-        seen = stage(step(spark, seen, sf))
-        assert seen.columns == docs.columns
-        rows.append({r["doc_id"]: r["text"] for r in seen.collect()})
-    assert set(rows[0]) == {r["doc_id"] for r in docs.collect()}  # only documents without letters go
-    assert seen.count() == len(rows[2]) == len(rows[1]) < len(rows[0])
-    assert set(rows[2]) == set(rows[1]) and not any(re.search(r"@mail\d\.example", t) for t in rows[2].values())
-    packed = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
-    assert {r["doc_id"] for r in packed.collect()} == set(rows[2])
+    near = " ".join(f"word{i}" for i in range(200))
+    odd = [(10**6, None, "en", "s", 0), (10**6 + 1, "123 456", "en", "s", 7), (10**6 + 2, "", None, None, None), (10**6 + 3, "ⴰⴱⴳ" * 20, None, "s", 60),
+           (10**6 + 4, near, "en", "s", len(near)), (10**6 + 5, near + " end", "en", "s", len(near) + 4), (10**6 + 6, "write to hello@there.example or 123-45-6789 " + "and so on " * 6000, None, None, None)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.orderBy("doc_id").limit(3))
+    for name in ("Lang_Pred", "key", "whole", "Entities", "ids", "k", "salt"):
+        rows = rows.withColumn(name, F.lit("own"))
+    rows.write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def seen(spark, folder):
+    """Input of the first stage and the output of each."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = [docs]
+    for _, step in corpus_pipeline.STAGES:
+        out.append(stage(step(spark, out[-1], folder)))
+    for frame in out[1:-1]:
+        assert frame.columns == docs.columns
+        assert frame.where(" and ".join(f"`{c}` = 'own'" for c in docs.columns[5:])).count() == frame.count()
+    return [frame.collect() for frame in out]
+
+
+def _grams(text):
+    b = (" " + re.sub(r"[\x00-@\[-`{-\x7f]", " ", text.lower()) + " ").encode()
+    return [b[i : i + 4] for i in range(len(b) - 3) if b"  " not in b[i : i + 4]]
+
+
+def test_names():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "personal_data", "packing"]
+
+
+def test_language_id(seen):
+    """Texts with a letter and an n-gram of a learned language stay, the others go; rows are what they were."""
+    counts = defaultdict(Counter)
+    for r in seen[0]:
+        if r["lang"] is not None and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts[r["lang"]].update(_grams(r["text"]))
+    rates = {k: {g: n / sum(c.values()) for g, n in c.items() if n / sum(c.values()) >= 2e-5} for k, c in counts.items()}
+    known = set().union(*rates.values())
+    want = [r for r in seen[0] if re.search(r"[^\W\d_]", r["text"] or "") and any(g in known for g in _grams(r["text"]))]
+    assert sorted(map(repr, seen[1])) == sorted(map(repr, want))
+    assert not {10**6, 10**6 + 1, 10**6 + 2, 10**6 + 3} & {r["doc_id"] for r in seen[1]}
+
+
+def test_near_dedup(seen):
+    """The smallest id of every group that links of 0.8 or more join, by comparing all pairs."""
+    sets = []
+    for r in seen[1]:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", r["text"].encode().lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(seen[1]):
+        least[find(i)] = min(least.get(find(i), r), r, key=lambda x: x["doc_id"])
+    assert sorted(map(repr, seen[2])) == sorted(map(repr, least.values()))
+    assert len(seen[2]) < len(seen[1])
+
+
+def test_personal_data(seen):
+    """Every document stays; entities go, equal ones alike and different ones apart; texts without any stay as they are."""
+    before, after = ({r["doc_id"]: r for r in rows} for rows in seen[2:4])
+    assert len(seen[3]) == len(seen[2]) and set(after) == set(before)
+    whole, told = "\0".join(r["text"] for r in after.values()), {}
+    for i, r in before.items():
+        assert after[i]["n_chars"] == len(after[i]["text"])
+        if not SUSPECT.search(r["text"]):
+            assert after[i]["text"] == r["text"]
+        for pattern in (MAIL, ADDRESS, SOCIAL):
+            old, new = re.findall(pattern, r["text"]), re.findall(pattern, after[i]["text"])
+            assert len(old) == len(new)
+            for a, b in zip(old, new):
+                assert a not in whole and told.setdefault(a.lower(), b.lower()) == b.lower()
+    assert told and len(set(told.values())) == len(told)
+
+
+def test_packing(seen):
+    """Ids are the library's for the whole text and the end id; sequences are gapless, of at most 2048 ids."""
+    library = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    pieces, places = defaultdict(list), defaultdict(list)
+    for r in seen[4]:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"]
+        pieces[r["doc_id"]].append((r["start"], ids.tolist(), r["doc_tokens"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == {r["doc_id"] for r in seen[3]}
+    for r in seen[3]:
+        want, got = library.encode(r["text"], add_special_tokens=False).ids + [1], []
+        for start, ids, total in sorted(pieces[r["doc_id"]]):
+            assert start == len(got) and total == len(want)
+            got += ids
+        assert got == want
+    for parts in places.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+
+
+def test_run(spark, folder, seen):
+    """The stages one after another: the same pieces, and every kept document's ids once."""
+    shown = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    row = lambda r: tuple(bytes(r[c]) if c == "ids" else r[c] for c in shown)
+    assert sorted(map(row, corpus_pipeline.run(spark, folder).collect())) == sorted(map(row, seen[4]))
 
 
 def test_language_id_without_any_language(spark, sf):
@@ -33,6 +148,6 @@ def test_language_id_without_any_language(spark, sf):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
-def test_run(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(out.columns)
+def test_empty_tables(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     pieces = stage(encode_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, as_text), records=1200, megabytes=5)
     made = keep or {"ids": F.col("ids")}
-    shown = [F.col("id").alias(id_col), "start", "length", *[c.alias(f"__{k}") for k, c in made.items()], "doc_tokens"]
+    shown = ["id", "start", "length", *[c.alias(f"__{k}") for k, c in made.items()], "doc_tokens"]
     rests = pieces.where(F.col("length") < capacity)
     histogram = {r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}  # fewer than `capacity` rows
     found = patterns(histogram, capacity)
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     first, size = sum(n for _, n in found), F.lit(capacity).cast("long")
     full = pieces.where(F.col("length") == capacity).select(*shown, (F.col("row") + first).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), size.alias("filled"), size.alias("padded"))
     placed = full.union(ranked.mapInArrow(place, out))
-    return placed.select(col(id_col), "start", "length", *[F.col(f"__{k}").alias(k) for k in made], "doc_tokens", *new)
+    return placed.select(F.col("id").alias(id_col), "start", "length", *[F.col(f"__{k}").alias(k) for k in made], "doc_tokens", *new)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
