@@ -151,7 +151,7 @@ def test_packing_of_a_frequent_length_over_several_tasks(spark):
     for _, g in p.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() == g["filled"].iat[0] <= 16
     assert p["sequence_id"].nunique() <= 225
-    other = packing.pack(df.withColumnRenamed("doc_id", "row"), tokenizer_file("word_bpe_49k.json"), capacity=16, share=50)
+    other = packing.pack(df.withColumnRenamed("doc_id", "row"), tokenizer_file("word_bpe_49k.json"), "row", capacity=16, share=50)
     assert other.columns[0] == "row" and other.count() == 900
 
 
