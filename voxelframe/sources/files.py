@@ -45,9 +45,9 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", partition_by: Sequ
 
 
 def write_split_layout(samples: DataFrame, path: str) -> None:
-    """Samples by split and a hash bucket of the series: files stay few when series are many; series_id remains a column."""
+    """Samples by split and a hash bucket of the series: files stay few when series are many, and a large bucket is written by several tasks; series_id remains a column."""
     bucketed = samples.withColumn("series_bucket", F.pmod(F.xxhash64("series_id"), F.lit(256)).cast("int"))
-    bucketed.repartition("split", "series_bucket").write.mode("overwrite").partitionBy("split", "series_bucket").parquet(path)
+    bucketed.hint("rebalance", "split", "series_bucket").write.mode("overwrite").partitionBy("split", "series_bucket").parquet(path)
 
 
 def read_split_layout(spark: SparkSession, path: str) -> DataFrame:
@@ -55,9 +55,9 @@ def read_split_layout(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_patches(patches: DataFrame, path: str, buckets: int = 64) -> None:
-    """Patch rows in folders by a hash bucket of the series."""
+    """Patch rows in folders by a hash bucket of the series; a large bucket is written by several tasks."""
     out = patches.withColumn("series_bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)).cast("int"))
-    out.repartition("series_bucket").write.mode("overwrite").partitionBy("series_bucket").parquet(path)
+    out.hint("rebalance", "series_bucket").write.mode("overwrite").partitionBy("series_bucket").parquet(path)
 
 
 def pending_tasks(tasks: DataFrame, done: DataFrame, keys: Sequence[str], label: str | None = None) -> DataFrame:
