@@ -70,14 +70,17 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n", most: int = 1000, least:
     return {r[0]: -(-r[1] // limit) for r in counts.where(col(n) > limit).select(key, n).collect()}
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: dict, how: str = "inner") -> DataFrame:
-    """Join on `key`; rows of left under a hot key are dealt to its parts, and right's rows are repeated for them."""
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: dict, how: str = "inner", by: Column | None = None) -> DataFrame:
+    """Join on `key`; rows of left under a hot key are dealt to its parts, and right's rows are repeated for them.
+
+    by: what deals the rows, an integer of their values; a table without it (row numbers deal then) must be a written one.
+    """
     if not hot:
         return left.join(right, key, how)
     salt, = unused([*left.columns, *right.columns], "salt")
     parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), col(key)), F.lit(1))
     many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).withColumn(salt, col(salt).cast("long"))
-    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), parts)).join(many, [key, salt], how).drop(salt)
+    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id() if by is None else by, parts).cast("long")).join(many, [key, salt], how).drop(salt)
 
 
 def tokenizer_file(name: str) -> str:

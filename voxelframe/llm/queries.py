@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import byte_bpe, chat, langid, minhash, packing, pii, token_files, topk, url_filter, vectors
+from voxelframe.llm import byte_bpe, chat, collocations, langid, minhash, packing, pii, search, token_files, topk, toxicity, url_filter, vectors
 from voxelframe.llm.common import read_table, shared_dir, tokenizer_file
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -14,9 +14,9 @@ BLOCKED = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills",
 PII_KEY = "voxelframe.pii.key"
 
 
-def held_out() -> Column:
+def held_out(folds: int = 4, fold: int = 2) -> Column:
     """Documents with this remainder are never learned from; a null id counts as the empty string."""
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,21 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(docs, spark.conf.get(PII_KEY, "test key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_windows, op3_token_files, op4_minhash_dedup, op5_embedding_dedup, op6_language_id, op7_top_k, op8_byte_bpe, op9_packing, op10_pii_surrogates)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = read_table(spark, sf_dir, "documents"), held_out(3, 1)
+    model = toxicity.train(docs.where(~out), read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=[F.col("doc_id"), out.alias("held_out")])
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_chat_windows, op3_token_files, op4_minhash_dedup, op5_embedding_dedup, op6_language_id, op7_top_k, op8_byte_bpe, op9_packing, op10_pii_surrogates, op11_ranked_search, op12_toxicity, op13_collocations)}
 
 _SUFFIX = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)
 
@@ -143,4 +157,28 @@ reach AS (SELECT a AS doc_id, a AS other FROM sides UNION SELECT r.doc_id, sides
 c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN c USING (doc_id)""",
+    "op11_ranked_search": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM t),
+m AS (SELECT row, doc_id, 10 + (90 * len(ws) * docs) // terms AS m FROM t, s WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+e AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ws) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM e, s GROUP BY 1),
+r AS (SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN e USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY 1, 2),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r JOIN m USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
+    "op13_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+u AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT u.lang, u.phrase, u.a, u.size, u.k, h.f AS l, t.f AS r, CAST((2000000 * CAST(a AS HUGEINT)) // (h.f + t.f) AS BIGINT) AS score
+  FROM u JOIN f h ON h.lang = u.lang AND h.phrase = array_to_string(ws[1:u.k], ' ') JOIN f t ON t.lang = u.lang AND t.phrase = array_to_string(ws[u.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, size - m + 2)) AS j FROM c JOIN (SELECT unnest([2, 3]) AS m) ON m < size) GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }
