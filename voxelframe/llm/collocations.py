@@ -5,7 +5,8 @@ alike wherever they stand. Chunks overlap by those three words: every phrase of
 lies inside one chunk, and the chunk in which it starts before the overlap is the one that counts
 it. The distinct chunks with their frequencies are the dictionary; phrases are counted inside
 distinct chunks, weighted. Longer phrases are counted only where their shorter parts are frequent,
-which Bloom filters tell; those only skip work, counts are exact.
+which Bloom filters tell; the dictionary is cut to runs of frequent words once the words are
+counted. Filters only skip work, counts are exact.
 """
 
 from __future__ import annotations
@@ -28,32 +29,37 @@ OVERLAP = MOST_WORDS - 1
 SPARSE, FORCED = 12, 256
 #: Line ends and punctuation end a piece, tabs are spaces, A-Z are lower-cased.
 FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-PART = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a filter: about 16 for each frequent phrase, within these powers of two.
 LEAST_BITS, MOST_BITS = 16, 27
 
 
-def _pieces(text: bytes | None) -> Iterator[list[bytes]]:
-    for piece in (text or b"").translate(FOLD).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
-
-
-def _cuts(words: list[bytes], marks: dict[bytes, int]) -> list[int]:
-    """Where chunks of a piece start: at 0, at triggering windows, and FORCED words after the last start."""
-    if len(words) <= MOST_WORDS:
-        return [0]
-    h = np.fromiter((marks[w] for w in words), np.uint64, len(words))
+def _pieces(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts, one after another, and where each piece ends."""
+    words: list[bytes] = []
+    ends = []
+    for text in texts:
+        for piece in (text or b"").translate(FOLD).split(b"\n"):
+            if own := piece.split():
+                words += own
+                ends.append(len(words))
+    return words, np.array(ends, np.int64)
+
+
+def _cuts(words: list[bytes], marks: dict[bytes, int], ends: np.ndarray | None = None) -> list[int]:
+    """Where chunks start: at each piece's start (one piece if no ends are given), at triggering windows, and FORCED words after the last start."""
+    ends = np.array([len(words)]) if ends is None else ends
+    sizes = np.diff(ends, prepend=0)
+    begin, end = (np.repeat(x, sizes)[: max(0, len(words) - 2)] for x in (ends - sizes, ends))
+    h = np.fromiter(map(marks.__getitem__, words), np.uint64, len(words))
     window = (h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)) * MIX >> np.uint64(32)
-    starts, last = [0], len(words) - OVERLAP  # a start inside the last three words would own no phrase of its own
-    for at in [*(np.flatnonzero(window % np.uint64(SPARSE) == 0)).tolist(), last]:
-        while at - starts[-1] > FORCED:
-            starts.append(starts[-1] + FORCED)
-        if starts[-1] < at < last:
-            starts.append(at)
-    return starts
+    at = np.arange(len(window))
+    # a start inside the last three words of a piece would own no phrase of its own
+    triggers = np.flatnonzero((window % np.uint64(SPARSE) == 0) & (at > begin) & (at < end - OVERLAP))
+    starts = np.sort(np.concatenate([ends - sizes, triggers]))
+    stops = np.minimum(np.append(starts[1:], len(words)), ends[np.searchsorted(ends, starts, "right")] - OVERLAP)
+    forced = [x for i in np.flatnonzero(stops - starts > FORCED) for x in range(starts[i] + FORCED, stops[i], FORCED)]
+    return np.sort(np.append(starts, np.array(forced, np.int64))).tolist()
 
 
 class _Marks(dict):
@@ -67,23 +73,20 @@ class _Marks(dict):
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, chunk, own, n): chunks of a batch with their frequencies; the first `own` words are not in the next chunk."""
     marks = _Marks()
-    for b in bounded(batches, 5000, 16):
-        found: Counter = Counter()
+    for b in bounded(batches, 5000, 8):
+        by_lang: dict[str, list] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-            for words in _pieces(text):
-                cuts = _cuts(words, marks)
-                for at, end in zip(cuts, [*cuts[1:], None]):
-                    own = len(words) - at if end is None else end - at
-                    found[lang, b" ".join(words[at:] if end is None else words[at : end + OVERLAP]), own] += 1
-                if len(found) > 500_000:
-                    yield _rows(found)
-                    found.clear()
-        yield _rows(found)
-
-
-def _rows(found: Counter) -> pa.RecordBatch:
-    keys = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "chunk", "own", "n"])
+            by_lang.setdefault(lang, []).append(text)
+        for lang, texts in by_lang.items():
+            words, ends = _pieces(texts)
+            if not words:
+                continue
+            starts, last = _cuts(words, marks, ends), set(ends.tolist())
+            # a line end marks a chunk that another one of its piece follows
+            found = Counter([b" ".join(words[s:e]) if e in last else b" ".join(words[s : e + OVERLAP]) + b"\n" for s, e in zip(starts, [*starts[1:], len(words)])])
+            chunks = list(found)
+            own = [c.count(b" ") + 1 - OVERLAP * c.endswith(b"\n") for c in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([c.rstrip(b"\n") for c in chunks], pa.binary()).cast(pa.string()), pa.array(own, pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "chunk", "own", "n"])
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -125,10 +128,68 @@ def frequent_filter(frequent: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _grouped(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each distinct key, and the sum of its weights."""
+    """A place of each distinct key, and the sum of its weights."""
+    if not len(keys):
+        return keys, weight
+    if keys.max() <= 4 * len(keys):  # dense: no sort
+        place, total = np.full(int(keys.max()) + 1, -1, np.int64), np.zeros(int(keys.max()) + 1, np.int64)
+        place[keys] = np.arange(len(keys))
+        np.add.at(total, keys, weight)
+        there = place >= 0
+        return place[there], total[there]
     order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return order[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0]
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    return order[first], np.add.reduceat(weight[order], first)
+
+
+class _Batch:
+    """Words of a batch of chunks as numbers, one chunk after another."""
+
+    def __init__(self, b: pa.RecordBatch):
+        langs, chunks = b.column(0).dictionary_encode(), b.column(1).cast(pa.binary()).to_pylist()
+        self.langs, self.own, self.n = langs.dictionary, b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()
+        self.words = b" ".join(chunks).split(b" ") if chunks else []
+        self.long = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
+        self.kinds = list(dict.fromkeys(self.words))
+        number = {w: i for i, w in enumerate(self.kinds)}
+        self.word = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
+        self.chunk = np.repeat(np.arange(len(chunks)), self.long)
+        self.place = np.arange(len(self.words)) - (np.cumsum(self.long) - self.long)[self.chunk]
+        self.tongue = langs.indices.to_numpy().astype(np.int64)[self.chunk]
+
+    def frequent(self, at: np.ndarray, size: int, known: tuple[np.ndarray, int]) -> np.ndarray:
+        """Whether the filter may hold the phrase of `size` words at each place."""
+        table, bits = known
+        h, x = _hashes(self.kinds), _hashes([t.encode() for t in self.langs.to_pylist()])[self.tongue[at]]
+        for i in range(size):
+            x = x * MIX + h[self.word[at + i]]
+        out = np.ones(len(at), bool)
+        for p in _positions(x, bits):
+            out &= (table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def segments(chunks: DataFrame, known: tuple[np.ndarray, int]) -> DataFrame:
+    """The dictionary again, cut to its runs of two and more frequent words: no phrase with a rare word is a candidate."""
+    shared = chunks.sparkSession.sparkContext.broadcast(known)  # at most 2 ** MOST_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, 200_000, 8):
+            x = _Batch(b)
+            inside = x.frequent(np.arange(len(x.words)), 1, shared.value)
+            edge = np.flatnonzero(np.concatenate([[True], (x.chunk[1:] != x.chunk[:-1]) | (inside[1:] != inside[:-1])])) if len(inside) else np.zeros(0, np.int64)
+            ends = np.append(edge[1:], len(inside))
+            own = np.minimum(x.place[edge] + ends - edge, x.own[x.chunk[edge]]) - x.place[edge]
+            keep = inside[edge] & (ends - edge > 1) & (own > 0)
+            edge, ends, own = edge[keep], ends[keep], own[keep]
+            found: Counter = Counter()
+            for s, e, o, t, n in zip(edge.tolist(), ends.tolist(), own.tolist(), x.tongue[edge].tolist(), x.n[x.chunk[edge]].tolist()):
+                found[b" ".join(x.words[s:e]), o, t] += n
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([x.langs.take(pa.array([k[2] for k in keys], pa.int64())), pa.array([k[0] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "chunk", "own", "n"])
+
+    cut = chunks.mapInArrow(run, "lang string, chunk string, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
+    return stage(cut, shared_dir(chunks.sparkSession), 200_000, 8)
 
 
 def counts(chunks: DataFrame, size: int, known: tuple[np.ndarray, int] | None = None, least: int = 1) -> DataFrame:
@@ -137,39 +198,20 @@ def counts(chunks: DataFrame, size: int, known: tuple[np.ndarray, int] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 200_000, 8):
-            langs = b.column(0).dictionary_encode()
-            split = [c.split(b" ") for c in b.column(1).cast(pa.binary()).to_pylist()]
-            own, n = b.column(2).to_numpy(), b.column(3).to_numpy()
-            long = np.fromiter(map(len, split), np.int64, len(split))
-            words = [w for c in split for w in c]
-            ids: dict[bytes, int] = {}
-            word = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-            chunk = np.repeat(np.arange(len(split)), long)
-            start = np.cumsum(long) - long
-            place = np.arange(len(words)) - start[chunk]
-            at = np.flatnonzero((place < own[chunk]) & (place + size <= long[chunk]))
-            tongue = langs.indices.to_numpy()[chunk[at]].astype(np.int64)
+            x = _Batch(b)
+            at = np.flatnonzero((x.place < x.own[x.chunk]) & (x.place + size <= x.long[x.chunk]))
             if shared.value is not None:
-                table, bits = shared.value
-                h, tongues = _hashes(list(ids)), _hashes([x.encode() for x in langs.dictionary.to_pylist()])
-                inside = np.ones(len(at), bool)
-                for skip in (0, 1):
-                    x = tongues[tongue]
-                    for i in range(size - 1):
-                        x = x * MIX + h[word[at + skip + i]]
-                    for p in _positions(x, bits):
-                        inside &= (table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-                at, tongue = at[inside], tongue[inside]
-            # exact numbers for the phrases of the batch, a word more each time
-            key = tongue
-            for i in range(size):
-                key = np.unique(key * len(ids) + word[at + i], return_inverse=True)[1] if i < size - 1 else key * len(ids) + word[at + i]
-            first, f = _grouped(key, n[chunk[at]])
-            phrases = [b" ".join(words[i : i + size]) for i in at[first].tolist()]
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(tongue[first])), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"])
+                at = at[x.frequent(at, size - 1, shared.value)]
+                at = at[x.frequent(at + 1, size - 1, shared.value)]
+            key, kinds = x.tongue[at], len(x.kinds)
+            for i in range(size):  # exact numbers for the phrases of the batch, a word more each time
+                key = (np.unique(key, return_inverse=True)[1] if i > 1 else key) * kinds + x.word[at + i]
+            place, f = _grouped(key, x.n[x.chunk[at]])
+            phrases = [b" ".join(x.words[i : i + size]) for i in at[place].tolist()]
+            yield pa.RecordBatch.from_arrays([x.langs.take(pa.array(x.tongue[at][place])), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"])
 
     counted = chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return stage(counted.where(F.col("f") >= least), shared_dir(chunks.sparkSession), 50_000, 8)
+    return stage(counted.where(F.col("f") >= least), shared_dir(chunks.sparkSession), 200_000, 8)
 
 
 def _key(phrase: str | Column) -> Column:
@@ -209,8 +251,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     chunks = dictionary(docs, text, lang)
     totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
     levels = [counts(chunks, 1, least=least)]
+    words = frequent_filter(levels[0])
+    runs = segments(chunks, words)
     for size in range(2, MOST_WORDS + 1):
-        levels.append(counts(chunks, size, frequent_filter(levels[-1]), least))
+        levels.append(counts(runs, size, words if size == 2 else frequent_filter(levels[-1]), least))
     shorter, longer = levels[0], levels[1]
     for x in levels[1:-1]:
         shorter = shorter.unionByName(x)
