@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelframe.operators import bricks as B
+from voxelframe.operators import crops as C
 from voxelframe.operators import evaluate as E
 from voxelframe.operators import intensity as I
 from voxelframe.operators import kernels as K
@@ -128,6 +130,30 @@ def _volumes(s, d):
     return e.select(F.col("vec_id").alias("series_id"), F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.array(F.lit(1.0), F.lit(2.0), F.lit(1.0)).alias("spacing"), F.col("embedding").cast("array<double>").alias("voxels"), F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0)).alias("labels"))
 
 
+def _bricks(volumes, edge, masks=None):
+    b = B.from_volumes(volumes, edge)
+    return b if masks is None else B.with_labels(b, B.from_volumes(volumes.withColumn("voxels", F.col(masks)), edge))
+
+
+def _resampled(s, d):
+    """Bricks of edge 3, so that every cell of 4 x 4 x 4 volumes is cut somewhere."""
+    v = B.to_voxels(B.resample_linear(_bricks(_volumes(s, d), 3), [0.5, 1.5, 1.0], 3), 3, keep=["shape"])
+    pos = (F.col("z") * F.col("shape")[1] + F.col("y")) * F.col("shape")[2] + F.col("x")
+    return v.select("series_id", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), pos.alias("pos"), F.round("value", 5).alias("value"))
+
+
+def _crops(s, d):
+    v = _volumes(s, d)
+    c = C.random_crops(_bricks(v, 3, "labels"), v, [2, 2, 2], 0.5, 0.9, 0.01, seed=3, edge=3)
+    return c.select("series_id", "patch_id", *[F.col("bbox")[2 * i].alias(n) for i, n in enumerate(("z1", "y1", "x1"))], F.array_join(F.col("classes").cast("array<string>"), ",").alias("classes"), F.posexplode(F.arrays_zip("img", "label")).alias("pos", "cell")).select("series_id", "patch_id", "z1", "y1", "x1", "classes", "pos", F.round("cell.img", 6).alias("value"), "cell.label")
+
+
+def _blurred(s, d):
+    """8 x 8 grids in bricks of edge 5."""
+    g = T(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.array(F.lit(1), F.lit(8), F.lit(8)).alias("shape"), F.lit(None).cast("array<double>").alias("spacing"), F.col("embedding").alias("voxels"))
+    return B.to_voxels(B.gaussian_blur(_bricks(g, 5), 3, 1.0, 2.0, edge=5), 5).select(F.col("series_id").alias("vec_id"), "y", "x", F.round("value", 5).alias("value"))
+
+
 def _hu(s, d):
     """pixels with values as HU and label 1 or 2."""
     return pixels(s, d).select("series_id", "y", "x", F.bround(F.col("value") * 600 - 60, 0).cast("int").alias("hu"), (F.col("x") % 3).cast("int").alias("label"))
@@ -185,19 +211,19 @@ QUERIES = {
     "m13_one_hot": lambda s, d: M.one_hot(_grid(s, d), "label", 3, 0).select("series_id", "z", "y", "x", F.array_join(F.col("one_hot").cast("array<string>"), "").alias("one_hot")),
     "m14_resample_geometry": lambda s, d: S.resample_geometry(_geometry(s, d), new_spacing=[2.0, 1.0, 1.5]).select("p_partkey", F.array_join(F.col("new_size").cast("array<string>"), ",").alias("new_size")),
     "m15_resample_labels_nn": lambda s, d: S.resample_labels_nn(pixels(s, d).select("series_id", F.lit(0).alias("z"), "y", "x", (F.col("y") * 8 + F.col("x")).alias("label")), T(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.lit(1).alias("old_d"), F.lit(8).alias("old_h"), F.lit(8).alias("old_w"), F.lit(1).alias("new_d"), F.lit(5).alias("new_h"), F.lit(13).alias("new_w"))),
-    "m16_resample_image_linear": lambda s, d: K.resample_image_linear(_volumes(s, d), [0.5, 1.5, 1.0]).select("series_id", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.posexplode("voxels").alias("pos", "value")).withColumn("value", F.round("value", 5)),
+    "m16_resample_image_linear": _resampled,
     "m17_pad_to_size": lambda s, d: _six(S.pad_to_size(pixels(s, d).select("series_id", F.lit(0).alias("z"), "y", "x", F.col("value").alias("hu")), T(s, d, "embeddings").select(F.col("vec_id").alias("series_id"), F.lit(1).alias("depth"), F.lit(8).alias("height"), F.lit(8).alias("width")), [2, 11, 8], -1.0)[0]),
     "m17_center_crop": lambda s, d: S.center_crop(_grid(s, d), _shapes(s, d), [4, 8, 8])[0].select("series_id", "z", "y", "x", "hu"),
     "m17_cut_edge": lambda s, d: S.cut_edge(_grid(s, d), _shapes(s, d), 2)[0].select("series_id", "z", "y", "x", "hu"),
     "m19_patch_grid": lambda s, d: S.patch_grid(_shapes(s, d), [4, 8, 16], [3, 5, 8]),
-    "m20_random_crops": lambda s, d: K.random_crops(_volumes(s, d), [2, 2, 2], 0.5, 0.9, 0.01, seed=3),
+    "m20_random_crops": _crops,
     "m21_flip": lambda s, d: S.flip(_grid(s, d), _shapes(s, d), "y").select("series_id", "z", "y", "x", "hu"),
     "m21_roll": lambda s, d: S.roll(_grid(s, d), _shapes(s, d), "x", 3, -1.0).select("series_id", "z", "y", "x", "hu"),
     "m21_swap_axes": lambda s, d: S.swap_axes(_grid(s, d), "y", "x").select("series_id", "z", "y", "x", "hu"),
     "m22_erase_voxels": lambda s, d: S.erase_voxels(_grid(s, d), 0.4, -9.0, 5).select("series_id", "z", "y", "x", "hu", "erase_mask"),
     "m22_erase_box": lambda s, d: S.erase_box(_grid(s, d), _shapes(s, d), [3, 6, 6], -9.0, 5).select("series_id", "z", "y", "x", "hu", "erase_mask"),
     "m22_swap_boxes": lambda s, d: S.swap_boxes(_grid(s, d), _shapes(s, d), [3, 6, 6], 5).select("series_id", "z", "y", "x", "hu"),
-    "m23_gaussian_blur": lambda s, d: K.gaussian_blur(T(s, d, "embeddings").select("vec_id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").cast("array<double>").alias("grid")), "vec_id", 3, 1.0, 2.0).select("vec_id", F.round(F.aggregate("grid", F.lit(0.0), lambda a, x: a + x), 5).alias("total")),
+    "m23_gaussian_blur": _blurred,
     "m24_remove_scan_table": lambda s, d: S.remove_scan_table(_grid(s, d), T(s, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("series_id"), F.lit(8.0).alias("cx"), F.lit(7.0).alias("cy"), F.lit(1.0).alias("sx"), F.lit(2.0).alias("sy")), "series_id", 9, -1024.0).select("series_id", "z", "y", "x", "hu"),
     "m28_muscle_fat_split": lambda s, d: K.muscle_fat_split(_hu(s, d)),
     "m29_split_to_slices": lambda s, d: S.split_to_slices(_grid(s, d)).select("series_id", "z", F.array_join(F.transform("image", lambda v: v.cast("int").cast("string")), ",").alias("image"), F.array_join(F.col("label").cast("array<string>"), ",").alias("label")),
@@ -221,7 +247,6 @@ def _in(tag):
 
 
 HU = f"(SELECT series_id, y, x, CAST(round_even(value * 600 - 60, 0) AS INTEGER) AS hu, CAST(x % 3 AS INTEGER) AS label FROM {PIXELS})"
-BLUR = "(WITH k AS (SELECT exp(-0.5::DOUBLE) / (1 + 2 * exp(-0.5::DOUBLE)) AS a, 1 / (1 + 2 * exp(-0.5::DOUBLE)) AS b) SELECT i, CASE WHEN i IN (0, 7) THEN a + b WHEN i IN (1, 6) THEN 3 * a + b ELSE 1 END AS w FROM k, range(0, 8) r(i))"
 ORACLE = {
     "a15_segmentation_areas": f"SELECT series_id, class, count(*) FILTER (gt = class AND pred = class) AS intersect, count(*) FILTER (gt = class OR pred = class) AS union, count(*) FILTER (pred = class) AS pred_area, count(*) FILTER (gt = class) AS label_area FROM {SEG}, (SELECT unnest([0, 1, 2]) AS class) GROUP BY ALL",
     "a16_segmentation_metrics": f"SELECT class, {RATIOS} FROM {AREAS}",
@@ -300,7 +325,15 @@ q AS (SELECT p.series_id, y, x, greatest(0, least((value - lo) / w - 0.5::DOUBLE
 SELECT q.series_id, y, x, round(l.c + (h.c - l.c) * (place - floor(place)), 6) AS value FROM q JOIN c l ON l.series_id = q.series_id AND l.b = floor(place) JOIN c h ON h.series_id = q.series_id AND h.b = least(floor(place) + 1, 15)""",
     "m22_erase_box": f"WITH b AS (SELECT series_id, {_starts('')} FROM {SHAPES}), v AS (SELECT g.*, {_in('b')} AS erase_mask FROM {GRID} g JOIN b USING (series_id)) SELECT {V4}, CASE WHEN erase_mask THEN -9.0 ELSE hu END AS hu, erase_mask FROM v",
     "m22_swap_boxes": f"WITH b AS (SELECT series_id, {_starts('a')}, {_starts('b')} FROM {SHAPES}), v AS (SELECT g.*, b.* EXCLUDE series_id, abs(saz - sbz) >= 3 OR abs(say - sby) >= 6 OR abs(sax - sbx) >= 6 AS apart, {_in('a')} AS in_a, {_in('b')} AS in_b FROM {GRID} g JOIN b USING (series_id)) SELECT series_id, " + ", ".join(f"CASE WHEN apart AND in_a THEN {a} - sa{a} + sb{a} WHEN apart AND in_b THEN {a} - sb{a} + sa{a} ELSE {a} END AS {a}" for a in "zyx") + ", hu FROM v",
-    "m23_gaussian_blur": f"SELECT vec_id, round(2.0 * sum(embedding[CAST(r.i * 8 + c.i + 1 AS INTEGER)]::DOUBLE * r.w * c.w), 5) AS total FROM embeddings, {BLUR} r, {BLUR} c GROUP BY 1",
+    "m23_gaussian_blur": f"""WITH k AS (SELECT unnest([-1, 0, 1]) AS d, unnest([a, b, a]) AS w FROM (SELECT exp(-0.5::DOUBLE) / (1 + 2 * exp(-0.5::DOUBLE)) AS a, 1 / (1 + 2 * exp(-0.5::DOUBLE)) AS b)),
+m AS (SELECT i, CASE WHEN i + d = 8 THEN 6 ELSE abs(i + d) END AS src, sum(w) AS w FROM k, range(0, 8) r(i) GROUP BY ALL)
+SELECT vec_id, CAST(r.i AS INTEGER) AS y, CAST(c.i AS INTEGER) AS x, round(2.0 * sum(embedding[CAST(r.src * 8 + c.src + 1 AS INTEGER)]::DOUBLE * r.w * c.w), 5) AS value FROM embeddings, m r, m c GROUP BY ALL""",
+    "m20_random_crops": f"""WITH v AS (SELECT vec_id AS series_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+d AS (SELECT series_id, e, i AS patch_id, t, {", ".join(f"CAST(floor(('0x' || substr(md5(series_id || '|' || i || '|' || t || '|{a}|3'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 3) AS INTEGER) AS {n}" for a, n in enumerate(("z1", "y1", "x1")))} FROM v, range(0, 4) p(i), range(0, 32) r(t)),
+c AS (SELECT *, list_transform(range(0, 8), lambda q: e[(z1 + q // 4) * 16 + (y1 + q // 2 % 2) * 4 + x1 + q % 2 + 1]) AS cell FROM d),
+g AS (SELECT *, list_stddev_pop(cell) >= 0.01::DOUBLE AND len(list_filter(cell, lambda x: x > 0)) BETWEEN 1 AND 7 AS good FROM c),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY series_id, patch_id ORDER BY good DESC, CASE WHEN good THEN t ELSE -t END) = 1)
+SELECT series_id, CAST(patch_id AS INTEGER) AS patch_id, z1, y1, x1, array_to_string(list_sort(list_distinct(list_transform(cell, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END))), ',') AS classes, CAST(pos AS INTEGER) AS pos, round(cell[pos + 1], 6) AS value, CASE WHEN cell[pos + 1] > 0 THEN 1 ELSE 0 END AS label FROM b, range(0, 8) r(pos)""",
     "m28_muscle_fat_split": f"""WITH h AS (SELECT series_id, label, hu::DOUBLE AS v, count(*)::DOUBLE AS n FROM {HU} WHERE label IN (1, 2) GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER w AS cn, sum(v * n) OVER w AS cs, sum(v * v * n) OVER w AS cq, sum(n) OVER p AS tn, sum(v * n) OVER p AS ts, sum(v * v * n) OVER p AS tq FROM h WINDOW w AS (PARTITION BY series_id, label ORDER BY v), p AS (PARTITION BY series_id, label)),
 k AS (SELECT series_id, label, arg_min(v, (cq - cs * cs / cn + tq - cq - (ts - cs) * (ts - cs) / (tn - cn), v)) AS cut FROM c WHERE cn < tn GROUP BY ALL)

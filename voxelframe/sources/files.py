@@ -8,20 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelframe.sources.listing import list_files as list_files
 
-def list_files(spark: SparkSession, root: str, suffixes: Sequence[str], recursive: bool = True) -> DataFrame:
-    """path, length, mtime, name, parent of files below root with one of the suffixes (any case); contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length", F.col("modificationTime").alias("mtime"))
-    name = F.element_at(F.split("path", "/"), -1)
-    wanted = F.lit(False)
-    for s in suffixes:
-        wanted = wanted | F.lower(name).endswith(s.lower())
-    return files.where(wanted).select("path", "length", "mtime", name.alias("name"), F.element_at(F.split("path", "/"), -2).alias("parent"))
 
+def read_metadata_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Chosen columns of a CSV with a header and a declared schema; malformed rows fail.
 
-def read_metadata_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Chosen columns of a CSV with a header and a declared schema; malformed rows fail."""
-    df = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", multiLine=True, escape='"')
+    Large files are split over tasks. multi_line: quoted fields may hold line ends; a file is one
+    task then. Without it a quoted line end is a malformed row.
+    """
+    df = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", multiLine=multi_line, escape='"')
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
