@@ -8,28 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions.columns import md5_order
+from voxelframe.functions.workers import written
+from voxelframe.operators.selection import counted, group_stats
 
 QUANTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
 def _values(voxels: DataFrame, value: str) -> DataFrame:
-    """Voxels with a value `v`. A group's percentiles count its distinct values in each task, so a hot group is small when it is shuffled, once."""
+    """Voxels with a value `v`."""
     return voxels.where(F.col(value).isNotNull()).withColumn("v", F.col(value).cast("double"))
 
 
-def _percentiles(named: dict[str, float]) -> Column:
-    return F.percentile("v", list(named.values()))
-
-
-def _moments() -> list[Column]:
-    """n, mean and squared deviations are merged, so large means do not cancel."""
-    return [F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")]
-
-
 def series_stats(voxels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per series: min, max, mean, std (population), percentiles with linear interpolation, sum, n, sum_sq. Nulls do not count."""
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sum_sq")]
-    out = _values(voxels, value).groupBy(*keys).agg(*_moments(), *sums, _percentiles(QUANTILES).alias("q"))
+    """Per series: min, max, mean, std (population), percentiles with linear interpolation, sum, n, sum_sq. Nulls do not count.
+
+    Values are counted and the counts written; a series of any number of distinct values spreads over tasks (selection.py).
+    """
+    out = group_stats(written(counted(_values(voxels, value), keys), "counts"), keys, QUANTILES)
     return out.select(*keys, "min", "max", "mean", "std", *[F.col("q")[i].alias(k) for i, k in enumerate(QUANTILES)], "sum", "n", "sum_sq")
 
 
@@ -44,8 +39,8 @@ def global_stats(stats: DataFrame) -> DataFrame:
 def class_stats(voxels: DataFrame, series: str, label: str, value: str, whole: str = "whole") -> DataFrame:
     """Per series and present class, and for the whole series: mean, std, min, max, count, p5, p95, and the class's rank by mean."""
     labelled = _values(voxels.where(F.col(label).isNotNull()), value).select(series, F.col(label).cast("string").alias("class"), "v")
-    made = [*_moments(), F.count(F.lit(1)).alias("count"), _percentiles({"lower": 0.05, "upper": 0.95}).alias("q")]
-    out = labelled.groupBy(series, "class").agg(*made).unionByName(labelled.groupBy(series).agg(*made).withColumn("class", F.lit(whole)))
+    counts = written(counted(labelled, [series, "class"]), "counts")
+    out = group_stats(written(counts.unionByName(counts.groupBy(series, "v").agg(F.sum("n").alias("n")).withColumn("class", F.lit(whole))), "counts"), [series, "class"], [0.05, 0.95]).withColumnRenamed("n", "count")
     rank = F.when(F.col("class") != whole, F.row_number().over(Window.partitionBy(series, F.col("class") == whole).orderBy("mean", "class")))
     return out.select(series, "class", "mean", "std", "min", "max", "count", F.col("q")[0].alias("lower_bound"), F.col("q")[1].alias("upper_bound"), rank.alias("mean_rank"))
 
