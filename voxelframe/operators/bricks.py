@@ -8,6 +8,7 @@ each brick sends to every target brick the part that this one reads, and nothing
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,6 +23,7 @@ EDGE = 64
 AXES = ("z", "y", "x")
 PLACE = ("bz", "by", "bx")
 KEYS = ("series_id", *PLACE)
+ORIGIN, SIZE = ("oz", "oy", "ox"), ("nz", "ny", "nx")
 #: For each target brick of an axis: its first target, one past its last, and the range of sources that it reads.
 Reads = list[tuple[int, int, int, int]]
 
@@ -52,14 +54,21 @@ def from_volumes(volumes: DataFrame, edge: int = EDGE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                shape, spacing, voxels = (_column(b, n)[i] for n in ("shape", "spacing", "voxels"))
-                if not (shape.is_valid and voxels.is_valid) or int(np.prod(shape.as_py())) != len(voxels.values):
+            shapes, spacings, rows, values = _column(b, "shape").to_pylist(), _column(b, "spacing").to_pylist(), [], 0
+            for i, (shape, spacing) in enumerate(zip(shapes, spacings)):
+                voxels = _cell(b, "voxels", i)
+                if shape is None or voxels is None or int(np.prod(shape)) != len(voxels):
                     continue
-                cube = voxels.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(shape.as_py())
+                cube = voxels.astype(np.float64).reshape(shape)
                 for place in np.ndindex(*(-(-n // edge) for n in cube.shape)):
                     part = cube[tuple(slice(p * edge, (p + 1) * edge) for p in place)]
-                    yield _rows(_column(b, "series_id").slice(i, 1), [(0, shape.as_py(), spacing.as_py() or [], *place, part.ravel())])
+                    rows.append((i, shape, spacing or [], *place, part.ravel()))
+                    values += part.size
+                    if values > 1 << 20:
+                        yield _rows(_column(b, "series_id"), rows)
+                        rows, values = [], 0
+            if rows:
+                yield _rows(_column(b, "series_id"), rows)
 
     return volumes.select("series_id", F.col("shape").cast("array<int>"), F.col("spacing").cast("array<double>"), F.col("voxels").cast("array<double>")).mapInArrow(run, _schema(volumes))
 
@@ -102,6 +111,47 @@ def to_voxels(bricks: DataFrame, edge: int = EDGE, value: str = "value", keep: S
     return pos.select("series_id", *keep, *[(F.col(p) * edge + x).cast("int").alias(a) for p, x, a in zip(PLACE, at, AXES)], value)
 
 
+class _Parts:
+    """Rows to send: columns of the row that each came from, arrays, and integers; gathered up to a few million values a batch."""
+
+    def __init__(self, b: pa.RecordBatch, keep: Sequence[str], names: Sequence[str]):
+        self.b, self.keep, self.names, self.rows = b, keep, names, []
+        self.values = 0
+
+    def add(self, i: int, arrays: list, numbers: list) -> None:
+        self.rows.append((i, arrays, numbers))
+        self.values += sum(x.size for x in arrays if x is not None)
+
+    def full(self) -> bool:
+        return self.values > 1 << 20 or len(self.rows) >= 5000
+
+    def batch(self, numbers: Sequence[str]) -> pa.RecordBatch:
+        at = pa.array([i for i, _, _ in self.rows])
+        out = [_column(self.b, n).take(at) for n in self.keep]
+        for k in range(len(self.names)):
+            cells = [x[k] for _, x, _ in self.rows]
+            flat = [x.ravel() for x in cells if x is not None] or [np.zeros(0)]
+            ends = np.cumsum([0, *(0 if x is None else x.size for x in cells)])
+            gone = np.array([x is None for x in cells])
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=pa.array(gone)))
+        out += [pa.array(x, pa.int32()) for x in zip(*(n for _, _, n in self.rows))]
+        self.rows, self.values = [], 0
+        return pa.RecordBatch.from_arrays(out, [*self.keep, *self.names, *numbers])
+
+
+def _cell(b: pa.RecordBatch, name: str, i: int) -> np.ndarray | None:
+    cell = _column(b, name)[i]
+    return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else None
+
+
+def parts_of(t: pa.Table, name: str) -> Iterator[tuple[np.ndarray | None, list[int], list[int]]]:
+    """(values, origin, size) of the parts that a group received."""
+    places = list(zip(*(t[c].to_pylist() for c in (*ORIGIN, *SIZE))))
+    cells = (x for chunk in t[name].chunks for x in chunk)
+    for cell, p in zip(cells, places):
+        yield cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else None, p[:3], p[3:]
+
+
 def exchange(bricks: DataFrame, edge: int, reads: Callable[[Sequence[int], Sequence[float]], list[Reads]], kernel: Callable, fill: float = 0.0) -> DataFrame:
     """Target bricks, each made from the parts of the source bricks that it reads.
 
@@ -111,40 +161,37 @@ def exchange(bricks: DataFrame, edge: int, reads: Callable[[Sequence[int], Seque
     brick are `fill`. A shuffled row is a part of a brick, a group is what one target brick reads.
     """
     share_package(bricks.sparkSession)
-    part = "part array<double>, oz int, oy int, ox int, nz int, ny int, nx int"
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            for i in range(b.num_rows):
-                shape, spacing = _column(b, "shape")[i].as_py(), _column(b, "spacing")[i].as_py()
-                place = [_column(b, p)[i].as_py() for p in PLACE]
+            out = _Parts(b, ("series_id", "shape", "spacing"), ("part",))
+            shapes, spacings, places = _column(b, "shape").to_pylist(), _column(b, "spacing").to_pylist(), list(zip(*(_column(b, p).to_pylist() for p in PLACE)))
+            for i, (shape, spacing, place) in enumerate(zip(shapes, spacings, places)):
                 size = [min(edge, n - p * edge) for n, p in zip(shape, place)]
-                cube = _column(b, "voxels")[i].values.to_numpy(zero_copy_only=False).reshape(size)
+                cube = _cell(b, "voxels", i).reshape(size)
                 if (key := (*shape, *spacing)) not in known:
                     known = {key: reads(shape, spacing)}  # rows of a series come together
-                served = [[(k, lo, hi) for k, (_, _, lo, hi) in enumerate(axis) if lo < p * edge + s and hi > p * edge] for axis, p, s in zip(known[key], place, size)]
-                for tz in served[0]:
-                    for ty in served[1]:
-                        for tx in served[2]:
-                            cut = [(max(lo, p * edge), min(hi, p * edge + s)) for (_, lo, hi), p, s in zip((tz, ty, tx), place, size)]
-                            out = cube[tuple(slice(a - p * edge, z - p * edge) for (a, z), p in zip(cut, place))]
-                            arrays = [_column(b, n).slice(i, 1) for n in ("series_id", "shape", "spacing")] + [pa.array([t[0]], pa.int32()) for t in (tz, ty, tx)]
-                            arrays += [pa.ListArray.from_arrays(pa.array([0, out.size], pa.int32()), pa.array(out.ravel()))] + [pa.array([a], pa.int32()) for a, _ in cut] + [pa.array([z - a], pa.int32()) for a, z in cut]
-                            yield pa.RecordBatch.from_arrays(arrays, ["series_id", "shape", "spacing", *PLACE, "part", "oz", "oy", "ox", "nz", "ny", "nx"])
+                served = [[(k, max(lo, p * edge), min(hi, p * edge + s)) for k, (_, _, lo, hi) in enumerate(axis) if lo < p * edge + s and hi > p * edge] for axis, p, s in zip(known[key], place, size)]
+                for to in itertools.product(*served):
+                    lo, hi = [x[1] for x in to], [x[2] for x in to]
+                    cut = cube[tuple(slice(a - p * edge, z - p * edge) for a, z, p in zip(lo, hi, place))]
+                    out.add(i, [cut], [*(x[0] for x in to), *lo, *cut.shape])
+                    if out.full():
+                        yield out.batch((*PLACE, *ORIGIN, *SIZE))
+            if out.rows:
+                yield out.batch((*PLACE, *ORIGIN, *SIZE))
 
     def make(t: pa.Table) -> pa.Table:
         shape, spacing, place = t["shape"][0].as_py(), t["spacing"][0].as_py(), [t[p][0].as_py() for p in PLACE]
         ranges = [axis[p] for axis, p in zip(reads(shape, spacing), place)]
         at = [lo for _, _, lo, _ in ranges]
         block = np.full([hi - lo for _, _, lo, hi in ranges], float(fill))
-        for i in range(t.num_rows):
-            o, n = [t[c][i].as_py() - a for c, a in zip(("oz", "oy", "ox"), at)], [t[c][i].as_py() for c in ("nz", "ny", "nx")]
-            block[tuple(slice(a, a + s) for a, s in zip(o, n))] = t["part"][i].values.to_numpy(zero_copy_only=False).reshape(n)
+        for part, o, n in parts_of(t, "part"):
+            block[tuple(slice(x - a, x - a + s) for x, a, s in zip(o, at, n))] = part.reshape(n)
         voxels, new, step = kernel(block, at, [r[:2] for r in ranges], shape, spacing)
         return pa.Table.from_batches([_rows(t["series_id"].combine_chunks().slice(0, 1), [(0, new, step, *place, voxels.ravel())])])
 
-    parts = bricks.select(*[f for f in ("series_id", "shape", "spacing", *PLACE, "voxels")]).mapInArrow(send, f"series_id {_kind(bricks)}, shape array<int>, spacing array<double>, bz int, by int, bx int, {part}")
+    parts = bricks.select(*[f for f in ("series_id", "shape", "spacing", *PLACE, "voxels")]).mapInArrow(send, f"series_id {_kind(bricks)}, shape array<int>, spacing array<double>, part array<double>, {", ".join(f"{x} int" for x in (*PLACE, *ORIGIN, *SIZE))}")
     return parts.groupBy(*KEYS).applyInArrow(make, _schema(bricks))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.workers import share_package, written
-from voxelframe.operators.bricks import EDGE, KEYS, PLACE, _column, _kind
+from voxelframe.operators.bricks import EDGE, KEYS, ORIGIN, PLACE, SIZE, _cell, _column, _kind, _Parts, parts_of
 
 STARTS, ENDS = ("z1", "y1", "x1"), ("z2", "y2", "x2")
 
@@ -65,23 +65,35 @@ def box_sums(bricks: DataFrame, boxes: DataFrame, crop: Sequence[int], edge: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                place, shape = np.array([_column(b, p)[i].as_py() for p in PLACE]), np.array(_column(b, "shape")[i].as_py())
-                own = np.minimum(edge, shape - place * edge)
+            shapes, places, centers = _column(b, "shape").to_pylist(), list(zip(*(_column(b, p).to_pylist() for p in PLACE))), _column(b, "center").to_pylist()
+            out: list[tuple] = []
+
+            def batch() -> pa.RecordBatch:
+                lines, patch, t, cls, n, s, q = zip(*out)
+                series = _column(b, "series_id").take(pa.array(np.repeat([i for i, _ in lines], [k for _, k in lines])))
+                kinds = pa.array(np.repeat([c or 0 for c in cls], [k for _, k in lines]), pa.int32(), mask=np.repeat([c is None for c in cls], [k for _, k in lines]))
+                return pa.RecordBatch.from_arrays([series, pa.array(np.concatenate(patch), pa.int32()), pa.array(np.concatenate(t), pa.int32()), kinds, pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(s)), pa.array(np.concatenate(q))], ["series_id", "patch_id", "t", "cls", "n", "s", "q"])
+
+            for i, (shape, place, center) in enumerate(zip(shapes, places, centers)):
+                place = np.array(place)
+                own = np.minimum(edge, np.array(shape) - place * edge)
                 box = _column(b, "box")[i].values
+                patch, t = box.field("patch_id").to_numpy(), box.field("t").to_numpy()
                 starts = np.stack([box.field(n).to_numpy() for n in STARTS], 1) - place * edge
                 lo, hi = np.clip(starts, 0, own), np.clip(starts + size, 0, own)
-                cube = _column(b, "voxels")[i].values.to_numpy(zero_copy_only=False).reshape(own) - _column(b, "center")[i].as_py()
-                rows = [(None, (hi - lo).prod(1), _boxes(_summed(cube), lo, hi), _boxes(_summed(cube * cube), lo, hi))]
-                labels = _column(b, "labels")[i]
-                if labels.is_valid:
-                    mask = labels.values.to_numpy(zero_copy_only=False).reshape(own)
-                    rows += [(int(c), _boxes(_summed((mask == c).astype(np.int64)), lo, hi), None, None) for c in np.unique(mask)]
-                for cls, n, s, q in rows:
-                    seen = np.flatnonzero(n > 0)
-                    series = _column(b, "series_id").take(pa.array(np.full(len(seen), i)))
-                    null = pa.nulls(len(seen), pa.float64())
-                    yield pa.RecordBatch.from_arrays([series, box.field("patch_id").take(pa.array(seen)), box.field("t").take(pa.array(seen)), pa.array([cls] * len(seen), pa.int32()), pa.array(n[seen].astype(np.int64)), null if s is None else pa.array(s[seen]), null if q is None else pa.array(q[seen])], ["series_id", "patch_id", "t", "cls", "n", "s", "q"])
+                cube, mask = _cell(b, "voxels", i).reshape(own) - center, _cell(b, "labels", i)
+                out.append(((i, len(t)), patch, t, None, (hi - lo).prod(1), _boxes(_summed(cube), lo, hi), _boxes(_summed(cube * cube), lo, hi)))
+                if mask is not None:
+                    mask = mask.reshape(own)
+                    for c in np.unique(mask):
+                        n = _boxes(_summed((mask == c).astype(np.int64)), lo, hi)
+                        seen = n > 0
+                        out.append(((i, int(seen.sum())), patch[seen], t[seen], int(c), n[seen], np.zeros(seen.sum()), np.zeros(seen.sum())))
+                if len(out) >= 1000:
+                    yield batch()
+                    out = []
+            if out:
+                yield batch()
 
     return both.mapInArrow(run, f"series_id {_kind(bricks)}, patch_id int, t int, cls int, n long, s double, q double")
 
@@ -120,32 +132,32 @@ def cut(bricks: DataFrame, boxes: DataFrame, crop: Sequence[int], edge: int = ED
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                place, shape = np.array([_column(b, p)[i].as_py() for p in PLACE]), np.array(_column(b, "shape")[i].as_py())
-                own, start = np.minimum(edge, shape - place * edge), np.array([_column(b, n)[i].as_py() for n in STARTS]) - place * edge
+            out = _Parts(b, ("series_id", "patch_id", *STARTS, "classes"), ("img", "label"))
+            columns = [_column(b, n).to_pylist() for n in ("shape", *PLACE, *STARTS)]
+            for i, (shape, *at) in enumerate(zip(*columns)):
+                place = np.array(at[:3])
+                own, start = np.minimum(edge, np.array(shape) - place * edge), np.array(at[3:]) - place * edge
                 lo, hi = np.clip(start, 0, own), np.clip(start + size, 0, own)
                 inside = tuple(slice(a, z) for a, z in zip(lo, hi))
-                out = [_column(b, n).slice(i, 1) for n in ("series_id", "patch_id", *STARTS, "classes")]
-                for name, kind in (("voxels", pa.float64()), ("labels", pa.int32())):
-                    cell = _column(b, name)[i]
-                    part = cell.values.to_numpy(zero_copy_only=False).reshape(own)[inside].ravel() if cell.is_valid else None
-                    out.append(pa.nulls(1, pa.list_(kind)) if part is None else pa.ListArray.from_arrays(pa.array([0, part.size], pa.int32()), pa.array(part, kind)))
-                out += [pa.array([x], pa.int32()) for x in (*(lo - start), *(hi - lo))]
-                yield pa.RecordBatch.from_arrays(out, ["series_id", "patch_id", *STARTS, "classes", "img", "label", "oz", "oy", "ox", "nz", "ny", "nx"])
+                cells = [_cell(b, n, i) for n in ("voxels", "labels")]
+                out.add(i, [None if x is None else x.reshape(own)[inside] for x in cells], [*(lo - start).tolist(), *(hi - lo).tolist()])
+                if out.full():
+                    yield out.batch((*ORIGIN, *SIZE))
+            if out.rows:
+                yield out.batch((*ORIGIN, *SIZE))
 
     def join(t: pa.Table) -> pa.Table:
-        img, label = np.zeros(size), np.zeros(size, np.int32)
-        for i in range(t.num_rows):
-            n = [t[c][i].as_py() for c in ("nz", "ny", "nx")]
-            to = tuple(slice(o, o + k) for o, k in zip((t[c][i].as_py() for c in ("oz", "oy", "ox")), n))
-            img[to] = t["img"][i].values.to_numpy(zero_copy_only=False).reshape(n)
-            if t["label"][i].is_valid:
-                label[to] = t["label"][i].values.to_numpy(zero_copy_only=False).reshape(n)
+        made = {}
+        for name, kind in (("img", np.float64), ("label", np.int32)):
+            made[name] = np.zeros(size, kind)
+            for part, o, n in parts_of(t, name):
+                if part is not None:
+                    made[name][tuple(slice(x, x + k) for x, k in zip(o, n))] = part.reshape(n)
         bbox = [x for s, k in zip((t[c][0].as_py() for c in STARTS), crop) for x in (s, s + k)]
-        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x, kind))
-        return pa.table({"series_id": t["series_id"].slice(0, 1), "patch_id": t["patch_id"].slice(0, 1), "bbox": pa.array([bbox], pa.list_(pa.int32())), "img": lists(img.ravel(), pa.float64()),
-                         "label": lists(label.ravel(), pa.int32()) if t["label"][0].is_valid else pa.nulls(1, pa.list_(pa.int32())), "classes": t["classes"].slice(0, 1)})
+        lists = lambda x: pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel()))
+        return pa.table({"series_id": t["series_id"].slice(0, 1), "patch_id": t["patch_id"].slice(0, 1), "bbox": pa.array([bbox], pa.list_(pa.int32())), "img": lists(made["img"]),
+                         "label": lists(made["label"]) if t["label"][0].is_valid else pa.nulls(1, pa.list_(pa.int32())), "classes": t["classes"].slice(0, 1)})
 
     kind = _kind(bricks)
-    parts = both.mapInArrow(send, f"series_id {kind}, patch_id int, z1 int, y1 int, x1 int, classes array<int>, img array<double>, label array<int>, oz int, oy int, ox int, nz int, ny int, nx int")
+    parts = both.mapInArrow(send, f"series_id {kind}, patch_id int, z1 int, y1 int, x1 int, classes array<int>, img array<double>, label array<int>, " + ", ".join(f"{x} int" for x in (*ORIGIN, *SIZE)))
     return parts.groupBy("series_id", "patch_id").applyInArrow(join, f"series_id {kind}, patch_id int, bbox array<int>, img array<double>, label array<int>, classes array<int>")
