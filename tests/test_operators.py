@@ -226,3 +226,43 @@ def test_validation(spark):
     assert {(r["k"], r["kept"], r["reason"]) for r in V.min_volume_size(v, "shape", [16, 16, 16], 1).collect()} == {("a", True, None), ("b", False, "short axes 1")}
     runs = spark.createDataFrame([(1, 1, "m", "ct", "a", "f"), (1, 1, "m", "ct", "b", "g"), (2, 1, "m", "ct", "a", "h")], "exp int, round int, model string, modality string, dataset string, file string")
     assert {(r["exp"], r["violation"]) for r in V.round_consistency(runs).collect()} == {(1, "several data sets"), (2, None)}
+
+
+def test_nearest_slice_without_index_or_place(spark):
+    t = spark.createDataFrame([("a", 5.0), ("a", None), ("b", 1.0)], "k string, t double")
+    s = spark.createDataFrame([("a", 5.0, None), ("a", 9.0, 3), ("a", None, 4), ("b", 1.0, None)], "k string, y double, idx long")
+    assert sorted(map(tuple, S.nearest_slice(t, s, ["k"], "t", "y", "idx").collect()), key=str) == [("a", 5.0, 3), ("a", None, None), ("b", 1.0, None)]
+
+
+def test_sizes_of_geometry_and_image_agree(spark):
+    v = spark.createDataFrame([("a", [1, 2, 3], [1.0, 1.0, 1.0], [float(i) for i in range(6)])], "series_id string, shape array<int>, spacing array<double>, voxels array<double>")
+    size = S.resample_geometry(v, new_spacing=[2.0, 2.0, 2.0]).first()["new_size"]
+    assert size == [1, 1, 1] == K.resample_image_linear(v, [2.0, 2.0, 2.0]).first()["shape"]
+    g = spark.createDataFrame([("a", 1, 2, 3, *size)], "series_id string, old_d int, old_h int, old_w int, new_d int, new_h int, new_w int")
+    assert S.resample_labels_nn(spark.createDataFrame([("a", 0, 0, 0, 7)], "series_id string, z int, y int, x int, label int"), g).count() == 1
+
+
+def test_ingestion_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    from voxelframe.streaming import incremental as I
+
+    source, out, done = str(tmp_path / "in"), str(tmp_path / "out"), spark.createDataFrame([("gone",)], "sop string")
+    schema = "sop string, ts timestamp"
+
+    def arrive(*ids):
+        spark.createDataFrame([(i,) for i in ids], "sop string").withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(source)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        I.streaming_ingest_slices(stream, lambda: done, "sop", "ts", "1 day", out, str(tmp_path / checkpoint)).awaitTermination()
+        return sorted(r["sop"] for r in spark.read.parquet(out).collect())
+
+    arrive("a", "b", "gone")
+    arrive("b", "c")
+    assert run("one") == ["a", "b", "c"]
+    arrive("d", "a")
+    assert run("one") == ["a", "b", "c", "d"]
+    arrive("e", "b")
+    assert run("two") == ["a", "b", "c", "d", "e"]  # all of the input again, under another query
+    arrive("f", "e")
+    assert run("one") == ["a", "b", "c", "d", "e", "f"]
+    assert len({f.split("run=")[1].split("/")[0] for f in I.written_before(spark, out, "none")}) == 2

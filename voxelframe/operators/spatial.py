@@ -48,15 +48,17 @@ def nearest_slice(targets: DataFrame, slices: DataFrame, by: Sequence[str], targ
     """(by, target, slice_idx): the nearest slice of the same group, whatever its distance (ties: lower index).
 
     Both sides are merged in z order and each target looks at the last slice before and the first after it.
+    Slices without an index or a place cannot be found and do not count; targets without a place or
+    without a slice in their group have a null index.
     """
-    t = targets.select(*by, F.col(target).cast("double").alias("__z"), F.lit(None).cast("long").alias("__i")).distinct()
-    s = slices.groupBy(*by, F.col(z).cast("double").alias("__z")).agg(F.min(idx).cast("long").alias("__i"))
+    t = targets.select(*by, F.col(target).cast("double").alias("__z"), F.lit(None).cast("long").alias("__i"), F.lit(True).alias("__t")).distinct()
+    s = slices.where(F.col(idx).isNotNull() & F.col(z).isNotNull()).groupBy(*by, F.col(z).cast("double").alias("__z")).agg(F.min(idx).cast("long").alias("__i")).withColumn("__t", F.lit(False))
     w = Window.partitionBy(*by).orderBy("__z")
     p = F.when(F.col("__i").isNotNull(), F.struct("__z", "__i"))
     both = t.unionByName(s).withColumn("lo", F.last(p, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(p, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
     d = lambda c: F.abs(F.col(c)["__z"] - F.col("__z"))
     one = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(d(c).alias("d"), F.col(c)["__i"].alias("i"))) for c in ("lo", "hi")])))
-    return both.where("__i is null").select(*by, F.col("__z").alias(target), one["i"].alias("slice_idx"))
+    return both.where("__t").select(*by, F.col("__z").alias(target), F.when(F.col("__z").isNotNull(), one["i"]).alias("slice_idx"))
 
 
 def align_image_label(image_voxels: DataFrame, label_voxels: DataFrame, value: str = "hu", label: str = "label") -> DataFrame:
@@ -75,11 +77,11 @@ def difference_summary(diff: DataFrame) -> DataFrame:
 
 
 def resample_geometry(volumes: DataFrame, shape: str = "shape", spacing: str = "spacing", new_spacing: Sequence[float] | None = None, new_size: Sequence[int] | None = None) -> DataFrame:
-    """new_size and new_spacing: by spacing int(size spacing / new) - 1; by size spacing size / new_size."""
+    """new_size and new_spacing: by spacing int(size spacing / new) - 1, at least 1, as the resampled image has; by size spacing size / new_size."""
     s, p = F.col(shape), F.col(spacing)
     if new_spacing is not None:
         target = F.array(*[F.lit(float(x)) for x in new_spacing])
-        size = F.transform(F.arrays_zip(s.alias("s"), p.alias("p"), target.alias("t")), lambda z: F.floor(z["s"] * z["p"] / z["t"]).cast("int") - 1)
+        size = F.transform(F.arrays_zip(s.alias("s"), p.alias("p"), target.alias("t")), lambda z: F.greatest(F.lit(1), F.floor(z["s"] * z["p"] / z["t"]).cast("int") - 1))
         return volumes.select("*", size.alias("new_size"), target.alias("new_spacing"))
     target = F.array(*[F.lit(int(x)) for x in new_size])
     return volumes.select("*", target.alias("new_size"), F.transform(F.arrays_zip(s.alias("s"), p.alias("p"), target.alias("t")), lambda z: z["p"] * z["s"] / z["t"]).alias("new_spacing"))

@@ -306,7 +306,7 @@ SELECT vec_id AS series_id, '7,4,3' AS shape, pos, round(sum(CAST(embedding[spot
     "m12_class_rectify": f"WITH m AS (SELECT dataset, old_id, min(new_id) AS n FROM {UNION_MAP} GROUP BY ALL) SELECT p_partkey, p_size % 5 AS dataset, coalesce(n, split_part(p_brand, '#', -1)::INTEGER) AS label FROM part LEFT JOIN m ON m.dataset = p_size % 5 AND m.old_id = split_part(p_brand, '#', -1)::INTEGER",
     "m12_rectify_violations": "SELECT p_size % 5 AS dataset, split_part(p_brand, '#', -1)::INTEGER AS label, count(*) AS n FROM part WHERE split_part(p_brand, '#', -1)::INTEGER > (p_size % 5) * 8 + 10 GROUP BY ALL",
     "m13_one_hot": f"SELECT {V4}, CASE label WHEN 1 THEN '010' ELSE '001' END AS one_hot FROM {GRID} WHERE label <> 0",
-    "m14_resample_geometry": "SELECT p_partkey, (floor(p_size * 2.5::DOUBLE / 2.0)::INTEGER - 1) || ',' || (floor((p_size + 10) * (p_retailprice / 1000) / 1.0)::INTEGER - 1) || ',' || (floor(64 * 0.75::DOUBLE / 1.5)::INTEGER - 1) AS new_size FROM part",
+    "m14_resample_geometry": "SELECT p_partkey, greatest(1, floor(p_size * 2.5::DOUBLE / 2.0)::INTEGER - 1) || ',' || greatest(1, floor((p_size + 10) * (p_retailprice / 1000) / 1.0)::INTEGER - 1) || ',' || greatest(1, floor(64 * 0.75::DOUBLE / 1.5)::INTEGER - 1) AS new_size FROM part",
     "m15_resample_labels_nn": "SELECT vec_id AS series_id, 0 AS z, CAST(t AS INTEGER) AS y, CAST(u AS INTEGER) AS x, CAST(least(floor(t * 8 / 5.0 + 0.5), 7) * 8 + least(floor(u * 8 / 13.0 + 0.5), 7) AS INTEGER) AS label FROM embeddings, range(0, 5) a(t), range(0, 13) b(u)",
     "m17_pad_to_size": f"SELECT e.vec_id AS series_id, CAST(g.z AS INTEGER) AS z, CAST(h.y AS INTEGER) AS y, CAST(w.x AS INTEGER) AS x, round(CASE WHEN g.z = 0 AND h.y BETWEEN 1 AND 8 THEN embedding[CAST((h.y - 1) * 8 + w.x + 1 AS INTEGER)]::DOUBLE ELSE -1 END, 6) AS hu FROM embeddings e, range(0, 2) g(z), range(0, 11) h(y), range(0, 8) w(x)",
     "m17_center_crop": f"SELECT series_id, CAST(z - (depth // 2 - 2) AS INTEGER) AS z, y - 4 AS y, x - 4 AS x, hu FROM {GRID} JOIN {SHAPES} USING (series_id) WHERE z - (depth // 2 - 2) BETWEEN 0 AND 3 AND y BETWEEN 4 AND 11 AND x BETWEEN 4 AND 11",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,18 +21,37 @@ def new_slices(stream: DataFrame, sop: str, time: str, watermark: str) -> DataFr
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark([sop])
 
 
+def query_id(spark: SparkSession) -> str:
+    """Inside foreachBatch: the id of the running query, the same after a restart from its checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def written_before(spark: SparkSession, path: str, own: str) -> list[str]:
+    """The finished batch folders below path, but own: one name a batch."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "run=*/batch=*/_SUCCESS")) or []
+    folders = [f.getPath().getParent().toString() for f in found]
+    mine = store.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(own)).toString()
+    return sorted(f for f in folders if f != mine)
+
+
 def streaming_ingest_slices(stream: DataFrame, done: Callable[[], DataFrame], sop: str, time: str, watermark: str, path: str, checkpoint: str, trigger_now: bool = True) -> StreamingQuery:
     """Appends slices that are neither repeated nor in done() (read anew for each batch) to a Parquet folder.
 
-    A batch writes to a folder of its own number, so one that is run again replaces itself. Ids that
-    earlier batches wrote do not come again, however late they are repeated.
+    A batch writes to the folder of its query and number, so one that is run again replaces itself
+    and nothing else; a query with a new checkpoint is another query and adds its own folders. Ids
+    that any earlier batch of any query wrote do not come again, however late they are repeated.
+    Two queries may not write to one folder at the same time.
     """
     def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = f"{path}/run={query_id(spark)}/batch={number}"
         fresh = batch.join(done().select(sop), sop, "left_anti")
-        if number:
-            earlier = batch.sparkSession.read.schema(f"`{sop}` {batch.schema[sop].dataType.simpleString()}, batch long").parquet(path)
-            fresh = fresh.join(earlier.where(F.col("batch") < number).select(sop), sop, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if earlier := written_before(spark, path, own):
+            ids = spark.read.schema(f"`{sop}` {batch.schema[sop].dataType.simpleString()}").parquet(*earlier)
+            fresh = fresh.join(ids.where(F.col(sop).isNotNull()), sop, "left_anti")
+        fresh.write.mode("overwrite").parquet(own)
 
     writer = new_slices(stream, sop, time, watermark).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if trigger_now else writer).start()
