@@ -522,3 +522,65 @@ def test_cascade_is_exact_even_when_full(spark, monkeypatch):
     listed = universe.where("key < '3'")
     c = url_filter.Cascade(universe, listed)
     assert len(c.levels) > 2 and universe.where(c.contains(F.col("key")) != F.expr("key < '3'")).count() == 0
+
+
+def surrogated(spark, texts, key="key"):
+    return {r["case"]: (r["text"], [e["kind"] for e in r["entities"]]) for r in pii.pseudonymize(spark.createDataFrame([(c, c) for c in texts], "case string, text string"), key).collect()}
+
+
+def test_names_of_one_family_stay_distinct(spark):
+    given = [f"{a}{b}" for a in ("Ab", "Be", "Ci", "Do", "Eu", "Fa", "Ge", "Hi", "Jo", "Ku") for b in ("dan", "lin", "mar", "nor", "pel", "ras", "sim", "tor", "vin", "wes", "xan", "yor", "zel", "bek", "cor", "dul", "fen", "gil", "hal", "jun")]
+    texts = [f"Hello Mr {g} Smith is here" for g in given] + [f"Hello Mr {g} Jones is here" for g in given[:8]]
+    got = surrogated(spark, texts)
+    new = {t: re.fullmatch(r"Hello Mr (\S+) (\S+) is here", got[t][0]).groups() for t in texts}
+    assert len(set(new.values())) == 208 and len({g for g, _ in new.values()}) == 200 and len({f for _, f in new.values()}) == 2
+    assert not {g for g, _ in new.values()} & set(given)
+    for g in given[:8]:  # a given name is one surrogate in every family
+        assert new[f"Hello Mr {g} Smith is here"][0] == new[f"Hello Mr {g} Jones is here"][0]
+
+
+def test_names_are_one_person_whatever_the_title(spark):
+    text = "Mr John Smith met Dr John Smith. Later John Smith and Smith left in Mr Smith's car; Smithson stayed. Mrs O'Brien-Lee saw James."
+    new, kinds = surrogated(spark, [text])[text]
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Dr (\w+) (\w+)\. Later (\w+) (\w+) and (\w+) left in Mr (\w+)'s car; Smithson stayed\. Mrs (\w+) saw James\.", new)
+    assert m and len({m[1], m[3], m[5]}) == 1 == len({m[2], m[4], m[6], m[7], m[8]}) and m[9] != m[2] and kinds == ["name"] * 6
+    assert not {"John", "Smith"} & set(re.findall(r"\w+", new))
+
+
+def test_ibans_end_where_their_country_says(spark):
+    ok = {"AT611904300234573201 EUR 500": "AT611904300234573201", "AT61 1904 3002 3457 3201 EURO now": "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034 BIC GKCC": "BE68 5390 0754 7034", "to NO93 8601 1117 947.": "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32 X": "GB82 WEST 1234 5698 7654 32"}
+    same = ["AA12BB34CC56", "AT61 1904 3002 3457 3202 EURO", "DE00123456781234567812"]
+    got = surrogated(spark, [*ok, *same, *[f"{x} a@b.org" for x in same]])
+    for text, iban in ok.items():
+        new = got[text][0]
+        before, after = text.split(iban)
+        own = new[len(before) : len(new) - len(after)]
+        bare = own.replace(" ", "")
+        assert got[text][1] == ["iban"] and own != iban and own[:2] == iban[:2] and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    for text in same:
+        assert got[text] == (text, []) and got[f"{text} a@b.org"][0].startswith(text + " ") and got[f"{text} a@b.org"][1] == ["email"]
+    secret = 'token: "AT61190430023457320200"'
+    assert surrogated(spark, [secret])[secret][1] == ["secret"]
+
+
+def test_quoted_secrets_go_to_their_quote(spark):
+    cases = {'password: "correct horse battery"': "correct horse battery", 'token: "abcdefgh ijklmnopqrst"': "abcdefgh ijklmnopqrst", "{'api_key': 'ab cd ef gh'}": "ab cd ef gh", 'pwd = "Mr Smith 12"': "Mr Smith 12"}
+    got = surrogated(spark, [*cases, 'password: "abc"', 'token: ""'])
+    for text, value in cases.items():
+        before, after = text.split(value)
+        new, kinds = got[text]
+        assert kinds == ["secret"] and new.startswith(before) and new.endswith(after) and not set(re.findall(r"\w{3,}", value)) & set(re.findall(r"\w+", new[len(before) : len(new) - len(after)]))
+    assert got['password: "abc"'] == ('password: "abc"', []) and got['token: ""'] == ('token: ""', [])
+
+
+def test_calling_codes_stay_whole(spark):
+    for text, code in (("+49 30 1234567", "+49 "), ("+1 212 555 0143", "+1 "), ("+353 20 912 3456", "+353 "), ("+7 495 123 4567", "+7 ")):
+        new, kinds = surrogated(spark, [text])[text]
+        assert kinds == ["phone"] and new.startswith(code) and new != text and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+
+
+def test_the_quick_scan_changes_no_result(spark, monkeypatch):
+    texts = ["Mr Bo Li", "a@b.co", "1.2.3.4", "+1 (23) 456-789", "(212) 555-1234", "123-45-6789", "4111 1111 1111 1111", "NO9386011117947", 'pwd: "a b c d"', "secret = abcdefghijklmnop", "passwd=abcdef", "token: 'ab cd ef'", "AA12BB34CC56", "Dr. 田中", "nothing", "x = y", "г-н Ив", "password: abc", "api-key:\n\"abc def\""]
+    quick = surrogated(spark, texts)
+    monkeypatch.setattr(pii, "_maybe", lambda text: F.coalesce(F.length(text) >= 0, F.lit(False)))
+    assert quick == surrogated(spark, texts)

@@ -9,10 +9,16 @@ stay public or in their private range, names follow the title's gender and the n
 An assigned secret is found from 16 characters on (letters, digits and _-./+), an assigned password
 from 6 on (any run without blanks and quotes, less the punctuation at its end), whatever its length.
 
+A quoted secret or password ends at its quote and may hold blanks.
+
 A surrogate is a keyed permutation of the entity's format (a Feistel network over its characters), so
-two entities of one format never share one; names are drawn from syllables, more of them at every
-attempt. The same entity gets the same surrogate in the whole corpus, however it is written (case,
-digit separators). Surrogates are checked against each other and against every entity found in the
+two entities of one format never share one. Names are replaced word by word: each given name and
+each family name of the corpus has one surrogate word that no other has, whatever the title, so
+that names differ where the real ones do and `Mr John Smith`, `Dr Smith` and a bare `John Smith` or
+`Smith` in a text that also has the titled name stay one family. Given and family names are made
+of syllables, one more at every attempt until all differ: their space grows with the corpus. The
+same entity gets the same surrogate in the whole corpus, however it is written (case, digit
+separators). Surrogates are checked against each other and against every entity found in the
 corpus; those that clash are drawn again. Where a format is so crowded that some still clash, all
 entities of that format keep their first permutation: distinct, but a surrogate may then be another
 real value. Only entities are shuffled for that, pre-aggregated; texts are shuffled only if they may
@@ -41,13 +47,21 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga ka ke ko la le lo ma me mo na
 TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
 PASSWORD, ASSIGNED = "(?i:password|passwd|pwd)", r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: A word of a name: a capital, or a letter of a script without case. Particles may stand between such words.
-NAMED = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’\-]{1,40}"
+#: An apostrophe stands between letters; 's at the end is no part of the name.
+NAMED = r"[\p{Lu}\p{Lo}](?:[\p{L}\p{M}\-]|['’](?=\p{L})(?!s(?!\p{L}))){1,40}"
 PARTICLE = "(?:de|del|der|den|di|da|dos|la|le|van|von|zu|bin|al|el|y)"
+#: Length of a country's IBANs; fixed values.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+                25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+#: Country calling codes of one and two digits, all others have three; fixed values.
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+SECRET_WORD = r"(?i:token|secret|api[_\-]?key|access[_\-]?key|auth[_\-]?key)"
 PATTERNS = {
+    "quoted": rf"(?<=[=:]\s{{0,3}}\")(?<=(?:{PASSWORD}|{SECRET_WORD})[\"']?\s{{0,3}}[=:]\s{{0,3}}\")[^\"\r\n]{{6,}}+(?=\")|(?<=[=:]\s{{0,3}}')(?<=(?:{PASSWORD}|{SECRET_WORD})[\"']?\s{{0,3}}[=:]\s{{0,3}}')[^'\r\n]{{6,}}+(?=')",
     "password": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<={PASSWORD}{ASSIGNED})[^\s\p{{Z}}\"']{{5,}}[^\s\p{{Z}}\"'.,;:)\]}}>]",
     "email": rf"(?<![{WORD}._%+\-])[{WORD}._%+\-]{{1,64}}@[{WORD}\-]{{1,63}}(?:\.[{WORD}\-]{{1,63}}){{1,8}}(?![{WORD}])",
-    "secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<=(?i:token|secret|api[_\-]?key|access[_\-]?key|auth[_\-]?key){ASSIGNED})[A-Za-z0-9_\-./+]{{16,}}+={{0,2}}(?![A-Za-z0-9_/+])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": rf"(?<=[=:]\s{{0,3}}[\"']?)(?<={SECRET_WORD}{ASSIGNED})[A-Za-z0-9_\-./+]{{16,}}+={{0,2}}(?![A-Za-z0-9_/+])",
+    "iban": r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.\-])(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
@@ -93,10 +107,22 @@ def _cards(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(runs, longest)), lambda c: c.isNotNull())
 
 
-def _any(cards: Column) -> Column:
-    """ANY and these cards, longer ones first."""
-    ordered = F.transform(F.reverse(F.array_sort(F.transform(cards, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))), lambda x: x["c"])
-    return F.when(F.size(cards) > 0, F.concat(F.lit(f"{ANY}|{BEFORE_CARD}(?:"), F.array_join(ordered, "|"), F.lit(f"){AFTER_CARD}"))).otherwise(F.lit(ANY))
+def _longest_first(values: Column) -> Column:
+    return F.array_join(F.transform(F.reverse(F.array_sort(F.transform(values, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))), lambda x: x["c"]), "|")
+
+
+def _any(cards: Column, bare: Column) -> Column:
+    """ANY, these cards and these names, longer ones first. Most texts have neither and share the one pattern."""
+    some = F.concat(F.lit(ANY), F.when(F.size(cards) > 0, F.concat(F.lit(f"|{BEFORE_CARD}(?:"), _longest_first(cards), F.lit(f"){AFTER_CARD}"))).otherwise(F.lit("")),
+                    F.when(F.size(bare) > 0, F.concat(F.lit(rf"|(?<![{WORD}'’\-])(?:"), _longest_first(bare), F.lit(rf")(?![{WORD}\-])"))).otherwise(F.lit("")))
+    return F.when((F.size(cards) > 0) | (F.size(bare) > 0), some).otherwise(F.lit(ANY))
+
+
+def _bare_names(text: Column) -> Column:
+    """What a text may call its titled persons later: the name without the title, and its last word."""
+    whole = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda v: F.regexp_replace(v, rf"^{TITLE}\.? ", ""))
+    found = F.array_distinct(F.concat(whole, F.transform(whole, lambda n: F.substring_index(n, " ", -1))))
+    return F.when(text.rlike(TITLED), found).otherwise(F.array().cast("array<string>"))
 
 
 def iban_rest(s: Column) -> Column:
@@ -111,30 +137,32 @@ def iban_rest(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
 
 
-def _kind(value: Column) -> Column:
-    """Type of a match, null if it is none after all (check digits, issuer)."""
-    digits, bare = F.regexp_replace(value, "[^0-9]", ""), F.regexp_replace(value, " ", "")
+def _kind(value: Column, secret: Column, bare: Column) -> Column:
+    """Type of a match, null if it is none after all (check digits, issuer). secret: it is assigned to a key word; bare: it is a titled person's name."""
+    digits, blanks = F.regexp_replace(value, "[^0-9]", ""), F.regexp_replace(value, " ", "")
     full = lambda k: value.rlike(f"^(?:{PATTERNS[k]})$")
-    return (F.when(full("email"), "email")
-            .when(value.rlike(rf"^{TITLE}\.? "), "name")
-            .when(value.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), F.when((iban_rest(bare) == 1) & F.length(bare).between(15, 34), "iban").when(~value.contains(" "), "secret"))
+    return (F.when(secret & value.rlike(r"\s"), "secret")
+            .when(full("email"), "email")
+            .when(bare | value.rlike(rf"^{TITLE}\.? "), "name")
+            .when(full("iban") & (iban_rest(blanks) == 1), "iban")
             .when(full("ip"), "ip")
             .when(full("phone"), F.when(F.length(digits).between(7, 15), "phone"))
             .when(full("ssn"), "ssn")
             .when(_is_card(value), "card")
-            .when(~value.rlike(r"\s"), "secret"))
+            .when(secret, "secret"))
 
 
 def _canonical(kind: Column, value: Column) -> Column:
     """What all spellings of an entity have in common."""
-    name = F.regexp_replace(value, rf"^({TITLE})\.? ", "")
-    return (F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
-            .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "name", F.concat_ws(":", _gender(value), name)).otherwise(value))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    return (F.when(kind == "email", F.lower(value)).when(kind == "phone", F.concat(F.regexp_extract(value, r"^\+", 0), digits)).when(kind.isin("card", "ssn"), digits)
+            .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "name", F.regexp_replace(value, rf"^{TITLE}\.? ", "")).otherwise(value))
 
 
 def _gender(value: Column) -> Column:
+    """m or f where a title tells it, else n."""
     title = F.regexp_extract(value, rf"^({TITLE})\.? ", 1)
-    return F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])[title]
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv]), title), F.lit("n"))
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -228,55 +256,58 @@ def _choose(words: str, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words.split())), F.pmod(n, F.lit(len(words.split()))) + 1)
 
 
-def _name(words: Column, gender: Column, script: Column, key: str, attempt: int) -> Column:
-    """Surrogate words; the last word is the family name, those before it given names and particles."""
-    part = lambda w: F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("part"), w, F.lit(str(attempt))), 256)
-
-    def given(w: Column) -> Column:
-        out = F.when(w.rlike(r"^\p{Ll}"), w)  # particles stay
-        for s, by in GIVEN.items():
-            for g, names in by.items():
-                out = out.when((script == s) & (gender == g), _choose(names, _byte(part(w), F.lit(1))))
-        return out
-
-    def family(d: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(""))
+def _word(kind: Column, word: Column, gender: Column, script: Column, key: str, attempt: int) -> Column:
+    """A surrogate word: of the given names at first, then of syllables, one more at every attempt."""
+    def made(d: Column) -> Column:
+        out = F.when(F.lit(False), word)
+        if not attempt:
+            for s, by in GIVEN.items():
+                for g, names in by.items():
+                    out = out.when((kind == "given") & (script == s) & (gender == g), _choose(names, _byte(d, F.lit(1))))
         for s, syl in SYLLABLES.items():
-            end = F.when(gender == "f", "ова").otherwise("ов") if s == "cyrillic" else F.lit("rn")
-            out = out.when(script == s, F.initcap(F.concat(*[_choose(syl, _byte(d, F.lit(i))) for i in range(2, 6 + min(attempt, 8))], end)))
+            some = lambda n: F.concat(*[_choose(syl, _byte(d, F.lit(i))) for i in range(2, 2 + n + min(attempt, 24))])  # noqa: B023, E731
+            by_gender = lambda m, f, n: F.when(gender == "m", m).when(gender == "f", f).otherwise(n)
+            given = by_gender("н", "я", "ль") if s == "cyrillic" else by_gender("n", "a", "l")
+            family = F.when((gender == "f") | word.rlike("(ова|ева|ина)$"), "ова").otherwise("ов") if s == "cyrillic" else F.lit("rn")
+            out = out.when((script == s) & (kind == "given"), F.initcap(F.concat(some(1), given))).when(script == s, F.initcap(F.concat(some(4), family)))
         return out
 
-    return F.concat_ws(" ", F.transform(F.slice(words, 1, F.size(words) - 1), given), _bound(part(F.regexp_replace(F.element_at(words, -1), "(ова|ева|ина)$", "")), family))
+    return _bound(F.sha2(F.concat_ws("\u0001", F.lit(key), kind, word, F.lit(str(attempt))), 256), made)
+
+
+#: Kinds of a name's words.
+NAMES = ("given", "family")
 
 
 def _drawn(entities: DataFrame, attempt: int, key: str) -> DataFrame:
-    """(kind, canon, surrogate) at an attempt; but for names a permutation of the entity's format."""
+    """(kind, canon, gender, surrogate) at an attempt; but for words of names a permutation of the entity's format."""
     kind, canon, head, moved = F.col("kind"), F.col("canon"), F.col("head"), F.col("moved")
     seed = F.concat_ws("\u0001", F.lit(key), kind, F.lit(str(attempt)))
     first = lambda n: F.substr(canon, F.lit(1), n if isinstance(n, Column) else F.lit(n))
     dot = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
-    # what stays at the front: an issuer, the first digit that tells a phone's country, a name's gender
-    front = F.when(kind == "card", F.when(canon.startswith("4"), 1).otherwise(4)).when(kind == "phone", 1).when(kind == "iban", 4).when(kind == "name", 2).otherwise(0)
+    known = lambda n: F.substr(canon, F.lit(2), F.lit(n)).isin(*[c for c in CALLING.split() if len(c) == n])
+    country = F.when(~canon.startswith("+"), 1).when(known(1), 2).when(known(2), 3).otherwise(4)
+    # what stays at the front: an issuer, a calling code, else the first digit of a phone, an IBAN's country and check digits
+    front = F.when(kind == "card", F.when(canon.startswith("4"), 1).otherwise(4)).when(kind == "phone", country).when(kind == "iban", 4).otherwise(0)
     stop = F.when(kind == "email", dot).when(kind == "card", F.length(canon) - 1).otherwise(F.length(canon))
     # few letters and digits, or a crowded format: any printable signs
     few = (F.length(F.regexp_replace(canon, "[^A-Za-z0-9]", "")) < 6) | F.lit(attempt >= 3)
     mode = F.when(kind != "secret", 0).when(few, PRINTABLE).when(canon.rlike("^[0-9a-f]{6,}$"), HEX_LOW).when(canon.rlike("^[0-9A-F]{6,}$"), HEX_UP).otherwise(0)
-    cut = entities.select("kind", "canon", first(front).alias("head"), F.substr(canon, front + 1, stop - front).alias("middle"), F.substr(canon, stop + 1).alias("tail"), mode.alias("mode"))
-    cut = cut.withColumn("moved", F.when(kind != "ip", _alike(F.col("middle"), F.concat_ws("\u0001", seed, F.when(~kind.isin("iban", "name"), head)), F.col("mode"))))
+    cut = entities.select("kind", "canon", "gender", first(front).alias("head"), F.substr(canon, front + 1, stop - front).alias("middle"), F.substr(canon, stop + 1).alias("tail"), mode.alias("mode"))
+    script = F.when(canon.rlike("[А-яЁё]"), "cyrillic").when(canon.rlike(r"\p{IsLatin}"), "latin")
+    lettered = kind.isin(*NAMES) & script.isNotNull()
+    cut = cut.withColumn("moved", F.when((kind != "ip") & ~F.coalesce(lettered, F.lit(False)), _alike(F.col("middle"), F.concat_ws("\u0001", seed, F.when(kind != "iban", head)), F.col("mode"))))
     check = _bound(F.concat(head, moved), lambda x: F.concat(x, F.pmod(10 - luhn_sum(x, 1) % 10, F.lit(10)).cast("string")))
-    country = F.substr(head, F.lit(1), F.lit(2))
-    iban = F.concat(country, F.lpad((98 - iban_rest(F.concat(country, F.lit("00"), moved))).cast("string"), 2, "0"), moved)
-    last = F.substring_index("middle", " ", -1)
-    script = F.when(last.rlike("[А-яЁё]"), "cyrillic").when(last.rlike(r"\p{IsLatin}"), "latin")
-    name = F.when(script.isNull(), moved).otherwise(_name(F.split("middle", " "), F.substr(head, F.lit(1), F.lit(1)), script, key, attempt))
-    made = F.when(kind == "card", check).when(kind == "iban", iban).when(kind == "name", name).when(kind == "ip", _address(canon, seed)).otherwise(F.concat(head, moved, "tail"))
-    return cut.select("kind", "canon", made.alias("surrogate"))
+    state = F.substr(head, F.lit(1), F.lit(2))
+    iban = F.concat(state, F.lpad((98 - iban_rest(F.concat(state, F.lit("00"), moved))).cast("string"), 2, "0"), moved)
+    made = F.when(kind == "card", check).when(kind == "iban", iban).when(lettered, _word(kind, canon, F.col("gender"), script, key, attempt)).when(kind == "ip", _address(canon, seed)).otherwise(F.concat(head, moved, "tail"))
+    return cut.select("kind", "canon", "gender", made.alias("surrogate"))
 
 
 def _format(kind: Column, canon: Column) -> Column:
     """What the first permutation of an entity leaves as it is: entities of one format are permuted among themselves."""
     shape = F.array_join(F.transform(_classes(canon, F.lit(0)), lambda c: F.concat_ws(":", c["base"].cast("string"), c["n"].cast("string"))), ",")
-    return F.when(kind.isin("ip", "name"), kind).otherwise(shape)
+    return F.when(kind == "ip", kind).otherwise(shape)
 
 
 def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
@@ -284,7 +315,7 @@ def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
     def fill(i: Column) -> Column:
         c = F.substr(value, i, F.lit(1))
         before = F.length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^A-Z0-9]", ""))
-        return F.when(c.rlike("[A-Z0-9]"), F.substr(surrogate, before, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[A-Z0-9]"), F.substr(F.regexp_replace(surrogate, r"^\+", ""), before, F.lit(1))).otherwise(c)
 
     refilled = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), fill), "")
     title = F.regexp_extract(value, rf"^({TITLE}\.? )", 1)
@@ -292,34 +323,53 @@ def _spelt(kind: Column, value: Column, surrogate: Column) -> Column:
             .when((kind == "email") & (value == F.upper(value)), F.upper(surrogate)).otherwise(surrogate))
 
 
+#: A title and the start of a name.
+TITLED = "[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=lambda t: (-len(t), t))) + r")\.? [\p{Lu}\p{Lo}]"
+
+
 def _maybe(text: Column) -> Column:
     """Whether a text has any of the signs that every entity has: cheap scans that begin with one rare character each."""
-    names = "[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=lambda t: (-len(t), t))) + r")\.? [\p{Lu}\p{Lo}]"
-    return F.coalesce(text.contains("@") | text.rlike("[0-9][0-9.() -]{4}") | text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}") | text.rlike(r"[=:]\s{0,3}[\"']?[A-Za-z0-9_\-./+]{16}") | text.rlike(rf"[=:](?<={PASSWORD}[\"']?\s{{0,3}}.)\s{{0,3}}[\"']?[^\s\"']{{6}}") | text.rlike(names), F.lit(False))
+    quoted = rf"[=:](?<=(?:{PASSWORD}|{SECRET_WORD})[\"']?\s{{0,3}}.)\s{{0,3}}[\"'][^\"'\r\n]"
+    return F.coalesce(text.contains("@") | text.rlike("[0-9][0-9.() -]{4}") | text.rlike("[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11}") | text.rlike(r"[=:]\s{0,3}[\"']?[A-Za-z0-9_\-./+]{16}") | text.rlike(rf"[=:](?<={PASSWORD}[\"']?\s{{0,3}}.)\s{{0,3}}[\"']?[^\s\"']{{6}}") | text.rlike(quoted) | text.rlike(TITLED), F.lit(False))
 
 
 def _resolve(entities: DataFrame, key: str, rounds: int) -> DataFrame:
-    """(kind, canon, surrogate): no two entities of a kind share a surrogate, and none is itself an entity unless its format is full."""
+    """(kind, canon, surrogate): no two entities of a kind share a surrogate, and none is itself an entity unless its format is full.
+
+    Words of names never have a full format: their attempts go on, each with a syllable more, until all differ.
+    """
     spark, kept = entities.sparkSession, ["kind", "canon", "surrogate"]
+    entities = entities if "gender" in entities.columns else entities.withColumn("gender", F.lit("n"))
     parts = max(1, min(-(-entities.count() // 1000), 4 * max(50, spark.sparkContext.defaultParallelism)))
-    real = entities.select("kind", F.when(F.col("kind") == "name", F.substr(F.col("canon"), F.lit(3))).otherwise(F.col("canon")).alias("surrogate"))
-    pending, settled = entities, None
-    for attempt in range(rounds):
+    real = entities.select("kind", F.col("canon").alias("surrogate"))
+    pending, settled, full = entities, None, None
+    lettered = F.col("kind").isin(*NAMES) & F.col("canon").rlike(r"[А-яЁё]|\p{IsLatin}")
+    for attempt in range(64):
         drawn = stage(_drawn(pending.repartition(parts, "kind", "canon"), attempt, key))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if settled is not None:
             free = free.join(settled, ["kind", "surrogate"], "left_anti")
         now = free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select(*kept)
         settled = stage(now if settled is None else settled.unionByName(now))
-        pending = stage(drawn.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon"))
+        pending = stage(drawn.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon", "gender"))
+        if attempt + 1 == rounds:
+            full, pending = pending.where(~lettered), pending.where(lettered)
         if pending.isEmpty():
-            return settled
+            break
+    if full is None or full.isEmpty():
+        return settled
     # formats without room
-    named = entities.withColumn("format", _format(F.col("kind"), F.col("canon")))
-    full = stage(named.join(pending.withColumn("format", _format(F.col("kind"), F.col("canon"))).select("kind", "format").distinct(), ["kind", "format"], "left_semi").select("kind", "canon"))
-    spread = full.repartition(parts, "kind", "canon")
-    first = _drawn(spread.where("kind != 'name'"), 0, key).unionByName(_drawn(spread.where("kind = 'name'"), rounds, key))
-    return stage(settled.join(full, ["kind", "canon"], "left_anti").select(*kept).unionByName(first))
+    named = lambda df: df.withColumn("format", _format(F.col("kind"), F.col("canon")))
+    crowded = stage(named(entities).join(named(full).select("kind", "format").distinct(), ["kind", "format"], "left_semi").where(~lettered).select("kind", "canon", "gender"))
+    first = _drawn(crowded.repartition(parts, "kind", "canon"), 0, key).select(*kept)
+    return stage(settled.join(crowded, ["kind", "canon"], "left_anti").select(*kept).unionByName(first))
+
+
+def _names(values: DataFrame) -> DataFrame:
+    """(value, at, kind, canon, gender) of the words of named values; particles have a null kind. A word's gender is the one that all titles agree on."""
+    words = F.split("canon", " ")
+    w = values.where("kind = 'name'").select("value", _gender(F.col("value")).alias("own"), F.size(words).alias("n"), F.posexplode(words).alias("at", "canon"))
+    return w.select("value", "at", "canon", "own", F.when(F.col("at") == F.col("n") - 1, "family").when(~F.col("canon").rlike(r"^\p{Ll}"), "given").alias("kind"))
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", entities_col: str = "entities", rounds: int = 6) -> DataFrame:
@@ -336,15 +386,26 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", entities_col
     k, new = unused([*cols, entities_col], "k", "new")
     some = base.where(_maybe(text)).withColumn(k, F.md5(F.encode(text, "UTF-8")))
     whole = stage(some.groupBy(F.col(k).alias("k")).agg(F.any_value(text).alias("text"), F.count(F.lit(1)).alias("n")))
-    found = whole.select("k", "text", _any(_cards(F.col("text"))).alias("any"))
-    found = found.select("k", F.explode(F.array_distinct(F.regexp_extract_all("text", F.col("any"), F.lit(0)))).alias("value"))
-    found = stage(found.withColumn("kind", _kind(F.col("value"))).where(F.col("kind").isNotNull()).withColumn("canon", _canonical(F.col("kind"), F.col("value"))))
+    assigned = F.when(F.col("text").rlike("[=:]"), F.regexp_extract_all("text", F.lit("|".join(f"(?:{PATTERNS[x]})" for x in ("quoted", "password", "secret"))), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = whole.select("k", "text", _cards(F.col("text")).alias("cards"), _bare_names(F.col("text")).alias("bare"), assigned.alias("secrets"))
+    found = found.select("k", "bare", "secrets", F.explode(F.array_distinct(F.regexp_extract_all("text", _any(F.col("cards"), F.col("bare")), F.lit(0)))).alias("value"))
+    found = found.select("k", "value", _kind(F.col("value"), F.array_contains("secrets", F.col("value")), F.array_contains("bare", F.col("value"))).alias("kind"))
+    found = stage(found.where(F.col("kind").isNotNull()).withColumn("canon", _canonical(F.col("kind"), F.col("value"))))
     # an entity that many texts hold is spelt once, and its rows are dealt to several tasks
     values = stage(found.groupBy("value", "kind", "canon").agg(F.count(F.lit(1)).alias("n")))
-    settled = _resolve(stage(values.select("kind", "canon").distinct()), key, rounds)
-    spelt = stage(values.join(settled, ["kind", "canon"]).select("value", F.struct("kind", _spelt(F.col("kind"), F.col("value"), F.col("surrogate")).alias("s")).alias("r")))
+    words = stage(_names(values))
+    told = F.when(F.col("own") != "n", F.col("own"))
+    genders = words.where(F.col("kind").isNotNull()).groupBy("kind", "canon").agg(F.when(F.min(told) == F.max(told), F.min(told)).otherwise("n").alias("gender"))
+    settled = _resolve(stage(values.where("kind != 'name'").select("kind", "canon").distinct().withColumn("gender", F.lit("n")).unionByName(genders)), key, rounds)
+    told = hot_keys(words.groupBy("canon").agg(F.count(F.lit(1)).alias("n")), "canon")
+    new_words = salted_join(words.where(F.col("kind").isNotNull()), settled.where(F.col("kind").isin(*NAMES)).select(F.col("kind").alias("role"), "canon", "surrogate"), "canon", told).where(F.col("kind") == F.col("role"))
+    placed = new_words.select("value", "at", "surrogate").unionByName(words.where(F.col("kind").isNull()).select("value", "at", F.col("canon").alias("surrogate")))
+    named = placed.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]), " ").alias("surrogate"))
+    whole_names = values.where("kind = 'name'").join(named, "value")
+    others = values.where("kind != 'name'").join(settled, ["kind", "canon"])
+    spelt = stage(others.select("value", "kind", "surrogate").unionByName(whole_names.select("value", "kind", "surrogate")).select("value", F.struct("kind", _spelt(F.col("kind"), F.col("value"), F.col("surrogate")).alias("s")).alias("r")))
     maps = salted_join(found.select("k", "value"), spelt, "value", hot_keys(values, "value")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("value", "r"))).alias("map"))
-    held = whole.drop("n").join(maps, "k").withColumn("any", _any(F.map_keys(F.map_filter("map", lambda _, r: r["kind"] == "card"))))
+    held = whole.drop("n").join(maps, "k").withColumn("any", _any(F.map_keys(F.map_filter("map", lambda _, r: r["kind"] == "card")), F.map_keys(F.map_filter("map", lambda v, r: (r["kind"] == "name") & ~v.rlike(rf"^{TITLE}\.? ")))))
     held = held.withColumn("known", F.transform(F.regexp_extract_all("text", F.col("any"), F.lit(0)), lambda v: F.struct(v.alias("v"), F.try_element_at(F.col("map"), v).alias("r"))))
     filled = F.concat(F.transform("known", lambda x: F.coalesce(x["r"]["s"], x["v"])), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(F.split("text", F.col("any"), -1), filled, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
