@@ -109,6 +109,26 @@ def test_chunks_own_every_word_once(monkeypatch):
             assert cuts[0] == 0 and cuts == sorted(set(cuts)) and all(b - a <= forced for a, b in zip(cuts, [*cuts[1:], n - collocations.OVERLAP]))
 
 
+@pytest.mark.parametrize("few_hashes", [False, True])
+def test_phrases_of_one_hash_are_told_apart(monkeypatch, few_hashes):
+    import pyarrow as pa
+
+    if few_hashes:
+        monkeypatch.setattr(collocations, "_mixed", lambda h: h & np.uint64(3))
+    rows = [("en", "a b c a b", 5, 2), ("en", "b c a", 1, 3), ("de", "a b c", 3, 1), ("de", "longer words than eight bytes", 5, 1), ("de", "longer words than eight bytez", 5, 4), ("en", "é 😀 é", 2, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())], ["lang", "chunk", "own", "n"])
+    want, got = Counter(), Counter()
+    for lang, chunk, own, n in rows:
+        w = chunk.split(" ")
+        for size in range(1, 5):
+            for i in range(min(own, len(w) - size + 1)):
+                want[lang, " ".join(w[i : i + size]), size] += n
+    for b in collocations._count_exactly(iter([batch.slice(0, 2), batch.slice(2)]), (np.full(1 << 10, ~np.uint64(0)), 16)):
+        for r in b.to_pylist():
+            got[r["lang"], r["phrase"], r["size"]] += r["f"]
+    assert got == want
+
+
 INSULTS = ("wretch", "vermin", "dimwit")
 
 

@@ -4,9 +4,10 @@ A text's pieces are cut where the hash of three words in a row says so, so equal
 alike wherever they stand. Chunks overlap by those three words: every phrase of at most four words
 lies inside one chunk, and the chunk in which it starts before the overlap is the one that counts
 it. The distinct chunks with their frequencies are the dictionary; phrases are counted inside
-distinct chunks, weighted. Longer phrases are counted only where their shorter parts are frequent,
-which Bloom filters tell; the dictionary is cut to runs of frequent words once the words are
-counted. Filters only skip work, counts are exact.
+distinct chunks, weighted. First 64-bit hashes of phrases are counted, those of three and four words
+only where all their bigrams may be frequent. A Bloom filter of the frequent hashes, of bounded
+size, then says which phrases are worth counting as they are; it only skips work, and the counts
+of the phrases themselves are exact.
 """
 
 from __future__ import annotations
@@ -96,33 +97,68 @@ def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     return stage(parsed.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")), shared_dir(docs.sparkSession), 5000, 16)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MIX to the power of 0 .. n - 1, and the inverses, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (MIX, np.uint64(pow(int(MIX), -1, 1 << 64)))]
+    return _POWERS[0][:n], _POWERS[1]
 
 
-def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words that lie in a buffer of bytes; equal words have equal ones wherever they lie."""
+    up, down = _powers(len(data) + 1)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    return _mixed((upto[ends] - upto[starts]) * down[starts])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def _tongues(langs: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in langs), np.uint64, len(langs))
+
+
+def _phrase_hashes(tongue: np.ndarray, word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the phrases of `size` words at these places; tongue holds their languages' hashes."""
+    x = tongue
+    for i in range(size):
+        x = x * MIX + word[at + i]
+    return _mixed(x)
+
+
+def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> np.uint64(64 - bits), (h * MIX) >> np.uint64(64 - bits)
 
 
-def frequent_filter(frequent: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of (lang, phrase), at most 2 ** MOST_BITS bits whatever the number of phrases."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * frequent.count()).bit_length()))
+def _held(h: np.ndarray, known: tuple[np.ndarray, int]) -> np.ndarray:
+    """Whether the filter may hold each hash."""
+    table, bits = known
+    out = np.ones(len(h), bool)
+    for p in _positions(h, bits):
+        out &= (table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def frequent_filter(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of a column h, at most 2 ** MOST_BITS bits whatever the number of rows."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * hashes.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 100_000, 8):
-            h = _hashes([x.encode() for x in b.column(0).to_pylist()])
-            phrases = [p.split(b" ") for p in b.column(1).cast(pa.binary()).to_pylist()]
-            for i in range(max(map(len, phrases), default=0)):
-                h = h * MIX + _hashes([p[i] for p in phrases])
-            at = np.concatenate(_positions(h, bits))
+        for b in bounded(batches, 1_000_000, 8):
+            at = np.concatenate(_positions(b.column(0).to_numpy().view(np.uint64), bits))
             word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
             mask = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(mask, inverse, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], ["at", "mask"])
 
     table = np.zeros(1 << (bits - 6), np.uint64)
-    rows = frequent.select("lang", "phrase").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
+    rows = hashes.select("h").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
     table[rows["at"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
     return table, bits
 
@@ -130,90 +166,128 @@ def frequent_filter(frequent: DataFrame) -> tuple[np.ndarray, int]:
 def _grouped(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct key, and the sum of its weights."""
     if not len(keys):
-        return keys, weight
-    if keys.max() <= 4 * len(keys):  # dense: no sort
-        place, total = np.full(int(keys.max()) + 1, -1, np.int64), np.zeros(int(keys.max()) + 1, np.int64)
-        place[keys] = np.arange(len(keys))
-        np.add.at(total, keys, weight)
-        there = place >= 0
-        return place[there], total[there]
-    order = np.argsort(keys, kind="stable")
+        return np.zeros(0, np.int64), weight
+    order = np.argsort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
     return order[first], np.add.reduceat(weight[order], first)
 
 
 class _Batch:
-    """Words of a batch of chunks as numbers, one chunk after another."""
+    """The words of a batch of chunks, one chunk after another, as places in a buffer."""
 
     def __init__(self, b: pa.RecordBatch):
-        langs, chunks = b.column(0).dictionary_encode(), b.column(1).cast(pa.binary()).to_pylist()
+        langs, chunks = b.column(0).dictionary_encode(), b.column(1).cast(pa.binary())
+        ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+        self.data = np.frombuffer(chunks.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        spaces = np.flatnonzero(self.data == 32)
+        self.starts, self.ends = np.sort(np.concatenate([ends[:-1], spaces + 1])), np.sort(np.concatenate([ends[1:], spaces]))
+        self.long = np.diff(np.searchsorted(spaces, ends)) + 1
         self.langs, self.own, self.n = langs.dictionary, b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy()
-        self.words = b" ".join(chunks).split(b" ") if chunks else []
-        self.long = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
-        self.kinds = list(dict.fromkeys(self.words))
-        number = {w: i for i, w in enumerate(self.kinds)}
-        self.word = np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))
         self.chunk = np.repeat(np.arange(len(chunks)), self.long)
-        self.place = np.arange(len(self.words)) - (np.cumsum(self.long) - self.long)[self.chunk]
-        self.tongue = langs.indices.to_numpy().astype(np.int64)[self.chunk]
-
-    def frequent(self, at: np.ndarray, size: int, known: tuple[np.ndarray, int]) -> np.ndarray:
-        """Whether the filter may hold the phrase of `size` words at each place."""
-        table, bits = known
-        h, x = _hashes(self.kinds), _hashes([t.encode() for t in self.langs.to_pylist()])[self.tongue[at]]
-        for i in range(size):
-            x = x * MIX + h[self.word[at + i]]
-        out = np.ones(len(at), bool)
-        for p in _positions(x, bits):
-            out &= (table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
-
-
-def segments(chunks: DataFrame, known: tuple[np.ndarray, int]) -> DataFrame:
-    """The dictionary again, cut to its runs of two and more frequent words: no phrase with a rare word is a candidate."""
-    shared = chunks.sparkSession.sparkContext.broadcast(known)  # at most 2 ** MOST_BITS bits
+        self.place = np.arange(len(self.starts)) - (np.cumsum(self.long) - self.long)[self.chunk]
+        self.lang = langs.indices.to_numpy().astype(np.int64)
+        self.tongue = _tongues(self.langs.to_pylist())[self.lang]
+        self.left = self.long[self.chunk] - self.place
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 200_000, 8):
-            x = _Batch(b)
-            inside = x.frequent(np.arange(len(x.words)), 1, shared.value)
-            edge = np.flatnonzero(np.concatenate([[True], (x.chunk[1:] != x.chunk[:-1]) | (inside[1:] != inside[:-1])])) if len(inside) else np.zeros(0, np.int64)
-            ends = np.append(edge[1:], len(inside))
-            own = np.minimum(x.place[edge] + ends - edge, x.own[x.chunk[edge]]) - x.place[edge]
-            keep = inside[edge] & (ends - edge > 1) & (own > 0)
-            edge, ends, own = edge[keep], ends[keep], own[keep]
-            found: Counter = Counter()
-            for s, e, o, t, n in zip(edge.tolist(), ends.tolist(), own.tolist(), x.tongue[edge].tolist(), x.n[x.chunk[edge]].tolist()):
-                found[b" ".join(x.words[s:e]), o, t] += n
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays([x.langs.take(pa.array([k[2] for k in keys], pa.int64())), pa.array([k[0] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "chunk", "own", "n"])
+    def places(self, size: int, ok: np.ndarray | None = None) -> np.ndarray:
+        """Where phrases of `size` words start that the chunk counts; ok: whether a bigram at a place may be frequent."""
+        fits = (self.place < self.own[self.chunk]) & (self.left >= size)
+        for i in range(size - 1 if ok is not None else 0):
+            fits[: len(ok) - i] &= ok[i:]
+        return np.flatnonzero(fits)
 
-    cut = chunks.mapInArrow(run, "lang string, chunk string, own int, n long").groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
-    return stage(cut, shared_dir(chunks.sparkSession), 200_000, 8)
 
-
-def counts(chunks: DataFrame, size: int, known: tuple[np.ndarray, int] | None = None, least: int = 1) -> DataFrame:
-    """(lang, phrase, f) of phrases of `size` words, f at least `least`; known: filter of the frequent ones a word shorter."""
+def hashed_counts(chunks: DataFrame, sizes: tuple[int, ...], known: tuple[np.ndarray, int] | None, least: int) -> DataFrame:
+    """(h, f, size): hashes that phrases of these sizes have at least `least` times. known: filter of frequent bigrams, without one all are counted."""
     shared = chunks.sparkSession.sparkContext.broadcast(known)  # at most 2 ** MOST_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 200_000, 8):
+        held: list[tuple] = []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            for size in sizes:
+                h = np.concatenate([x[1] for x in held if x[0] == size] or [np.zeros(0, np.uint64)])
+                place, f = _grouped(h, np.concatenate([x[2] for x in held if x[0] == size] or [np.zeros(0, np.int64)]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array(np.full(len(f), size, np.int32)), pa.array(f)], ["h", "size", "f"])
+            held.clear()
+
+        for b in bounded(batches, 200_000, 2):
             x = _Batch(b)
-            at = np.flatnonzero((x.place < x.own[x.chunk]) & (x.place + size <= x.long[x.chunk]))
+            word, ok = _word_hashes(x.data, x.starts, x.ends), None
             if shared.value is not None:
-                at = at[x.frequent(at, size - 1, shared.value)]
-                at = at[x.frequent(at + 1, size - 1, shared.value)]
-            key, kinds = x.tongue[at], len(x.kinds)
-            for i in range(size):  # exact numbers for the phrases of the batch, a word more each time
-                key = (np.unique(key, return_inverse=True)[1] if i > 1 else key) * kinds + x.word[at + i]
-            place, f = _grouped(key, x.n[x.chunk[at]])
-            phrases = [b" ".join(x.words[i : i + size]) for i in at[place].tolist()]
-            yield pa.RecordBatch.from_arrays([x.langs.take(pa.array(x.tongue[at][place])), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], ["lang", "phrase", "f"])
-
-    counted = chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+                pair = np.flatnonzero(x.left >= 2)
+                ok = np.zeros(len(word), bool)
+                ok[pair] = _held(_phrase_hashes(x.tongue[x.chunk[pair]], word, pair, 2), shared.value)
+            for size in sizes:
+                at = x.places(size, ok)
+                held.append((size, _phrase_hashes(x.tongue[x.chunk[at]], word, at, size), x.n[x.chunk[at]]))
+            if sum(len(h[1]) for h in held) > 1 << 22:
+                yield from settle()
+        yield from settle()
+
+    counted = chunks.mapInArrow(run, "h long, size int, f long").groupBy("h", "size").agg(F.sum("f").alias("f"))
+    return stage(counted.where(F.col("f") >= least), shared_dir(chunks.sparkSession), 200_000, 16)
+
+
+def _count_exactly(batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, int]) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, size, f) of the phrases of each batch whose hashes the filter may hold."""
+    for b in bounded(batches, 200_000, 8):
+        x = _Batch(b)
+        word, text = _word_hashes(x.data, x.starts, x.ends), x.data.tobytes()
+        starts, ends = x.starts.tolist(), x.ends.tolist()
+        for size in range(1, MOST_WORDS + 1):
+            at = x.places(size)
+            h = _phrase_hashes(x.tongue[x.chunk[at]], word, at, size)
+            inside = _held(h, known)
+            at, h = at[inside], h[inside]
+            # phrases of one hash are told apart by their bytes: those that differ from the first are counted one by one
+            first, inverse = np.unique(h, return_index=True, return_inverse=True)[1:]
+            size_of = x.ends[at + size - 1] - x.starts[at]
+            found: Counter = Counter()
+            same = _equal(x, at, at[first][inverse], size_of, size_of[first][inverse])
+            for i in np.flatnonzero(~same).tolist():
+                found[x.langs[int(x.lang[x.chunk[at[i]]])].as_py(), text[starts[at[i]] : ends[at[i] + size - 1]]] += int(x.n[x.chunk[at[i]]])
+            f = np.zeros(len(first), np.int64)
+            np.add.at(f, inverse[same], x.n[x.chunk[at]][same])
+            phrases = [text[starts[i] : ends[i + size - 1]] for i in at[first].tolist()]
+            langs = x.langs.take(pa.array(x.lang[x.chunk[at[first]]]))
+            rows = [langs, pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(f), size, np.int32)), pa.array(f)]
+            yield pa.RecordBatch.from_arrays(rows, ["lang", "phrase", "size", "f"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()).cast(pa.string()), pa.array([size] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "phrase", "size", "f"])
+
+
+def counts(chunks: DataFrame, known: tuple[np.ndarray, int], least: int) -> DataFrame:
+    """(lang, phrase, size, f) of phrases of 1 to 4 words, f at least `least`. known: a filter that holds the hashes of all of these."""
+    shared = chunks.sparkSession.sparkContext.broadcast(known)  # at most 2 ** MOST_BITS bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _count_exactly(batches, shared.value)
+
+    counted = chunks.mapInArrow(run, "lang string, phrase string, size int, f long").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
     return stage(counted.where(F.col("f") >= least), shared_dir(chunks.sparkSession), 200_000, 8)
 
 
+def _equal(x: _Batch, a: np.ndarray, b: np.ndarray, long_a: np.ndarray, long_b: np.ndarray) -> np.ndarray:
+    """Whether the phrases that start at words a and b are the same bytes of the same language."""
+    out = (long_a == long_b) & (x.lang[x.chunk[a]] == x.lang[x.chunk[b]])
+    to = np.flatnonzero(out & (a != b))
+    s, t, long = x.starts[a[to]], x.starts[b[to]], long_a[to]
+    step = 0
+    while len(to):
+        last = np.minimum(step + 8, long) - 1  # eight bytes at a time
+        wrong = np.zeros(len(to), bool)
+        for i in range(step, step + 8):
+            k = np.minimum(i, last)
+            wrong |= x.data[s + k] != x.data[t + k]
+        out[to[wrong]] = False
+        step += 8
+        on = ~wrong & (long > step)
+        to, s, t, long = to[on], s[on], t[on], long[on]
+    return out
+
+
 def _key(phrase: str | Column) -> Column:
     return F.concat("lang", F.lit("\n"), phrase)
 
@@ -250,17 +324,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """
     chunks = dictionary(docs, text, lang)
     totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
-    levels = [counts(chunks, 1, least=least)]
-    words = frequent_filter(levels[0])
-    runs = segments(chunks, words)
-    for size in range(2, MOST_WORDS + 1):
-        levels.append(counts(runs, size, words if size == 2 else frequent_filter(levels[-1]), least))
-    shorter, longer = levels[0], levels[1]
-    for x in levels[1:-1]:
-        shorter = shorter.unionByName(x)
-    for x in levels[2:]:
-        longer = longer.unionByName(x)
-    phrases = longer.withColumnRenamed("f", "a")
+    few = hashed_counts(chunks, (1, 2), None, least)
+    many = hashed_counts(chunks, (3, 4), frequent_filter(few.where("size = 2")), least)
+    exact = counts(chunks, frequent_filter(few.select("h").unionByName(many.select("h"))), least)
+    shorter = exact.where(F.col("size") < MOST_WORDS)
+    phrases = exact.where("size > 1").select("lang", "phrase", F.col("f").alias("a"))
     scored = _parts(phrases, shorter).withColumn("key", _key("phrase"))
     kept = scored.join(_covered(phrases), "key", "left").where(F.col("most").isNull() | (100 * F.col("most") < cover * F.col("a")))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
