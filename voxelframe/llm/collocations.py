@@ -199,14 +199,18 @@ class _Batch:
 
 
 def hashed_counts(chunks: DataFrame, sizes: tuple[int, ...], known: tuple[np.ndarray, int] | None, least: int) -> DataFrame:
-    """(h, f, size): hashes that phrases of these sizes have at least `least` times. known: filter of frequent bigrams, without one all are counted."""
+    """(h, f, size): hashes that phrases of these sizes have at least `least` times.
+
+    known: filter of frequent bigrams; without one all phrases are counted, with it those whose
+    bigrams it may hold, and the words that stand in such bigrams come too (size 1, counted there).
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(known)  # at most 2 ** MOST_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def settle() -> Iterator[pa.RecordBatch]:
-            for size in sizes:
+            for size in sorted({x[0] for x in held}):
                 h = np.concatenate([x[1] for x in held if x[0] == size] or [np.zeros(0, np.uint64)])
                 place, f = _grouped(h, np.concatenate([x[2] for x in held if x[0] == size] or [np.zeros(0, np.int64)]))
                 yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array(np.full(len(f), size, np.int32)), pa.array(f)], ["h", "size", "f"])
@@ -219,6 +223,9 @@ def hashed_counts(chunks: DataFrame, sizes: tuple[int, ...], known: tuple[np.nda
                 pair = np.flatnonzero(x.left >= 2)
                 ok = np.zeros(len(word), bool)
                 ok[pair] = _held(_phrase_hashes(x.tongue[x.chunk[pair]], word, pair, 2), shared.value)
+                at = np.flatnonzero(ok & (x.place < x.own[x.chunk]))
+                for at in (at, at + 1):
+                    held.append((1, _phrase_hashes(x.tongue[x.chunk[at]], word, at, 1), x.n[x.chunk[at]]))
             for size in sizes:
                 at = x.places(size, ok)
                 held.append((size, _phrase_hashes(x.tongue[x.chunk[at]], word, at, size), x.n[x.chunk[at]]))
@@ -326,7 +333,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
     few = hashed_counts(chunks, (1, 2), None, least)
     many = hashed_counts(chunks, (3, 4), frequent_filter(few.where("size = 2")), least)
-    exact = counts(chunks, frequent_filter(few.select("h").unionByName(many.select("h"))), least)
+    exact = counts(chunks, frequent_filter(few.where("size = 2").select("h").unionByName(many.select("h"))), least)  # words of no frequent bigram are parts of no candidate
     shorter = exact.where(F.col("size") < MOST_WORDS)
     phrases = exact.where("size > 1").select("lang", "phrase", F.col("f").alias("a"))
     scored = _parts(phrases, shorter).withColumn("key", _key("phrase"))
