@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelframe.functions.columns import md5_order
+from voxelframe.functions.workers import written
 
 VOXEL = ("series_id", "z", "y", "x")
 AXES = ("z", "y", "x")
@@ -44,21 +45,37 @@ def nearest_within(targets: DataFrame, slices: DataFrame, by: Sequence[str], tar
     return best.select(*by, F.col("__t").alias(target), F.col("b")["__i"].alias("slice_idx"), F.col("b")["dy"].alias("dy"))
 
 
-def nearest_slice(targets: DataFrame, slices: DataFrame, by: Sequence[str], target: str, z: str, idx: str) -> DataFrame:
+def nearest_slice(targets: DataFrame, slices: DataFrame, by: Sequence[str], target: str, z: str, idx: str, ranges: int | None = None) -> DataFrame:
     """(by, target, slice_idx): the nearest slice of the same group, whatever its distance (ties: lower index).
 
-    Both sides are merged in z order and each target looks at the last slice before and the first after it.
+    Both sides lie in ranges of (group, z), so a group of any size spreads over tasks; inside a range
+    each target looks at the last slice before and the first after it. Groups that several ranges
+    share get the nearest slices of the ranges before and after, at most two rows a range. The
+    number of ranges follows the size of the tables unless given.
     Slices without an index or a place cannot be found and do not count; targets without a place or
     without a slice in their group have a null index.
     """
-    t = targets.select(*by, F.col(target).cast("double").alias("__z"), F.lit(None).cast("long").alias("__i"), F.lit(True).alias("__t")).distinct()
-    s = slices.where(F.col(idx).isNotNull() & F.col(z).isNotNull()).groupBy(*by, F.col(z).cast("double").alias("__z")).agg(F.min(idx).cast("long").alias("__i")).withColumn("__t", F.lit(False))
-    w = Window.partitionBy(*by).orderBy("__z")
+    t = targets.select(*by, F.col(target).cast("double").alias("__z"), F.lit(None).cast("long").alias("__i"), F.lit(True).alias("__t"))
+    s = slices.where(F.col(idx).isNotNull() & F.col(z).isNotNull()).select(*by, F.col(z).cast("double").alias("__z"), F.col(idx).cast("long").alias("__i"), F.lit(False).alias("__t"))
+    order = [*by, "__z"]
+    both = t.unionByName(s)
+    spread = both.repartitionByRange(ranges, *order) if ranges else both.repartitionByRange(*order)
+    dealt = written(spread.withColumn("__r", F.spark_partition_id()), "nearest")  # equal places lie in one range
+    places = dealt.repartition("__r", *by).groupBy("__r", *order).agg(F.min("__i").alias("__i"), F.bool_or("__t").alias("__t"))
     p = F.when(F.col("__i").isNotNull(), F.struct("__z", "__i"))
-    both = t.unionByName(s).withColumn("lo", F.last(p, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.first(p, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
-    d = lambda c: F.abs(F.col(c)["__z"] - F.col("__z"))
-    one = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(d(c).alias("d"), F.col(c)["__i"].alias("i"))) for c in ("lo", "hi")])))
-    return both.where("__t").select(*by, F.col("__z").alias(target), F.when(F.col("__z").isNotNull(), one["i"]).alias("slice_idx"))
+    per = places.groupBy("__r", *by).agg(F.min(p).alias("__first"), F.max(p).alias("__last"))
+    g = Window.partitionBy(*by).orderBy("__r")  # a row for each range of a group
+    carried = per.select("__r", *by, F.last("__last", True).over(g.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", True).over(g.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    carried = carried.where(F.col("__before").isNotNull() | F.col("__after").isNotNull()).select(F.col("__r").alias("__k"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__before", "__after")
+    w = Window.partitionBy("__r", *by).orderBy("__z")
+    near = places.withColumn("__lo", F.last(p, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__hi", F.first(p, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("__t")
+    same = F.col("__r") == F.col("__k")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    out = near.join(F.broadcast(carried), same, "left")  # at most two rows a range
+    lo, hi = F.coalesce("__lo", "__before"), F.coalesce("__hi", "__after")
+    one = F.array_min(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.abs(c["__z"] - F.col("__z")).alias("d"), c["__i"].alias("i"))) for c in (lo, hi)])))
+    return out.select(*by, F.col("__z").alias(target), F.when(F.col("__z").isNotNull(), one["i"]).alias("slice_idx"))
 
 
 def align_image_label(image_voxels: DataFrame, label_voxels: DataFrame, value: str = "hu", label: str = "label") -> DataFrame:

@@ -10,6 +10,7 @@ from voxelframe.operators import evaluate as E
 from voxelframe.operators import intensity as I
 from voxelframe.operators import kernels as K
 from voxelframe.operators import masks as M
+from voxelframe.operators import runs as R
 from voxelframe.operators import spatial as S
 from voxelframe.plans.views import PIXELS, VOXELS, pixels, table, voxels
 
@@ -120,6 +121,15 @@ def _two_masks(s, d):
     return g.select("series_id", "z", "y", "x", "label"), g.select("series_id", "z", "y", "x", F.col("label2").alias("label"))
 
 
+def _mask_runs(s, d):
+    """_sparse() as runs, with the order of the classes."""
+    return R.from_voxels(_sparse(s, d), "class_name").withColumn("k", F.when(F.col("class") == "d", 9).otherwise(F.substring("class", 2, 9).cast("int")))
+
+
+def _two_runs(s, d):
+    return tuple(R.from_voxels(m) for m in _two_masks(s, d))
+
+
 def _geometry(s, d):
     return T(s, d, "part").select("p_partkey", F.array(F.col("p_size"), F.col("p_size") + 10, F.lit(64)).alias("shape"), F.array(F.lit(2.5), F.col("p_retailprice") / 1000, F.lit(0.75)).alias("spacing"))
 
@@ -176,6 +186,14 @@ QUERIES = {
     "a26_merge_class_masks": lambda s, d: M.merge_class_masks(_sparse(s, d), s.createDataFrame([("c1", 1), ("d", 5)], "class_name string, class_id int"), "k"),
     "a26_unknown_classes": lambda s, d: M.unknown_classes(_sparse(s, d), s.createDataFrame([("c1", 1), ("d", 5)], "class_name string, class_id int")),
     "a26_fill_background": lambda s, d: M.fill_background(M.merge_class_masks(_sparse(s, d), s.createDataFrame([("c1", 1), ("d", 5)], "class_name string, class_id int"), "k"), _grid(s, d).select("series_id", "z", "y", "x")),
+    "a25_mask_runs": lambda s, d: _mask_runs(s, d).select("series_id", "z", "y", "x1", "x2", "class"),
+    "a25_mask_overlap_runs": lambda s, d: R.to_voxels(R.mask_overlap(_mask_runs(s, d))).withColumn("classes", F.array_join("classes", ",")),
+    "a26_merge_class_runs": lambda s, d: R.to_voxels(R.merge_class_masks(_mask_runs(s, d), s.createDataFrame([("c1", 1), ("d", 5)], "class_name string, class_id int"), "k")).withColumnRenamed("class", "label"),
+    "f5_foreground_ratio_runs": lambda s, d: R.foreground_ratio(R.from_voxels(_grid(s, d)), ["series_id", "z"], 0.3),
+    "j14_label_difference_runs": lambda s, d: R.to_voxels(R.label_difference(*_two_runs(s, d))),
+    "j14_run_intersection": lambda s, d: R.intersection(*_two_runs(s, d)),
+    "j14_run_difference": lambda s, d: R.difference(*_two_runs(s, d)),
+    "j14_run_union": lambda s, d: R.union(*_two_runs(s, d)),
     "a27_split_class_masks": lambda s, d: M.split_class_masks(_grid(s, d), [1, 2]),
     "a28_instances_to_segmentation": lambda s, d: M.instances_to_segmentation(_instances(s, d), ["slice"], "instance"),
     "a29_point_heatmap": lambda s, d: M.point_heatmap(T(s, d, "events").select((F.col("user_id") % 20).alias("patch"), F.bround(F.col("value") / 10, 0).cast("int").alias("x"), (F.col("event_id") % 13 - 1).cast("int").alias("y")), T(s, d, "events").select((F.col("user_id") % 20).alias("patch"), F.lit(10).alias("height"), F.lit(8).alias("width")).distinct()),
@@ -246,6 +264,12 @@ def _in(tag):
     return " AND ".join(f"{a} >= s{tag}{a} AND {a} < s{tag}{a} + {n}" for a, n in (("z", 3), ("y", 6), ("x", 6)))
 
 
+def _islands(voxels):
+    """Runs of (series_id, z, y, x, class) rows."""
+    return f"SELECT series_id, z, y, class, CAST(min(x) AS INTEGER) AS x1, CAST(max(x) + 1 AS INTEGER) AS x2 FROM (SELECT *, x - row_number() OVER (PARTITION BY series_id, z, y, class ORDER BY x) AS island FROM (SELECT DISTINCT series_id, z, y, x, class FROM ({voxels}))) GROUP BY series_id, z, y, class, island"
+
+
+LABELS = [f"SELECT series_id, z, y, x, {c} AS class FROM {GRID}" for c in ("label", "label2")]
 HU = f"(SELECT series_id, y, x, CAST(round_even(value * 600 - 60, 0) AS INTEGER) AS hu, CAST(x % 3 AS INTEGER) AS label FROM {PIXELS})"
 ORACLE = {
     "a15_segmentation_areas": f"SELECT series_id, class, count(*) FILTER (gt = class AND pred = class) AS intersect, count(*) FILTER (gt = class OR pred = class) AS union, count(*) FILTER (pred = class) AS pred_area, count(*) FILTER (gt = class) AS label_area FROM {SEG}, (SELECT unnest([0, 1, 2]) AS class) GROUP BY ALL",
@@ -342,3 +366,13 @@ SELECT m.series_id, y, x, hu, CASE WHEN hu <= cut AND hu > -190 AND hu <= -30 TH
     "m29_split_to_slices": f"SELECT series_id, z, string_agg(hu::INTEGER, ',' ORDER BY y, x, hu) AS image, string_agg(label, ',' ORDER BY y, x, hu) AS label FROM {GRID} GROUP BY ALL",
     "m31_low_value_clip": f"WITH d AS (SELECT series_id, list_sort(list_distinct(list(hu::DOUBLE))) AS v FROM {GRID} GROUP BY 1), l AS (SELECT series_id, v[CAST(least(floor(len(v) * 0.25::DOUBLE), len(v) - 1) AS INTEGER) + 1] AS lo, v[len(v)] AS hi FROM d) SELECT {V4}, round(coalesce((greatest(hu, lo) - lo) / nullif(hi - lo, 0), 0) * 255, 6) AS hu FROM {GRID} JOIN l USING (series_id)",
 }
+ORACLE |= {
+    "a25_mask_runs": _islands(f"SELECT series_id, z, y, x, class_name AS class FROM {SPARSE}"),
+    "a25_mask_overlap_runs": ORACLE["a25_mask_overlap"],
+    "a26_merge_class_runs": ORACLE["a26_merge_class_masks"],
+    "f5_foreground_ratio_runs": f"SELECT series_id, z, count(*) FILTER (label > 0) AS fg, count(*) AS area FROM {GRID} GROUP BY ALL HAVING count(*) FILTER (label > 0) > 0.3::DOUBLE * count(*)",
+    "j14_label_difference_runs": ORACLE["j14_label_difference"],
+    "j14_run_intersection": _islands(" INTERSECT ".join(LABELS)),
+    "j14_run_difference": _islands(" EXCEPT ".join(LABELS)),
+    "j14_run_union": _islands(" UNION ".join(LABELS)),
+}
