@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
+from voxelframe.functions.workers import shared_folder, written
 from voxelframe.operators import bricks as B
 from voxelframe.operators import crops as C
 from voxelframe.operators import evaluate as E
@@ -13,6 +16,7 @@ from voxelframe.operators import masks as M
 from voxelframe.operators import runs as R
 from voxelframe.operators import spatial as S
 from voxelframe.plans.views import PIXELS, VOXELS, pixels, table, voxels
+from voxelframe.sources.bucketed import co_located, write_bucketed
 
 T = table
 
@@ -169,7 +173,31 @@ def _hu(s, d):
     return pixels(s, d).select("series_id", "y", "x", F.bround(F.col("value") * 600 - 60, 0).cast("int").alias("hu"), (F.col("x") % 3).cast("int").alias("label"))
 
 
+def _through_buckets(s, job, *tables):
+    """job over bucketed copies of the tables, its result written while they stand."""
+    names = [f"voxels_{os.urandom(8).hex()}" for _ in tables]
+    try:
+        with co_located(s):
+            return written(job(*[write_bucketed(t, n, buckets=16, path=shared_folder(s, n)) for n, t in zip(names, tables)]), "joined")
+    finally:
+        for n in names:
+            s.sql(f"DROP TABLE IF EXISTS {n}")
+
+
+def _aligned(s, d):
+    g = _grid(s, d)
+    return _through_buckets(s, S.align_image_label, g.select("series_id", "z", "y", "x", "hu"), g.where("label > 0").select("series_id", "z", "y", "x", "label"))
+
+
+def _areas_bucketed(s, d):
+    p = _seg(s, d).withColumn("z", F.lit(0))
+    at = ["series_id", "z", "y", "x"]
+    return _through_buckets(s, lambda a, b: E.segmentation_areas(a.join(b, at), "gt", "pred", [0, 1, 2], ["series_id"]), p.select(*at, "gt"), p.select(*at, "pred"))
+
+
 QUERIES = {
+    "a15_areas_bucketed": _areas_bucketed,
+    "j13_align_bucketed": _aligned,
     "a15_segmentation_areas": lambda s, d: _areas(s, d, ["series_id"]),
     "a16_segmentation_metrics": lambda s, d: _six(E.segmentation_metrics(_areas(s, d))),
     "a16_mean_metrics": lambda s, d: E.mean_metrics(_areas(s, d)).select("aAcc", "mIoU", "mDice", "mPrecision", "mRecall"),
@@ -367,6 +395,8 @@ SELECT m.series_id, y, x, hu, CASE WHEN hu <= cut AND hu > -190 AND hu <= -30 TH
     "m31_low_value_clip": f"WITH d AS (SELECT series_id, list_sort(list_distinct(list(hu::DOUBLE))) AS v FROM {GRID} GROUP BY 1), l AS (SELECT series_id, v[CAST(least(floor(len(v) * 0.25::DOUBLE), len(v) - 1) AS INTEGER) + 1] AS lo, v[len(v)] AS hi FROM d) SELECT {V4}, round(coalesce((greatest(hu, lo) - lo) / nullif(hi - lo, 0), 0) * 255, 6) AS hu FROM {GRID} JOIN l USING (series_id)",
 }
 ORACLE |= {
+    "a15_areas_bucketed": ORACLE["a15_segmentation_areas"],
+    "j13_align_bucketed": ORACLE["j13_align_image_label"],
     "a25_mask_runs": _islands(f"SELECT series_id, z, y, x, class_name AS class FROM {SPARSE}"),
     "a25_mask_overlap_runs": ORACLE["a25_mask_overlap"],
     "a26_merge_class_runs": ORACLE["a26_merge_class_masks"],

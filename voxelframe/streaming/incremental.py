@@ -26,14 +26,18 @@ def query_id(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+def finished(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Folders below path that match the pattern and were written to their end: one name each."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(path, f"{pattern}/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
 def written_before(spark: SparkSession, path: str, own: str) -> list[str]:
-    """The finished batch folders below path, but own: one name a batch."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "run=*/batch=*/_SUCCESS")) or []
-    folders = [f.getPath().getParent().toString() for f in found]
-    mine = store.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(own)).toString()
-    return sorted(f for f in folders if f != mine)
+    """The finished batch folders below path, but own."""
+    mine = spark._jvm.org.apache.hadoop.fs.Path(own)
+    mine = mine.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(mine).toString()
+    return [f for f in finished(spark, path, "run=*/batch=*") if f != mine]
 
 
 def streaming_ingest_slices(stream: DataFrame, done: Callable[[], DataFrame], sop: str, time: str, watermark: str, path: str, checkpoint: str, trigger_now: bool = True) -> StreamingQuery:
