@@ -265,4 +265,4 @@ def test_ingestion_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
     assert run("two") == ["a", "b", "c", "d", "e"]  # all of the input again, under another query
     arrive("f", "e")
     assert run("one") == ["a", "b", "c", "d", "e", "f"]
-    assert len({f.split("run=")[1].split("/")[0] for f in I.written_before(spark, out, "none")}) == 2
+    assert len({f.split("run=")[1].split("/")[0] for f in I.written_before(spark, out)}) == 2

@@ -91,7 +91,8 @@ def hist_equalize(pixels: DataFrame, col: str, by: Sequence[str], cy: float, cx:
     cdf = counts.withColumn("c", F.sum("k").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) / F.col("__n"))
     # the whole curve of a group in one array: the share up to each bin
     curve = cdf.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("s"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.array_max(F.transform(F.filter("s", lambda z: z["b"] <= i), lambda z: z["c"])), F.lit(0.0)))
+    held = F.transform("s", lambda z, i: F.array_repeat(z["c"], F.coalesce(F.get("s", i + 1)["b"], F.lit(bins)) - z["b"]))  # up to the next bin that occurs
+    full = F.flatten(F.concat(F.array(F.array_repeat(F.lit(0.0), F.get("s", F.lit(0))["b"])), held))
     out = g.join(curve.select(*by, full.alias("__f")), list(by), "left")
     place = F.greatest(F.lit(0.0), F.least((v - F.col("__lo")) / width - 0.5, F.lit(bins - 1.0)))
     low = F.floor(place).cast("int")

@@ -51,12 +51,17 @@ def class_mean_wide(stats: DataFrame, meta: DataFrame, series: str, classes: Seq
     return meta.join(wide, series, "left")
 
 
-def hierarchical_distribution(pixels: DataFrame, dataset: str, case: str, slice_: str, channel: str | None, value: str, max_cases: int = 100, max_slices: int = 50, seed: int = 0) -> DataFrame:
-    """slice -> case -> dataset per channel: min, max, mean of means, mean of stds, over a seeded choice of at most max_cases and max_slices (the operator's sampling)."""
+def hierarchical_distribution(pixels: DataFrame, dataset: str, case: str, slice_: str, channel: str | None, value: str, max_cases: int = 100, max_slices: int = 50, seed: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """slice -> case -> dataset per channel: min, max, mean of means, mean of stds, over a seeded choice of at most max_cases and max_slices (the operator's sampling).
+
+    index: a table of the slices (dataset, case, slice), if there is one; else the pixels are read once more for it.
+    """
     chan = [channel] if channel else []
-    cases = pixels.select(dataset, case).distinct()
+    listed = (pixels if index is None else index).select(dataset, case, slice_).distinct()
+    listed = written(listed, "slices") if index is None else listed
+    cases = listed.select(dataset, case).distinct()
     cases = cases.withColumn("r", F.row_number().over(Window.partitionBy(dataset).orderBy(md5_order([case], seed), case))).where(F.col("r") <= max_cases).drop("r")
-    slices = pixels.select(dataset, case, slice_).distinct().join(cases, [dataset, case])
+    slices = listed.join(cases, [dataset, case])
     slices = slices.withColumn("r", F.row_number().over(Window.partitionBy(dataset, case).orderBy(md5_order([slice_], seed), slice_))).where(F.col("r") <= max_slices).drop("r")
     chosen = pixels.join(slices, [dataset, case, slice_], "left_semi")
     v = F.col(value).cast("double")

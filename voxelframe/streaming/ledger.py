@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxelframe.streaming.incremental import finished, query_id
+from voxelframe.streaming.history import finished
+from voxelframe.streaming.incremental import query_id
 
 FIGURES = "version long, n long, mean double, m2 double, min double, max double"
 
