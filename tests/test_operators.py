@@ -266,3 +266,27 @@ def test_ingestion_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
     arrive("f", "e")
     assert run("one") == ["a", "b", "c", "d", "e", "f"]
     assert len({f.split("run=")[1].split("/")[0] for f in I.written_before(spark, out)}) == 2
+
+
+def test_distribution_with_and_without_a_table_of_slices(spark):
+    from voxelframe.operators.stats import hierarchical_distribution
+
+    px = spark.createDataFrame([(d, c, z, v * (z + 1.0)) for d in "ab" for c in range(6) for z in range(5) for v in range(4)], "d string, c int, z int, v double")
+    rows = [sorted(map(tuple, hierarchical_distribution(px, "d", "c", "z", None, "v", 4, 3, 1, index=i).collect())) for i in (None, px.select("d", "c", "z"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 2
+
+
+def test_rows_of_one_key_spread_over_ranges(spark):
+    from voxelframe.functions.ranks import ranked
+
+    df = spark.range(4000).select("id", F.lit("same").alias("k"), F.create_map(F.lit("a"), "id").alias("m"))
+    for part in (df.drop("m"), df):
+        r = ranked(part, "k")
+        assert sorted(x["rank"] for x in r.select("rank").collect()) == list(range(1, 4001))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        files = ranked(df.drop("m"), "k").inputFiles()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(files) > 1

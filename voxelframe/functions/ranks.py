@@ -18,9 +18,12 @@ def ranked(df: DataFrame, *keys: str | Column) -> DataFrame:
 
     The table is dealt to ranges of the keys once, sorted inside them and written; a row's number
     inside its range and the sizes of the ranges, one row each, give its place. Ranges follow the size
-    of the table, as Spark coalesces them. Rows with equal keys come in any order.
+    of the table, as Spark coalesces them. Rows with equal keys come in the order of a hash of the whole
+    row, so that many of them spread over ranges too (in any order where a column holds a map).
     """
     order = [F.col(k) if isinstance(k, str) else k for k in keys]
+    if "map<" not in df.schema.simpleString():
+        order.append(F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]))
     named = df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *[k.alias(f"k{i}") for i, k in enumerate(order)])
     names = [f"k{i}" for i in range(len(order))]
     spread = named.repartitionByRange(*names).sortWithinPartitions(*names)

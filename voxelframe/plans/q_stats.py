@@ -32,7 +32,7 @@ QUERIES = {
     "a2_global_stats": lambda s, d: S.global_stats(S.series_stats(table(s, d, "lineitem"), ["l_orderkey"], "l_extendedprice")).select(*[F.round(c, 3).alias(c) for c in ("min", "max", "mean", "std")]),
     "a3_class_stats": lambda s, d: S.class_stats(voxels(s, d), "series_id", "label", "hu").select("series_id", "class", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "lower_bound", "upper_bound")], "count", "mean_rank"),
     "a4_class_mean_wide": lambda s, d: S.class_mean_wide(S.class_stats(voxels(s, d), "series_id", "label", "hu"), table(s, d, "orders").select(F.col("o_orderkey").alias("series_id"), "o_orderpriority"), "series_id", ["0", "1", "2"]).select("series_id", "o_orderpriority", *[F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in "012"]),
-    "a5_hierarchical_distribution": lambda s, d: S.hierarchical_distribution(cases(s, d), "dataset", "case_id", "slice_idx", "channel", "value", 20, 5, 7).select("dataset", "channel", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")]),
+    "a5_hierarchical_distribution": lambda s, d: S.hierarchical_distribution(cases(s, d), "dataset", "case_id", "slice_idx", "channel", "value", 20, 5, 7, index=cases(s, d)).select("dataset", "channel", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std")]),
     "a6_label_presence": lambda s, d: S.label_presence(pixels(s, d).select(F.col("label").alias("dataset"), "series_id", F.floor(F.col("value") * 10).cast("int").alias("bin")), "dataset", "series_id", "bin", 30, 3),
     "a7_existing_classes": lambda s, d: S.existing_classes(table(s, d, "part").select(F.substring_index("p_type", " ", 1).alias("dataset"), (F.col("p_size") % 7).alias("lab")), _classmap(s, d), "dataset", "lab"),
     "a8_slice_counts": lambda s, d: S.slice_counts(cases(s, d), "modality", "dataset"),

@@ -1,7 +1,7 @@
 """Which ids were written before, without reading what was written.
 
 Beside the batches of a folder lies `_index`: a 64-bit fingerprint of each id and the batch that
-wrote it, in hash buckets, nine or so bytes an id. FAN parts of one level are merged to one of the
+wrote it, in hash buckets, 8 bytes an id before compression. FAN parts of one level are merged to one of the
 next, so a new batch reads a number of parts that grows with the logarithm of the number of
 batches. A fingerprint that was seen only names the batch to look into: the ids themselves decide.
 
