@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from voxelframe.llm import queries, topk, vectors
+from voxelframe.llm import common, queries, topk, vectors
 from voxelframe.llm.common import components
 
 
@@ -87,6 +87,25 @@ def test_components(spark):
     assert {r["root"] for r in components(chain).collect()} == {0}
 
 
+def test_hot_centres_and_classes(spark, monkeypatch):
+    """A star of many leaves beside chains, and a vector that most rows repeat, dealt to parts or not: the same result."""
+    star = [(f"{0:04d}".encode(), f"{i:04d}".encode()) for i in range(1, 200)] + [(f"{9999:04d}".encode(), f"{i:04d}".encode()) for i in range(1, 200)]
+    chain = [(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(1000, 1030)]
+    edges = spark.createDataFrame(star + chain, "a binary, b binary")
+    same = spark.createDataFrame([(i, "x", [1.0, 0.0, 0.0] if i % 4 else [0.0, 1.0, float(i % 8 == 0) / 8]) for i in range(400)] + [(400, "x", [0.0, 0.0, 1.0])], "vec_id long, label string, embedding array<double>")
+    found = []
+    for least in (2000, 20):
+        monkeypatch.setattr(common, "LEAST_HOT", least)
+        monkeypatch.setattr(common.hot_keys, "__defaults__", ("n", 20, least))
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in common.components(edges, "a", "b").collect()}
+        links = sorted(tuple(r) for r in vectors.near_duplicates(same).collect())
+        found.append((roots, links))
+    assert found[0] == found[1]
+    roots, links = found[0]
+    assert set(roots.values()) == {b"0000", b"1000"} and len(roots) == 201 + 31
+    assert [r[1:] for r in links] == [(99, 0, i == 0) if i % 4 == 0 else (299, 1, i == 1) for i in range(400)] + [(0, 400, True)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, sf, name):
     same(queries.QUERIES[name](spark, sf), connect(sf), queries.ORACLE[name])

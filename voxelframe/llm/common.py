@@ -63,7 +63,11 @@ def bounded(batches: Iterator[pa.RecordBatch], rows: int = 1000, megabytes: int
             yield b.slice(at, step)
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", most: int = 1000, least: int = 2000) -> dict:
+#: A key with no more rows than this is never split.
+LEAST_HOT = 2000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", most: int = 1000, least: int = LEAST_HOT) -> dict:
     """Parts for every key that has more than 1 / most of all rows (and more than `least`): fewer than `most` keys."""
     total = counts.agg(F.sum(n)).first()[0] or 0
     limit = max(least, total // most)
@@ -99,7 +103,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Returns (node, root) for every node of an edge between two different nodes; root is the
     smallest node of the component. Each round is written to the shared folder; neither links
-    nor labels reach the driver, only a count and a checksum do. Null ends are ignored.
+    nor labels reach the driver, only a count, a checksum and the centres that hold more than a
+    thousandth of all links do: those centres' links are dealt to parts. Null ends are ignored.
     """
     ends = edges.where(col(u).isNotNull() & col(v).isNotNull()).select(F.least(col(u), col(v)).alias("a"), F.greatest(col(u), col(v)).alias("b"))
     spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
@@ -107,10 +112,11 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.select(F.col("a").alias("n"), F.col("b").alias("x")).unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("x")))
-        low = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.where(F.col("x") > F.col("n")).join(low, "n").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
+        low = both.groupBy("n").agg(F.least(F.min("x"), F.col("n")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        hot = hot_keys(low, "n", "degree") if mark[0] > LEAST_HOT else {}  # no node has more links than there are
+        large = salted_join(both.where(F.col("x") > F.col("n")), low.select("n", "m"), "n", hot, by=F.xxhash64("x")).select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(low, "b")
+        joined = salted_join(large, low, "b", hot, by=F.xxhash64("a"))  # no node has more links here than before
         small = joined.where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
         e = stage(small.unionByName(low.select(F.col("m").alias("a"), "b")).distinct(), done := shared_dir(spark))
         remove_folder(spark, path)

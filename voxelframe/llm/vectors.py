@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import col, components, stage
+from voxelframe.llm.common import col, components, hot_keys, salted_join, stage
 
 
 def usable(v):
@@ -143,6 +143,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec
     whole = classes.select("cls", "n_own", "least").join(counted, "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = whole.groupBy("root").agg(F.min("least").alias("component"))
     label_of = whole.join(lowest, "root").select("cls", (F.col("n_own") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
-    linked = sketched.select("id", "cls").join(label_of, "cls").select("id", "n_links", "component")
+    # a vector repeated over a large share of the rows is a hot class
+    linked = salted_join(sketched.select("id", "cls"), label_of, "cls", hot_keys(classes, "cls", "n_own")).select("id", "n_links", "component")
     alone = base.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
