@@ -3,13 +3,16 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from voxelframe.llm import langid, minhash, packing, tokens
 from voxelframe.llm.common import stage, tokenizer_file
 
 MAIL, ADDRESS, SOCIAL = r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+", r"(?<![\w.\-])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
@@ -151,3 +154,59 @@ def test_language_id_without_any_language(spark, sf):
 def test_empty_tables(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_and_ids_stay_out_of_large_arrow_batches(spark, folder, seen):
+    """What a stage returns holds no Python step that takes texts or ids: its writer's Arrow settings are not ours."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept = corpus_pipeline.language_id(spark, docs, folder)
+    assert "Arrow" not in plan(kept) and sorted(map(repr, kept.collect())) == sorted(map(repr, seen[1]))
+    packed = corpus_pipeline.pack(spark, docs, folder)
+    asked = set(re.findall(r"place\((\w+)#\d+L?, (\w+)#\d+L?\)", plan(packed)))
+    assert "MapInArrow" not in plan(packed) and asked == {("length", "rank")}
+
+
+def test_one_set_of_python_workers(spark, folder, monkeypatch):
+    """All functions are made for the same environment, and no local rows become Python RDDs: an executor has one daemon."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kind, seen_paths = type(docs), []
+
+    def spy(self, *args, f=kind.mapInArrow, **options):
+        seen_paths.append(spark.sparkContext.environment.get("PYTHONPATH"))
+        return f(self, *args, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: pytest.fail("local rows"))
+    env = spark.sparkContext.environment
+    for step in (lambda: corpus_pipeline.language_id(spark, docs, folder), lambda: corpus_pipeline.near_dedup(spark, docs, folder), lambda: packing.pack(docs, tokenizer_file("word_bpe_49k.json"), share=1)):
+        monkeypatch.delitem(env, "PYTHONPATH", raising=False)
+        assert step().count()
+    assert len(seen_paths) >= 5 and len(set(seen_paths)) == 1 and seen_paths[0]
+
+
+def test_workers_forget_encoders(spark, folder, monkeypatch):
+    """A worker that packed and goes on with languages or sketches gives its encoders back; encoding takes 2 MB at a time."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kind, made, path = type(docs), [], tokenizer_file("word_bpe_49k.json")
+
+    def spy(self, f, *args, real=kind.mapInArrow, **options):
+        made.append((f, self))
+        return real(self, f, *args, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    model = langid.train(docs)
+    langid.identify(docs, model)
+    minhash.sketch(docs, "doc_id", "text", 5, 60, 5, 7)
+    assert len(made) == 3
+    for f, frame in made:
+        rows = frame.limit(20).toArrow().combine_chunks().to_batches()
+        tokens.encoder_of(path)
+        assert sum(b.num_rows for b in f(iter(rows))) and not tokens._ENCODERS
+    packing.encode_pieces(docs, path, "doc_id", "text", 1, 2048, False)
+    sizes = []
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(tokens.Encoder, "encode", lambda self, texts: (sizes.append((len(texts), texts.nbytes)), (np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)))[1])
+    batch = pa.record_batch({"id": pa.array(range(2000)), "text": pa.array(["a word " * 600] * 2000)})
+    assert sum(b.num_rows for b in made[-1][0](iter([batch]))) == 2000
+    assert max(n for n, _ in sizes) <= 600 and max(m for _, m in sizes) <= 3 << 20

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.llm.common import bounded, col, components, hot_keys, salted_join, stage, unused
+from voxelframe.llm.common import bounded, col, components, hot_keys, salted_join, share_package, stage, unused
+from voxelframe.llm.tokens import forget_encoders
 
 #: Odd multipliers of the word positions inside a shingle, and the mixing constants of one hash round.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
@@ -67,11 +68,13 @@ def _permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, permutations: int, rows: int, seed: int) -> DataFrame:
     """(id, whole, n_shingles, cls, bands): whole hashes the text; cls is a 128-bit digest of the shingle set, null for an empty one."""
+    share_package(docs.sparkSession)
     a, b = _permutations(permutations, seed)
     n_bands = 2 * permutations // rows
     salt = _mix(np.arange(1, n_bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in bounded(batches, 500):
             n, cls, bands = [], [], []
             for t in batch.column(2):
@@ -174,13 +177,12 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, block: int)
 
 def link_classes(sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, small: int, block: int) -> DataFrame:
     """(cls, root) of the classes that are linked with another one; root is any class of the component."""
-    spark = docs.sparkSession
     full = sketches.where(F.col("cls").isNotNull())
     classes = full.groupBy("cls").agg(F.min("n_shingles").alias("size"), F.any_value("bands").alias("bands"))
     keyed = classes.select("cls", "size", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("pivot")).where("n > 1")
     members = stage(keyed.join(buckets, "key"))
-    empty = spark.createDataFrame([], "cls binary, root binary")
+    empty = members.select("cls", F.col("cls").alias("root")).limit(0)  # local rows would start further Python workers
     if members.isEmpty():
         return empty
     met = members.select("cls").distinct()

@@ -10,6 +10,7 @@ a full piece is a sequence of its own and is not shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelframe.llm.common import bounded, col, stage
+from voxelframe.llm.common import bounded, col, share_package, stage
 from voxelframe.llm.tokens import encoder_of
 
 
@@ -77,7 +78,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, e
         from pyspark import TaskContext
 
         enc, row = encoder_of(tokenizer, as_text), TaskContext.get().partitionId() << 40
-        for b in bounded(batches, 1200, 5):
+        for b in bounded(batches, 600, 2):
             ids, n = enc.encode(b.column(1))
             raw, ends = ids.tobytes(), np.cumsum(n)
             which, start, length, total, data = [], [], [], [], []
@@ -94,6 +95,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, e
             row += len(which)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), rows, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(data, pa.binary())], ["id", "row", "start", "length", "doc_tokens", "ids"])
 
+    share_package(docs.sparkSession)
     base = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, row long, start long, length long, doc_tokens long, ids binary")
 
@@ -114,9 +116,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     empty table gives no rows. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
-    pieces = stage(encode_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, as_text), records=1200, megabytes=5)
+    pieces = stage(encode_pieces(docs, tokenizer, id_col, text_col, end_id, capacity, as_text), records=600, megabytes=2)
     made = keep or {"ids": F.col("ids")}
     shown = ["id", "start", "length", *[c.alias(f"__{k}") for k, c in made.items()], "doc_tokens"]
+    names = ["id", "start", "length", *[f"__{k}" for k in made], "doc_tokens"]
     rests = pieces.where(F.col("length") < capacity)
     histogram = {r["length"]: r["count"] for r in rests.groupBy("length").count().collect()}  # fewer than `capacity` rows
     found = patterns(histogram, capacity)
@@ -125,7 +128,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     many = [(k, -(-n // share)) for k, n in histogram.items() if n > share]
     narrow = rests.select(*shown, "row")
     if many:
-        dealt = F.broadcast(spark.createDataFrame(many, "of long, parts long"))  # fewer than `capacity` rows
+        rows = json.dumps([{"of": k, "parts": n} for k, n in many])  # fewer than `capacity`; local rows would start further Python workers
+        dealt = F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(rows), "array<struct<of:long,parts:long>>"))))
         narrow = narrow.join(dealt, F.col("length") == F.col("of"), "left").withColumn("b", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))).drop("of", "parts")
     else:
         narrow = narrow.withColumn("b", F.lit(0).cast("long"))
@@ -136,20 +140,19 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         ranked = ranked.join(before, (F.col("length") == F.col("of")) & (F.col("b") == F.col("part")), "left").withColumn("r", F.col("r") + F.coalesce("before", F.lit(0))).drop("of", "part", "before")
     ranked = ranked.withColumn("rank", F.col("r") - 1).drop("row", "b", "r")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = places.value
-        for b in batches:
-            rank, length = b.column(b.num_columns - 1).to_numpy(), b.column(2).to_numpy()
-            at = np.searchsorted(s["key"], length << 44 | rank, "right") - 1
-            filled = s["filled"][at]
-            padded = np.where(filled & (filled - 1) == 0, filled, capacity)
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(x) for x in (s["sequence"][at] + rank - s["rank"][at], s["offset"][at], filled, padded)], [*out.names])
-
     new = ("sequence_id", "offset", "filled", "padded")
-    out = T.StructType([*ranked.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in new]])
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in new]))
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:  # only two numbers of a row go to Python, its ids do not
+        s, n, r = places.value, length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(s["key"], n << 44 | r, "right") - 1
+        filled = s["filled"][at]
+        padded = np.where(filled & (filled - 1) == 0, filled, capacity)
+        return pa.StructArray.from_arrays([pa.array(x) for x in (s["sequence"][at] + r - s["rank"][at], s["offset"][at], filled, padded)], list(new))
+
     first, size = sum(n for _, n in found), F.lit(capacity).cast("long")
     full = pieces.where(F.col("length") == capacity).select(*shown, (F.col("row") + first).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), size.alias("filled"), size.alias("padded"))
-    placed = full.union(ranked.mapInArrow(place, out))
+    placed = full.union(ranked.withColumn("place", place("length", "rank")).select(*names, *[F.col("place")[n].alias(n) for n in new]))
     return placed.select(F.col("id").alias(id_col), "start", "length", *[F.col(f"__{k}").alias(k) for k in made], "doc_tokens", *new)
 
 

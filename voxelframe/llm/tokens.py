@@ -11,6 +11,7 @@ Results equal those of encoding each text alone.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import struct
@@ -267,3 +268,12 @@ def encoder_of(path: str, as_text: bool = False) -> Encoder:
 
         _ENCODERS[path, as_text] = Encoder(Tokenizer.from_file(path), as_text)
     return _ENCODERS[path, as_text]
+
+
+def forget_encoders() -> None:
+    """Frees this worker's encoders: workers are reused, also by operators that encode nothing."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory otherwise
+            trim(0)
