@@ -125,13 +125,16 @@ def random_crops(volumes: DataFrame, crop: Sequence[int], ratio: float, cat_max:
 
 
 def two_means(values: np.ndarray, counts: np.ndarray) -> float | None:
-    """The cut (last value of the lower cluster) of the best two clusters of counted sorted values; None for a single value."""
+    """The cut (last value of the lower cluster) of the best two clusters of counted sorted values; None for a single value.
+
+    Costs of cuts that tie differ by rounding alone: terms are added in the order of the query's SQL, so that both pick the same cut; equal sums go to the lower one.
+    """
     if len(values) < 2:
         return None
     n, s, q = np.cumsum(counts), np.cumsum(values * counts), np.cumsum(values * values * counts)
-    left = q[:-1] - s[:-1] ** 2 / n[:-1]
-    right = (q[-1] - q[:-1]) - (s[-1] - s[:-1]) ** 2 / (n[-1] - n[:-1])
-    return float(values[int(np.argmin(left + right))])
+    ln, ls, lq, rn, rs = n[:-1], s[:-1], q[:-1], n[-1] - n[:-1], s[-1] - s[:-1]
+    cost = lq - ls * ls / ln + q[-1] - lq - rs * rs / rn
+    return float(values[int(np.argmin(cost))])
 
 
 def muscle_fat_split(voxels: DataFrame, classes: Sequence[int] = (1, 2), lo: float = -190, hi: float = -30, hu: str = "hu", label: str = "label") -> DataFrame:
